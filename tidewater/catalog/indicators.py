@@ -298,7 +298,7 @@ def _(t):
     return out.withColumn("band", band.when(F.col("volatility").isNotNull(), "middle"))
 
 
-@query("w32_funding_trend", "symbol ts:t funding_ma:d8 funding_trend:d funding_signal:d",
+@query("w32_funding_trend", "symbol ts:t funding_ma:d11 funding_trend:d funding_signal:d",
        f"""SELECT symbol, ts, ma AS funding_ma, sign(funding_rate - ma) AS funding_trend, -sign(funding_rate - ma) AS funding_signal
        FROM (SELECT *, {roll('avg', 'funding_rate', 8)} AS ma FROM funding)""")
 def _(t):

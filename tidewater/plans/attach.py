@@ -57,6 +57,8 @@ def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, f
     below = rows.groupBy(*keys).agg(
         F.max("__n").alias("__n"),
         *[F.count_if(F.col("__v") < F.col("__w")[i]["lo"]).alias(f"__b{i}") for i in range(m)],
+        *[F.max(F.when(F.col("__v") < F.col("__w")[i]["lo"], F.col("__v"))).alias(f"__u{i}") for i in range(m)],
+        *[F.min(F.when(F.col("__v") > F.col("__w")[i]["hi"], F.col("__v"))).alias(f"__o{i}") for i in range(m)],
     )
     inside = (
         rows.select(*keys, "__v", F.explode("__w").alias("w"))
@@ -65,17 +67,25 @@ def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, f
         .agg(F.count(F.lit(1)).alias("__k"))
     )
     upto = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.element_at(F.array(*[F.col(f"__b{i}") for i in range(m)]), F.col("__i") + 1)
+    per_prob = lambda c: F.element_at(F.array(*[F.col(f"{c}{i}") for i in range(m)]), F.col("__i") + 1)
+    start = per_prob("__b")
     ranked = (
         inside.withColumn("__cum", F.sum("__k").over(upto))
         .join(below, keys)
         .withColumn("__last", start + F.col("__cum") - 1)
         .withColumn("__first", F.col("__last") - F.col("__k") + 1)
-        .withColumn("__r", (F.col("__n") - 1) * F.col("__p"))
+        .withColumns(
+            {"__r": (F.col("__n") - 1) * F.col("__p"), "__under": per_prob("__u"), "__over": per_prob("__o"), "__lo": start}
+        )
     )
 
     def at(rank: Column) -> Column:
-        return F.max(F.when(rank.between(F.col("__first"), F.col("__last")), F.col("__v")))
+        """Value at a rank: inside the bracket, or the neighbour right below or above it."""
+        exact = F.max(F.when(rank.between(F.col("__first"), F.col("__last")), F.col("__v")))
+        under = F.max(F.when(rank == F.col("__lo") - 1, F.col("__under")))
+        over = F.max(F.when(rank >= F.col("__lo"), F.col("__over")))
+        beyond = F.max(rank) == F.max(F.col("__last")) + 1
+        return F.coalesce(exact, under, F.when(beyond, over))
 
     picked = ranked.groupBy(*keys, "__i").agg(
         at(F.floor("__r")).alias("__a"), at(F.ceil("__r")).alias("__z"), F.max("__r").alias("__r")
