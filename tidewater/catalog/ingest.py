@@ -397,8 +397,8 @@ def _(t):
        """SELECT b.symbol, ts, close FROM bars b WHERE symbol IN (SELECT symbol FROM bars WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 24 HOUR
        GROUP BY symbol HAVING sum(volume) > 100 AND sum(trades) > 20 AND max(close) < 100000)""")
 def _(t):
-    end = t.bars_kept.agg(F.max("ts").alias("__end"))
-    day = t.bars_kept.join(F.broadcast(end)).where("ts >= __end - interval 24 hours")  # one row
+    end = t.bars_kept.agg(F.max("ts").alias("end")).scalar()
+    day = t.bars_kept.where(F.col("ts") >= end - F.expr("interval 24 hours"))
     good = day.groupBy("symbol").agg(F.sum("volume").alias("v"), F.sum("trades").alias("n"), F.max("close").alias("m"))
     return t.bars_kept.join(good.where("v > 100 AND n > 20 AND m < 100000"), "symbol", "left_semi")
 

@@ -62,13 +62,14 @@ def _oracle(body: str, fields) -> str:
         else:
             out.append(name)
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str):
         for view, sql in VIEW_SQL.items():
-            if view not in needed and re.search(rf"\b{view}\b", text):
+            if view not in seen and re.search(rf"\b{view}\b", text):
+                seen.add(view)
                 visit(sql)
-                if view not in needed:
-                    needed.append(view)
+                needed.append(view)
 
     visit(body)
     views = [f"{v} AS ({VIEW_SQL[v]})" for v in needed] + [f"answer AS ({body})"]

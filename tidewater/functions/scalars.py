@@ -75,9 +75,22 @@ def row_digest(*cols: str) -> Column:
 
 
 def clean_text(x) -> Column:
-    """Lower case without punctuation."""
-    return F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9_\s]", "")
+    """Lower case without punctuation, letters of all scripts kept."""
+    return F.regexp_replace(F.lower(_c(x)), r"[^\p{L}\p{N}_\s]", "")
 
 
-def words(x) -> Column:
-    return F.filter(F.split(clean_text(x), r"\s+"), lambda w: F.length(w) > 0)
+def words(x, stop: tuple[str, ...] = ()) -> Column:
+    """Tokens of the cleaned text without stop words."""
+    tokens = F.filter(F.split(clean_text(x), r"\s+"), lambda w: F.length(w) > 0)
+    return F.filter(tokens, lambda w: ~w.isin(*stop)) if stop else tokens
+
+
+# English stop words.
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself he him his himself she her hers herself it its
+    itself they them their theirs what which who whom this that these those am is are was were be been being have has
+    had having do does did doing a an the and but if or because as until while of at by for with about against between
+    into through during before after above below to from up down in out on off over under again further then once here
+    there when where why how all any both each few more most other some such no nor not only own same so than too very
+    s t can will just don should now""".split()
+)

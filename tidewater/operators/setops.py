@@ -43,16 +43,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def align(df: DataFrame, keys: DataFrame, times: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Every symbol at every time of the union axis, NULL where it has no bar.
-
-    Small axes only: ``keys`` is the distinct symbol list, joined to the distinct times.
-    """
-    return times.select(ts).distinct().join(keys.select(key).distinct()).join(df, [key, ts], "left")
-
-
 def pivot_times(df: DataFrame, symbols: list[str], value: str = "close") -> DataFrame:
-    """Union time axis with one column per named symbol (no cross product)."""
+    """Union time axis with one column per named symbol; missing bars are NULL."""
     return df.groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == s, F.col(value))).alias(s) for s in symbols])
 
 
