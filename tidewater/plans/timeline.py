@@ -205,11 +205,13 @@ def lay_out(
     back: int = 0,
     ahead: int = 0,
     chunk_rows: int | None = None,
+    even: bool = False,
 ) -> Timeline:
     """Split ``df`` into chunks per key along ``order`` (see the module text).
 
     ``slice_by`` must be non-decreasing along ``order``. Without a halo the slices themselves
-    are the chunks, which saves the second exchange.
+    are the chunks, which saves the second exchange; ``even`` asks for chunks of bounded row
+    count all the same.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     size = chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
@@ -234,7 +236,7 @@ def lay_out(
         .withColumn(_POS, F.col("__tl_start") + F.row_number().over(local) - 1)
         .drop("__tl_start")
     )
-    if back == 0 and ahead == 0:
+    if back == 0 and ahead == 0 and not even:
         return Timeline(placed, tuple(keys), (*keys, _SLICE), tuple(order), False)
     spread = F.expr(
         f"explode(sequence(greatest({_POS} - {ahead}, 0L) div {size}, "
