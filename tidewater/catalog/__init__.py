@@ -2,7 +2,7 @@
 
 import importlib
 
-_TOPICS = ("indicators", "ingest", "features", "metrics", "trading")
+_TOPICS = ("indicators", "ingest", "features", "metrics", "trading", "analytics", "streams")
 for _t in _TOPICS:
     importlib.import_module(f"tidewater.catalog.{_t}")
 

@@ -143,7 +143,18 @@ def _(t):
     return flat(features.sequences(t.bars_kept, 10, ["close"], target=None, mode="plain"))
 
 
-@query("f18_random_split", "split rows:i")
+def uni(*parts):
+    """SQL twin of the repeatable uniform number."""
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def gauss(*parts):
+    return f"(sqrt(-2 * ln(({uni(*parts, repr('u'))} * 4294967296.0::DOUBLE + 0.5) / 4294967296.0::DOUBLE)) * cos(2 * pi() * {uni(*parts, repr('v'))}))"
+
+
+@query("f18_random_split", "split rows:i",
+       f"SELECT CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.85::DOUBLE THEN 'validation' ELSE 'test' END AS split, count(*) AS rows FROM (SELECT {uni('trade_id', 42)} AS u FROM ticks) GROUP BY 1")
 def _(t):
     s = features.hash_split(t.ticks, ["trade_id"], {"train": 0.7, "validation": 0.15, "test": 0.15})
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
@@ -217,10 +228,11 @@ def _(t):
     return features.with_custom(t.bars, {"body": F.col("close") - F.col("open"), "upper_wick": F.col("high") - F.greatest("open", "close")})
 
 
-@query("f27_augmentation", "variant symbol rows:i")
+@query("f27_augmentation", "variant symbol ts:t close:d",
+       f"""SELECT 'jitter' AS variant, symbol, ts, close * (1 + 0.01::DOUBLE * {gauss('symbol', 'epoch_us(ts)', 42)}) AS close FROM bars UNION ALL
+       SELECT 'scale', symbol, ts, close * (1 + 0.1::DOUBLE * (2 * {uni('symbol', 42)} - 1)) FROM bars""")
 def _(t):
-    a = features.augment(t.bars_kept, ["close", "volume"])
-    return a.groupBy("variant", "symbol").agg(F.count(F.lit(1)).alias("rows"))
+    return features.augment(t.bars_kept, ["close", "volume"])
 
 
 @query("f28_config_features", "symbol ts:t price_momentum:d volume_momentum:d volatility:d support:d resistance:d trend_strength:d",
@@ -420,12 +432,13 @@ def _(t):
     return setops.best_per_group(t.trials, ["generation"], "score", "trial_id", ["trial_id", "score"])
 
 
-@query("sl06_tournament", "bucket:i trial_id:i score:d")
+@query("sl06_tournament", "bucket:i trial_id:i score:d",
+       f"""SELECT bucket, trial_id, score FROM (SELECT *, floor({uni('trial_id', 7)} * (n // 5)) AS bucket FROM trials, (SELECT count(*) AS n FROM trials))
+       QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY score DESC, trial_id) = 1""")
 def _(t):
     """Best of each pseudo-random sample of about five trials."""
-    b = F.pmod(F.xxhash64("trial_id", F.lit(7)), F.floor(F.lit(1) + F.col("__n") / 5))
-    n = t.trials.agg(F.count(F.lit(1)).alias("n"))
-    drawn = t.trials.withColumn("__n", n.scalar()).withColumn("bucket", b)
+    n = t.trials.agg(F.count(F.lit(1)).alias("n")).scalar()
+    drawn = t.trials.withColumn("bucket", F.floor(fn.uniform("trial_id", F.lit(7)) * F.floor(n / 5)))
     return setops.best_per_group(drawn, ["bucket"], "score", "trial_id", ["trial_id", "score"])
 
 

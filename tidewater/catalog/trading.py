@@ -171,7 +171,19 @@ def candidates(t):
     return out.withColumn("trade_id", F.xxhash64("symbol", "entry_ts"))
 
 
-@query("t16_portfolio_replay", "run_id trades:i win_rate:d pnl:d4 return_pct:d profit_factor:d")
+def single_run(fee):
+    """One open position per symbol, 10 % of cash per trade, costs on both legs."""
+    gain = "w.cash * 0.1::DOUBLE / n.entry_price * (n.exit_price - n.entry_price) * n.sg"
+    cost = f"(w.cash * 0.1::DOUBLE + w.cash * 0.1::DOUBLE / n.entry_price * n.exit_price) * {fee!r}::DOUBLE"
+    return f"""c AS (SELECT x.*, e.sg, e.entry_price, row_number() OVER (PARTITION BY x.symbol ORDER BY x.entry_ts) AS rn FROM ({touch(STOPPED, REACHED)}) x JOIN ({ENTRIES}) e ON e.symbol = x.symbol AND e.entry_ts = x.entry_ts),
+    w(symbol, rn, busy, cash, pnl, entry_ts, exit_ts) AS (SELECT symbol, 0::BIGINT, TIMESTAMP '1970-01-01', 10000.0::DOUBLE, NULL::DOUBLE, NULL::TIMESTAMP, NULL::TIMESTAMP FROM (SELECT DISTINCT symbol FROM c) UNION ALL
+    SELECT n.symbol, n.rn, CASE WHEN n.entry_ts >= w.busy THEN n.exit_ts ELSE w.busy END, CASE WHEN n.entry_ts >= w.busy THEN w.cash + {gain} - {cost} ELSE w.cash END,
+    CASE WHEN n.entry_ts >= w.busy THEN {gain} - {cost} END, n.entry_ts, n.exit_ts FROM w JOIN c n ON n.symbol = w.symbol AND n.rn = w.rn + 1)"""
+
+
+@query("t16_portfolio_replay", "run_id trades:i win_rate:d pnl:d4 return_pct:d profit_factor:d",
+       f"""WITH RECURSIVE {single_run(0.0015)} SELECT symbol AS run_id, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS win_rate, sum(pnl) AS pnl, sum(pnl) / 100 AS return_pct,
+       sum(greatest(pnl, 0)) / abs(sum(least(pnl, 0))) AS profit_factor FROM w WHERE pnl IS NOT NULL GROUP BY symbol""")
 def _(t):
     """One run per symbol: candidate trades from first-touch exits, then cash and limits in order."""
     c = candidates(t).withColumn("run_id", F.col("symbol"))
@@ -185,9 +197,9 @@ def _(t):
     return trades.replay_equity(settle(trades.replay(c, max_positions=3), "accepted"), 10_000.0)
 
 
-@query("t18_single_position", "run_id trade_id:i entry_ts:t exit_ts:t pnl:d")
+@query("t18_single_position", "run_id entry_ts:t exit_ts:t pnl:d", f"WITH RECURSIVE {single_run(0.0)} SELECT symbol AS run_id, entry_ts, exit_ts, pnl FROM w WHERE pnl IS NOT NULL")
 def _(t):
-    """One position at a time per symbol, on prediction signs."""
+    """One position at a time per symbol."""
     c = candidates(t).withColumn("run_id", F.col("symbol"))
     return trades.replay(c, max_positions=1, commission=0.0, slippage=0.0)
 

@@ -94,3 +94,19 @@ STOP_WORDS = tuple(
     there when where why how all any both each few more most other some such no nor not only own same so than too very
     s t can will just don should now""".split()
 )
+
+
+def uniform(*parts) -> Column:
+    """Repeatable uniform number in [0, 1) from identifying values.
+
+    Unlike ``rand(seed)`` it does not depend on partitioning or row order, so a recomputed task
+    draws the same numbers.
+    """
+    text = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def gaussian(*parts) -> Column:
+    """Repeatable standard normal number (Box-Muller on two uniforms)."""
+    u = (uniform(*parts, F.lit("u")) * 4294967296.0 + 0.5) / 4294967296.0
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * uniform(*parts, F.lit("v")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.scalars import ratio
+from tidewater.functions.scalars import gaussian, ratio, uniform
 from tidewater.plans.attach import attach, quantiles
 from tidewater.plans.timeline import Timeline, lay_out, time_slice
 
@@ -204,7 +204,7 @@ def sequences(bars: DataFrame, length: int, cols: list[str], target: str | None
 # -- splits -------------------------------------------------------------------------------
 def hash_split(df: DataFrame, ids: list[str], shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Repeatable random split: every row decides alone from a hash of its id, no global sort."""
-    u = F.pmod(F.xxhash64(*[F.col(c) for c in ids], F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    u = uniform(*ids, F.lit(seed))
     expr, acc = None, 0.0
     names = list(shares)
     for name in names[:-1]:
@@ -243,8 +243,8 @@ def with_custom(df: DataFrame, features: dict[str, Column]) -> DataFrame:
 
 def augment(df: DataFrame, cols: list[str], sigma: float = 0.01, scale_range: float = 0.1, seed: int = 42) -> DataFrame:
     """Jittered and rescaled copies of the rows; the factor is fixed per symbol."""
-    u = F.pmod(F.xxhash64("symbol", F.lit(seed)), F.lit(10_007)) / F.lit(10_007.0)
-    factor = 1 + F.lit(scale_range) * (2 * u - 1)
-    jitter = df.withColumns({c: F.col(c) * (1 + F.lit(sigma) * F.randn(seed + i)) for i, c in enumerate(cols)})
+    factor = 1 + F.lit(scale_range) * (2 * uniform("symbol", F.lit(seed)) - 1)
+    noise = lambda i: gaussian("symbol", F.unix_micros("ts"), F.lit(seed + i))
+    jitter = df.withColumns({c: F.col(c) * (1 + F.lit(sigma) * noise(i)) for i, c in enumerate(cols)})
     scaled_ = df.withColumns({c: F.col(c) * factor for c in cols})
     return jitter.withColumn("variant", F.lit("jitter")).unionByName(scaled_.withColumn("variant", F.lit("scale")))

@@ -56,7 +56,7 @@ def regime_segments(labelled: DataFrame) -> DataFrame:
     x = settle(_changes(labelled), "changes")
     runs = bars_timeline(x).running(__seg=("sum", F.col("__new").cast("long"))).rows()
     return runs.groupBy("symbol", "__seg").agg(
-        F.first("regime").alias("regime"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("bars"))
+        F.first("regime").alias("regime"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("bars"))
 
 
 def _changes(labelled: DataFrame) -> DataFrame:
