@@ -11,9 +11,12 @@ def _c(x) -> Column:
 
 
 def ratio(a, b, on_zero=None) -> Column:
-    """``a / b``; NULL (or ``on_zero``) where the denominator is zero."""
+    """``a / b``; NULL (or ``on_zero``) where the denominator is zero.
+
+    Both arguments are evaluated once, so window expressions may be passed in.
+    """
     a, b = _c(a), _c(b)
-    out = F.when(b != 0, a / F.nullif(b, F.lit(0)))
+    out = F.try_divide(a, b)
     return out if on_zero is None else F.when(b == 0, F.lit(on_zero)).otherwise(out)
 
 

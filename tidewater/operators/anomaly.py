@@ -181,9 +181,9 @@ def permutation_importance(bars: DataFrame, cols: list[str], model: Column, seed
     """
     order = [F.col("__u"), F.col("ts")]
     base = settle(bars.withColumn("__u", uniform("symbol", F.unix_micros("ts"), F.lit(seed))), "base")
-    by_time = bars_timeline(base)
+    by_time = bars_timeline(base, positions=True)
     by_time = by_time.add(__k=by_time.pos).rows()
-    shuffled = lay_out(base.select("symbol", "ts", "__u", *cols), "symbol", order, F.floor(F.col("__u") * 64))
+    shuffled = lay_out(base.select("symbol", "ts", "__u", *cols), "symbol", order, F.floor(F.col("__u") * 64), positions=True)
     shuffled = shuffled.add(__k=shuffled.pos).rows().select("symbol", "__k", *[F.col(c).alias(f"__s_{c}") for c in cols])
     j = settle(by_time.join(shuffled, ["symbol", "__k"]).withColumn("__base", model), "shuffled")
     parts = []
@@ -206,7 +206,7 @@ def history_trends(history: DataFrame, key: str, order: list[str], slice_by: Col
 
 def volatility_change(bars: DataFrame, n: int = 20) -> DataFrame:
     """Deviation of the last window against a prediction column ``predicted``."""
-    tl = bars_timeline(bars)
+    tl = bars_timeline(bars, positions=True)
     x = tl.add(__recent=tl.pos >= tl.total - n).rows()
     out = x.groupBy("symbol").agg(
         F.stddev_pop(F.when(F.col("__recent"), F.col("close"))).alias("current_volatility"), F.max_by("predicted", "ts").alias("predicted_volatility"))

@@ -37,7 +37,7 @@ def fill_forward_back(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def interpolate(df: DataFrame, cols: list[str], by_time: bool = False) -> DataFrame:
     """Linear between known neighbours by row number or by time; a NULL tail takes the last value."""
-    tl = bars_timeline(df)
+    tl = bars_timeline(df, positions=True)
     x = F.unix_micros("ts") if by_time else tl.pos
     tl = tl.add(__x=x)
     scans = {}

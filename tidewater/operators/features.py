@@ -14,8 +14,8 @@ from tidewater.plans.timeline import Timeline, lay_out, time_slice
 BAR_SLICE = 30 * 86400
 
 
-def bars_timeline(bars: DataFrame, back: int = 0, ahead: int = 0, key: str = "symbol") -> Timeline:
-    return lay_out(bars, key, ["ts"], time_slice("ts", BAR_SLICE), back, ahead)
+def bars_timeline(bars: DataFrame, back: int = 0, ahead: int = 0, key: str = "symbol", positions: bool = False, block: int = 0) -> Timeline:
+    return lay_out(bars, key, ["ts"], time_slice("ts", BAR_SLICE), back, ahead, positions=positions, block=block)
 
 
 def simple_returns(bars: DataFrame, price: str = "close") -> DataFrame:
@@ -95,8 +95,9 @@ def futures_features(bars: DataFrame, n: int = 20) -> DataFrame:
 def rolling_scale(bars: DataFrame, n: int = 100) -> DataFrame:
     """Rolling min-max price scaling and ``log(volume + 1)``."""
     tl = bars_timeline(bars, back=n)
-    lo, hi = tl.full(F.min, "close", n), tl.full(F.max, "close", n)
-    return tl.add(price_scaled=ratio(F.col("close") - lo, hi - lo), volume_log=F.log1p("volume")).rows()
+    tl = tl.add(__lo=tl.full(F.min, "close", n), __hi=tl.full(F.max, "close", n))
+    price = ratio(F.col("close") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    return tl.add(price_scaled=price, volume_log=F.log1p("volume")).drop("__lo", "__hi").rows()
 
 
 def moving_mean(bars: DataFrame, n: int = 3, col: str = "close") -> DataFrame:
@@ -214,14 +215,14 @@ def hash_split(df: DataFrame, ids: list[str], shares: dict[str, float], seed: in
 
 
 def chronological_split(bars: DataFrame, validation: float = 0.2) -> DataFrame:
-    tl = bars_timeline(bars)
+    tl = bars_timeline(bars, positions=True)
     cut = F.floor(tl.total * F.lit(1 - validation))
     return tl.add(split=F.when(tl.pos < cut, "train").otherwise("validation")).rows()
 
 
 def time_series_folds(bars: DataFrame, k: int = 5, gap: int = 0) -> DataFrame:
     """Expanding-window folds; every row is emitted once per fold it takes part in."""
-    tl = bars_timeline(bars)
+    tl = bars_timeline(bars, positions=True)
     size = F.floor(tl.total / F.lit(k + 1))
     df = tl.add(__p=tl.pos, __size=size, __n=tl.total).rows().withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     start = F.col("__n") - (F.lit(k) - F.col("fold") + 1) * F.col("__size")
@@ -232,7 +233,7 @@ def time_series_folds(bars: DataFrame, k: int = 5, gap: int = 0) -> DataFrame:
 
 
 def batches(bars: DataFrame, size: int = 32) -> DataFrame:
-    tl = bars_timeline(bars)
+    tl = bars_timeline(bars, positions=True)
     return tl.add(batch=F.floor(tl.pos / size)).rows()
 
 

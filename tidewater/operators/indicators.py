@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio
 from tidewater.operators.features import bars_timeline
-from tidewater.plans.timeline import Timeline, lay_out, smoothing_reach, time_slice
+from tidewater.plans.timeline import Timeline, block_rows, lay_out, smoothing_reach, time_slice
 
 REGISTRY: dict[str, Callable[..., Timeline]] = {}
 REACH: dict[str, Callable[..., int]] = {}
+WEIGHTS: dict[str, Callable[..., list[float]]] = {}
 
 
-def indicator(name: str, reach: Callable[..., int]):
+def indicator(name: str, reach: Callable[..., int], weights: Callable[..., list[float]] | None = None):
+    """Register an indicator with its look-back and, if it smooths, its smoothing weights."""
+
     def register(fn):
         REGISTRY[name], REACH[name] = fn, reach
+        WEIGHTS[name] = weights or (lambda **_: [])
         return fn
 
     return register
@@ -35,7 +39,9 @@ def add_indicators(bars: DataFrame, wanted: dict[str, dict] | list[str]) -> Data
     if unknown:
         raise ValueError(f"unknown indicators {unknown}")
     back = max(REACH[n](**kw) for n, kw in wanted.items())
-    tl = bars_timeline(bars, back=back)
+    block = max((block_rows(a) for n, kw in wanted.items() for a in WEIGHTS[n](**kw)), default=0)
+    # Smoothing looks back whole blocks, and chained smoothing one block more per link.
+    tl = bars_timeline(bars, back=max(back, 4 * block), block=block)
     for name, kw in wanted.items():
         tl = REGISTRY[name](tl, **kw)
     return tl.rows()
@@ -63,8 +69,8 @@ def true_range(tl: Timeline) -> Column:
 
 def gains_losses(tl: Timeline, col: str = "close") -> Timeline:
     """Up and down moves; a missing first move counts as 0."""
-    d = F.col(col) - tl.lag(col)
-    return tl.add(__gain=F.when(d > 0, d).otherwise(F.lit(0.0)), __loss=F.when(d < 0, -d).otherwise(F.lit(0.0)))
+    tl, d = tl.add(__move=F.col(col) - tl.lag(col)), F.col("__move")
+    return tl.add(__gain=F.when(d > 0, d).otherwise(F.lit(0.0)), __loss=F.when(d < 0, -d).otherwise(F.lit(0.0))).drop("__move")
 
 
 def rsi_from(gain: Column, loss: Column) -> Column:
@@ -76,12 +82,12 @@ def typical_price() -> Column:
 
 
 def directional_moves(tl: Timeline) -> Timeline:
-    up, down = F.col("high") - tl.lag("high"), tl.lag("low") - F.col("low")
+    tl = tl.add(__tr=true_range(tl), __up=F.col("high") - tl.lag("high"), __down=tl.lag("low") - F.col("low"))
+    up, down = F.col("__up"), F.col("__down")
     return tl.add(
-        __tr=true_range(tl),
         __pdm=F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0)),
         __ndm=F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)),
-    )
+    ).drop("__up", "__down")
 
 
 # -- moving averages ----------------------------------------------------------------------
@@ -94,13 +100,13 @@ def ema_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-@indicator("ema", lambda n=20, **_: smoothing_reach(ema_alpha(n)))
+@indicator("ema", lambda n=20, **_: smoothing_reach(ema_alpha(n)), lambda n=20, **_: [ema_alpha(n)])
 def ema(tl: Timeline, n: int = 20, col: str = "close", out: str | None = None) -> Timeline:
     """Exponential mean seeded with the first value."""
     return tl.smooth(**{out or f"ema_{n}": (col, ema_alpha(n))})
 
 
-@indicator("ema_seeded", lambda n=20, **_: smoothing_reach(ema_alpha(n)) + n)
+@indicator("ema_seeded", lambda n=20, **_: smoothing_reach(ema_alpha(n)) + n, lambda n=20, **_: [ema_alpha(n)])
 def ema_seeded(tl: Timeline, n: int = 20, col: str = "close", out: str | None = None) -> Timeline:
     """Exponential mean seeded with the mean of the first ``n`` values; NULL before."""
     out = out or f"ema_seeded_{n}"
@@ -108,7 +114,7 @@ def ema_seeded(tl: Timeline, n: int = 20, col: str = "close", out: str | None =
     return tl.smooth(**{out: (F.col(col), ema_alpha(n), n - 1, F.col("__seed"))}).drop("__seed")
 
 
-@indicator("macd", lambda fast=12, slow=26, signal=9, **_: 2 * smoothing_reach(ema_alpha(slow)))
+@indicator("macd", lambda slow=26, **_: 2 * smoothing_reach(ema_alpha(slow)), lambda fast=12, slow=26, signal=9, **_: [ema_alpha(fast), ema_alpha(slow), ema_alpha(signal)])
 def macd(tl: Timeline, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close") -> Timeline:
     tl = tl.smooth(__f=(col, ema_alpha(fast)), __s=(col, ema_alpha(slow)))
     tl = tl.add(macd=F.col("__f") - F.col("__s")).drop("__f", "__s")
@@ -116,26 +122,27 @@ def macd(tl: Timeline, fast: int = 12, slow: int = 26, signal: int = 9, col: str
     return tl.add(macd_histogram=F.col("macd") - F.col("macd_signal"))
 
 
-@indicator("macd_cross", lambda **_: 2 * smoothing_reach(ema_alpha(26)) + 1)
+@indicator("macd_cross", lambda **_: 2 * smoothing_reach(ema_alpha(26)) + 1, lambda **_: [ema_alpha(n) for n in (9, 12, 26)])
 def macd_cross(tl: Timeline) -> Timeline:
     if "macd_signal" not in tl.df.columns:
         tl = macd(tl)
-    pm, ps = tl.lag("macd"), tl.lag("macd_signal")
-    m, s = F.col("macd"), F.col("macd_signal")
+    tl = tl.add(__pm=tl.lag("macd"), __ps=tl.lag("macd_signal"))
+    pm, ps, m, s = F.col("__pm"), F.col("__ps"), F.col("macd"), F.col("macd_signal")
     return tl.add(
         bullish_cross=F.coalesce((pm <= ps) & (m > s), F.lit(False)),
         bearish_cross=F.coalesce((pm >= ps) & (m < s), F.lit(False)),
-    )
+    ).drop("__pm", "__ps")
 
 
 # -- oscillators --------------------------------------------------------------------------
 @indicator("rsi", lambda n=14, **_: n + 1)
 def rsi(tl: Timeline, n: int = 14, out: str = "rsi") -> Timeline:
     tl = gains_losses(tl)
-    return tl.add(**{out: rsi_from(tl.full(F.avg, "__gain", n), tl.full(F.avg, "__loss", n))}).drop("__gain", "__loss")
+    tl = tl.add(__ag=tl.full(F.avg, "__gain", n), __al=tl.full(F.avg, "__loss", n))
+    return tl.add(**{out: rsi_from(F.col("__ag"), F.col("__al"))}).drop("__gain", "__loss", "__ag", "__al")
 
 
-@indicator("rsi_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1)
+@indicator("rsi_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1, lambda n=14, **_: [1 / n])
 def rsi_wilder(tl: Timeline, n: int = 14, out: str = "rsi_wilder", head: float | None = 50.0) -> Timeline:
     """Wilder smoothing seeded with the mean of the first ``n`` moves; ``head`` while too short."""
     tl = gains_losses(tl)
@@ -158,32 +165,33 @@ def rsi_flags(tl: Timeline, n: int = 14, overbought: float = 70, oversold: float
 
 @indicator("stochastic", lambda k=14, d=3, **_: k + d)
 def stochastic(tl: Timeline, k: int = 14, d: int = 3) -> Timeline:
-    lo, hi = tl.full(F.min, "low", k), tl.full(F.max, "high", k)
-    tl = tl.add(stoch_k=100 * ratio(F.col("close") - lo, hi - lo))
+    tl = tl.add(__lo=tl.full(F.min, "low", k), __hi=tl.full(F.max, "high", k))
+    tl = tl.add(stoch_k=100 * ratio(F.col("close") - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
     return tl.add(stoch_d=tl.full(F.avg, "stoch_k", d))
 
 
 @indicator("roc", lambda n=12, **_: n)
 def roc(tl: Timeline, n: int = 12) -> Timeline:
-    p = tl.lag("close", n)
-    return tl.add(roc=ratio(F.col("close") - p, p) * 100)
+    tl = tl.add(__p=tl.lag("close", n))
+    return tl.add(roc=ratio(F.col("close") - F.col("__p"), F.col("__p")) * 100).drop("__p")
 
 
 @indicator("mfi", lambda n=14, **_: n + 1)
 def mfi(tl: Timeline, n: int = 14) -> Timeline:
     tl = tl.add(__tp=typical_price())
-    d, flow = F.col("__tp") - tl.lag("__tp"), F.col("__tp") * F.col("volume")
+    tl = tl.add(__d=F.col("__tp") - tl.lag("__tp"))
+    d, flow = F.col("__d"), F.col("__tp") * F.col("volume")
     tl = tl.add(__up=F.when(d > 0, flow).otherwise(F.lit(0.0)), __down=F.when(d < 0, flow).otherwise(F.lit(0.0)))
-    p, q = tl.full(F.sum, "__up", n), tl.full(F.sum, "__down", n)
-    return tl.add(mfi=rsi_from(p, q)).drop("__tp", "__up", "__down")
+    tl = tl.add(__p=tl.full(F.sum, "__up", n), __q=tl.full(F.sum, "__down", n))
+    return tl.add(mfi=rsi_from(F.col("__p"), F.col("__q"))).drop("__tp", "__d", "__up", "__down", "__p", "__q")
 
 
 # -- bands and ranges ---------------------------------------------------------------------
 @indicator("bollinger", lambda n=20, **_: n)
 def bollinger(tl: Timeline, n: int = 20, k: float = 2.0) -> Timeline:
-    mid, sd = tl.full(F.avg, "close", n), tl.full(F.stddev, "close", n)
-    tl = tl.add(bb_mid=mid, bb_upper=mid + k * sd, bb_lower=mid - k * sd)
-    return tl.add(bb_width=ratio(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_mid")))
+    tl = tl.add(bb_mid=tl.full(F.avg, "close", n), __sd=tl.full(F.stddev, "close", n))
+    mid, sd = F.col("bb_mid"), F.col("__sd")
+    return tl.add(bb_upper=mid + k * sd, bb_lower=mid - k * sd, bb_width=ratio(2 * k * sd, mid)).drop("__sd")
 
 
 @indicator("atr", lambda n=14, **_: n + 1)
@@ -192,7 +200,7 @@ def atr(tl: Timeline, n: int = 14, out: str = "atr") -> Timeline:
     return tl.add(**{out: tl.full(F.avg, "true_range", n)})
 
 
-@indicator("atr_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1)
+@indicator("atr_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1, lambda n=14, **_: [1 / n])
 def atr_wilder(tl: Timeline, n: int = 14) -> Timeline:
     tl = tl.add(__tr=true_range(tl))
     tl = tl.add(__seed=tl.full(F.avg, "__tr", n))
@@ -233,12 +241,13 @@ def vwap_daily(bars: DataFrame) -> DataFrame:
     return tl.rows().withColumn("vwap", ratio("__pv", "__v")).drop("__pv", "__v", "__day")
 
 
-@indicator("volume_averages", lambda fast=5, slow=20, **_: smoothing_reach(ema_alpha(20)) + slow)
+@indicator("volume_averages", lambda slow=20, **_: smoothing_reach(ema_alpha(slow)) + slow, lambda slow=20, **_: [ema_alpha(slow)])
 def volume_averages(tl: Timeline, fast: int = 5, slow: int = 20) -> Timeline:
     """Volume SMA / EMA, relative volume, and the sign of fast against slow volume."""
     tl = tl.smooth(volume_ema=("volume", ema_alpha(slow)))
-    s, f = tl.full(F.avg, "volume", slow), tl.full(F.avg, "volume", fast)
-    return tl.add(volume_sma=s, relative_volume=ratio(F.col("volume"), s), volume_trend=F.signum(f - s))
+    tl = tl.add(volume_sma=tl.full(F.avg, "volume", slow), __fast=tl.full(F.avg, "volume", fast))
+    s = F.col("volume_sma")
+    return tl.add(relative_volume=ratio(F.col("volume"), s), volume_trend=F.signum(F.col("__fast") - s)).drop("__fast")
 
 
 # -- trend --------------------------------------------------------------------------------
@@ -246,21 +255,21 @@ def volume_averages(tl: Timeline, fast: int = 5, slow: int = 20) -> Timeline:
 def adx(tl: Timeline, n: int = 14) -> Timeline:
     """Rolling-sum directional index."""
     tl = directional_moves(tl)
-    tr = tl.full(F.sum, "__tr", n)
-    tl = tl.add(plus_di=100 * ratio(tl.full(F.sum, "__pdm", n), tr), minus_di=100 * ratio(tl.full(F.sum, "__ndm", n), tr))
+    tl = tl.add(__str=tl.full(F.sum, "__tr", n), __sp=tl.full(F.sum, "__pdm", n), __sn=tl.full(F.sum, "__ndm", n))
+    tl = tl.add(plus_di=100 * ratio("__sp", "__str"), minus_di=100 * ratio("__sn", "__str")).drop("__str", "__sp", "__sn")
     p, m = F.col("plus_di"), F.col("minus_di")
     tl = tl.add(__dx=100 * ratio(F.abs(p - m), p + m))
     return tl.add(adx=tl.full(F.avg, "__dx", n)).drop("__tr", "__pdm", "__ndm", "__dx")
 
 
-@indicator("adx_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1)
+@indicator("adx_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1, lambda n=14, **_: [1 / n])
 def adx_wilder(tl: Timeline, n: int = 14, threshold: float = 25.0) -> Timeline:
     """Directional index whose DX is Wilder-smoothed from the first full window on."""
     tl = directional_moves(tl)
     ready = tl.pos >= n
-    tr = F.avg("__tr").over(tl.last(n))
-    di = lambda c: F.when(ready, 100 * ratio(F.avg(c).over(tl.last(n)), tr, on_zero=0.0))
-    tl = tl.add(plus_di_w=di("__pdm"), minus_di_w=di("__ndm"))
+    tl = tl.add(**{f"{c}_a": F.avg(c).over(tl.last(n)) for c in ("__tr", "__pdm", "__ndm")})
+    di = lambda c: F.when(ready, 100 * ratio(F.col(c), F.col("__tr_a"), on_zero=0.0))
+    tl = tl.add(plus_di_w=di("__pdm_a"), minus_di_w=di("__ndm_a")).drop("__tr_a", "__pdm_a", "__ndm_a")
     p, m = F.col("plus_di_w"), F.col("minus_di_w")
     tl = tl.add(__dx=F.when(ready, 100 * ratio(F.abs(p - m), p + m, on_zero=0.0)))
     tl = tl.smooth(adx_w=(F.col("__dx"), 1 / n, n, F.col("__dx")))
@@ -279,7 +288,8 @@ def ma_deviation(tl: Timeline, n: int = 20) -> Timeline:
 def trend_sign(tl: Timeline, n: int = 20) -> Timeline:
     tl = tl.add(__x=tl.pos.cast("double"))
     slope = F.when(tl.pos >= n - 1, F.regr_slope(F.col("close"), F.col("__x")).over(tl.last(n)))
-    return tl.add(trend_sign=F.signum(F.col("close") - tl.full(F.avg, "close", n)), rolling_slope=slope).drop("__x")
+    tl = tl.add(__ma=tl.full(F.avg, "close", n), rolling_slope=slope)
+    return tl.add(trend_sign=F.signum(F.col("close") - F.col("__ma"))).drop("__x", "__ma")
 
 
 # -- volatility and momentum --------------------------------------------------------------
@@ -309,8 +319,8 @@ def custom_momentum(tl: Timeline, n: int = 10) -> Timeline:
 def funding_trend(funding: DataFrame, n: int = 8) -> DataFrame:
     """Funding mean, its trend sign and the contrarian signal in {-1, 0, 1}."""
     tl = bars_timeline(funding, back=n)
-    ma = tl.full(F.avg, "funding_rate", n)
-    tl = tl.add(funding_ma=ma, funding_trend=F.signum(F.col("funding_rate") - ma))
+    tl = tl.add(funding_ma=tl.full(F.avg, "funding_rate", n))
+    tl = tl.add(funding_trend=F.signum(F.col("funding_rate") - F.col("funding_ma")))
     return tl.rows().withColumn("funding_signal", -F.col("funding_trend"))
 
 

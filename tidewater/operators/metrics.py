@@ -428,7 +428,7 @@ def day_state(bars: DataFrame, bars_per_day: int = 24) -> DataFrame:
 def liquidity(bars: DataFrame, n: int = 20) -> DataFrame:
     from tidewater.operators.features import bars_timeline
 
-    tl = bars_timeline(bars)
+    tl = bars_timeline(bars, positions=True)
     x = tl.add(__recent=tl.pos >= tl.total - n).rows()
     avg_recent = F.avg(F.when(F.col("__recent"), F.col("volume")))
     return x.groupBy("symbol").agg(

@@ -145,7 +145,7 @@ def diversity(pop: DataFrame, key: str, id_col: str, genes: list[str]) -> DataFr
     parts = None
     for i, g in enumerate(genes):
         x = value_slices(pop.select(key, id_col, F.col(g).cast("double").alias("v")), key, "v")
-        tl = lay_out(x, key, ["v", id_col], F.col("__vs"))
+        tl = lay_out(x, key, ["v", id_col], F.col("__vs"), positions=True)
         n = F.col("__n")
         s = tl.add(__w=F.col("v") * (2 * tl.pos - tl.total + 1), __n=tl.total).rows().groupBy(key).agg(
             F.sum("__w").alias("__s"), F.max("__n").alias("__n"))

@@ -10,7 +10,7 @@ from tidewater.plans.timeline import lay_out, time_slice
 
 def last_rows(df: DataFrame, keys: list[str] | str, ts: str, n: int, slice_seconds: int = 30 * 86400) -> DataFrame:
     """Last ``n`` rows per key by exact position, without sorting a key in one task."""
-    tl = lay_out(df, keys, [ts], time_slice(ts, slice_seconds))
+    tl = lay_out(df, keys, [ts], time_slice(ts, slice_seconds), positions=True)
     return tl.add(__keep=tl.pos >= tl.total - n).rows().where("__keep").drop("__keep")
 
 
@@ -32,7 +32,7 @@ def best_per_group(df: DataFrame, keys: list[str], score: str, tie: str, cols: l
 def capped_per_hour(df: DataFrame, key: str, ts: str, cap: int, order: list) -> DataFrame:
     """At most ``cap`` rows per key and hour, in order (alert throttling)."""
     keyed = df.withColumn("__hour", F.date_trunc("hour", ts))
-    tl = lay_out(keyed, [key, "__hour"], order, time_slice(ts, 60))
+    tl = lay_out(keyed, [key, "__hour"], order, time_slice(ts, 60), positions=True)
     return tl.add(__keep=tl.pos < cap).rows().where("__keep").drop("__keep", "__hour")
 
 

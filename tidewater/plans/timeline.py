@@ -22,10 +22,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 65_536
 CHUNK_SETTING = "tidewater.chunk.rows"
 
-_SLICE, _CHUNK, _POS, _TOTAL, _OWN = "__tl_slice", "__tl_chunk", "__tl_pos", "__tl_total", "__tl_own"
+_SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK = "__tl_slice", "__tl_chunk", "__tl_pos", "__tl_total", "__tl_own", "__tl_block"
 
 
 def time_slice(ts: str | Column, seconds: int) -> Column:
@@ -41,6 +41,7 @@ class Timeline:
     part: tuple[str, ...]
     order: tuple = field(default=())
     halo: bool = False
+    block: int = 0
 
     # -- frames ---------------------------------------------------------------------------
     def window(self, lo: int | None = None, hi: int | None = 0) -> WindowSpec:
@@ -85,6 +86,14 @@ class Timeline:
         """Number of rows of the key."""
         return F.col(_TOTAL)
 
+    def _rank(self) -> Column:
+        """Ascending order value of a row inside its chunk."""
+        if _POS in self.df.columns:
+            return self.pos
+        if not all(isinstance(o, str) for o in self.order):
+            raise ValueError("this scan needs positions: lay out with positions=True")
+        return F.struct(*self.order)
+
     @property
     def own(self) -> Column:
         return F.col(_OWN) if self.halo else F.lit(True)
@@ -125,11 +134,11 @@ class Timeline:
                 carries.append(fn(t).over(before).alias(c))
                 exprs[name] = pick(F.col(c), fn(val).over(frame))
             elif op == "last":
-                folds.append(F.max_by(val, F.when(val.isNotNull(), self.pos)).alias(t))
+                folds.append(F.max_by(val, F.when(val.isNotNull(), self._rank())).alias(t))
                 carries.append(F.last(t, ignorenulls=True).over(before).alias(c))
                 exprs[name] = F.coalesce(F.last(val, ignorenulls=True).over(frame), F.col(c))
             elif op == "next":
-                folds.append(F.min_by(val, F.when(val.isNotNull(), self.pos)).alias(t))
+                folds.append(F.min_by(val, F.when(val.isNotNull(), self._rank())).alias(t))
                 carries.append(F.first(t, ignorenulls=True).over(after).alias(c))
                 exprs[name] = F.coalesce(F.first(val, ignorenulls=True).over(frame), F.col(c))
             else:
@@ -154,37 +163,38 @@ class Timeline:
             x = F.col(x) if isinstance(x, str) else x
             start, seed = (spec[2], spec[3]) if len(spec) > 2 else (0, x)
             parsed[name] = (x, a, start, seed)
-        lengths = {n: block_rows(p[1]) for n, p in parsed.items()}
-        common = max(lengths.values())
-        if all(-common * math.log(1 - p[1]) < 650 for p in parsed.values()):
-            lengths = {n: common for n in lengths}
-
+        sizes: dict[int, list[str]] = {}
+        for name, (_, a, _, _) in parsed.items():
+            fits = block_rows(a) <= self.block and exact_in(a, self.block)
+            sizes.setdefault(self.block if fits else block_rows(a), []).append(name)
         tl = self
-        for size in sorted(set(lengths.values())):
-            names = [n for n in parsed if lengths[n] == size]
-            k = tl.pos % F.lit(size)
-            tl = tl.add(__blk=F.expr(f"{_POS} div {size}"))
-            inner = Window.partitionBy(*tl.part, "__blk").orderBy(*tl.order)
-            inner = inner.rowsBetween(Window.unboundedPreceding, 0)
-            local, value = {}, {}
-            for n in names:
-                x, a, start, seed = parsed[n]
-                d = F.lit(1.0 - a)
-                term = F.when(tl.pos > start, F.lit(a) * x).when(tl.pos == start, seed).otherwise(F.lit(0.0))
-                local[f"__l_{n}"] = F.sum(term * F.pow(d, -k)).over(inner) * F.pow(d, k)
-            tl = tl.add(**local)
-            for n in names:
-                _, a, start, _ = parsed[n]
-                ends = F.when(k == size - 1, F.col(f"__l_{n}"))
-                carry = F.coalesce(F.last(ends, ignorenulls=True).over(tl.window(None, -1)), F.lit(0.0))
-                value[n] = F.when(tl.pos >= start, F.col(f"__l_{n}") + carry * F.pow(F.lit(1.0 - a), k + 1))
-            tl = tl.add(**value).drop("__blk", *local)
+        for size, names in sizes.items():
+            tl = tl._smooth_blocks(size, {n: parsed[n] for n in names})
         return tl
 
+    def _smooth_blocks(self, size: int, specs: dict) -> "Timeline":
+        shared = size == self.block
+        blk = _BLOCK if shared else "__blk"
+        tl = self if shared else self.add(__blk=F.expr(f"{_POS} div {size}"))
+        order = (_POS,) if shared else tl.order
+        k = tl.pos % F.lit(size)
+        inner = Window.partitionBy(*tl.part, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        local, value = {}, {}
+        for n, (x, a, start, seed) in specs.items():
+            d = F.lit(1.0 - a)
+            term = F.when(tl.pos > start, F.lit(a) * x).when(tl.pos == start, seed).otherwise(F.lit(0.0))
+            local[f"__l_{n}"] = F.sum(term * F.pow(d, -k)).over(inner) * F.pow(d, k)
+        tl = tl.add(**local)
+        for n, (_, a, start, _) in specs.items():
+            ends = F.when(k == size - 1, F.col(f"__l_{n}"))
+            carry = F.coalesce(F.last(ends, ignorenulls=True).over(tl.window(None, -1)), F.lit(0.0))
+            value[n] = F.when(tl.pos >= start, F.col(f"__l_{n}") + carry * F.pow(F.lit(1.0 - a), k + 1))
+        return tl.add(**value).drop(*local) if shared else tl.add(**value).drop("__blk", *local)
+
     def rows(self) -> DataFrame:
         """The rows that belong to each chunk, without helper columns."""
         df = self.df.where(F.col(_OWN)) if self.halo else self.df
-        return df.drop(_SLICE, _CHUNK, _POS, _TOTAL, _OWN, "__tl_start")
+        return df.drop(_SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK, "__tl_start")
 
 
 def block_rows(alpha: float) -> int:
@@ -192,6 +202,11 @@ def block_rows(alpha: float) -> int:
     return max(2, math.ceil(40.0 / -math.log(1.0 - alpha)))
 
 
+def exact_in(alpha: float, size: int) -> bool:
+    """Whether the inverse weights of a block of ``size`` rows stay inside double range."""
+    return -size * math.log(1.0 - alpha) < 650
+
+
 def smoothing_reach(alpha: float) -> int:
     """Rows before a chunk that :meth:`Timeline.smooth` needs."""
     return 2 * block_rows(alpha)
@@ -206,16 +221,23 @@ def lay_out(
     ahead: int = 0,
     chunk_rows: int | None = None,
     even: bool = False,
+    positions: bool = False,
+    block: int = 0,
 ) -> Timeline:
     """Split ``df`` into chunks per key along ``order`` (see the module text).
 
     ``slice_by`` must be non-decreasing along ``order``. Without a halo the slices themselves
     are the chunks, which saves the second exchange; ``even`` asks for chunks of bounded row
-    count all the same.
+    count all the same. Without either, positions are only worked out when ``positions`` is set.
+    ``block`` names the block length smoothing will use: the chunks are then sorted by block and
+    position once, and smoothing and plain windows share that sort.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     size = chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
     rows = df.withColumn(_SLICE, slice_by)
+    plain = back == 0 and ahead == 0 and not even
+    if plain and not positions:
+        return Timeline(rows, tuple(keys), (*keys, _SLICE), tuple(order), False)
     by_key = Window.partitionBy(*keys)
     starts = (
         rows.groupBy(*keys, _SLICE)
@@ -236,7 +258,7 @@ def lay_out(
         .withColumn(_POS, F.col("__tl_start") + F.row_number().over(local) - 1)
         .drop("__tl_start")
     )
-    if back == 0 and ahead == 0 and not even:
+    if plain:
         return Timeline(placed, tuple(keys), (*keys, _SLICE), tuple(order), False)
     spread = F.expr(
         f"explode(sequence(greatest({_POS} - {ahead}, 0L) div {size}, "
@@ -244,4 +266,7 @@ def lay_out(
     )
     chunked = placed.drop(_SLICE).withColumn(_CHUNK, spread)
     chunked = chunked.withColumn(_OWN, F.col(_CHUNK) == F.expr(f"{_POS} div {size}"))
+    if block:
+        chunked = chunked.withColumn(_BLOCK, F.expr(f"{_POS} div {block}"))
+        return Timeline(chunked, tuple(keys), (*keys, _CHUNK), (_BLOCK, _POS), True, block)
     return Timeline(chunked, tuple(keys), (*keys, _CHUNK), (_POS,), True)
