@@ -110,8 +110,7 @@ def ema(tl: Timeline, n: int = 20, col: str = "close", out: str | None = None) -
 def ema_seeded(tl: Timeline, n: int = 20, col: str = "close", out: str | None = None) -> Timeline:
     """Exponential mean seeded with the mean of the first ``n`` values; NULL before."""
     out = out or f"ema_seeded_{n}"
-    tl = tl.add(__seed=tl.full(F.avg, col, n))
-    return tl.smooth(**{out: (F.col(col), ema_alpha(n), n - 1, F.col("__seed"))}).drop("__seed")
+    return tl.smooth(**{out: (col, ema_alpha(n), n - 1, n)})
 
 
 @indicator("macd", lambda slow=26, **_: 2 * smoothing_reach(ema_alpha(slow)), lambda fast=12, slow=26, signal=9, **_: [ema_alpha(fast), ema_alpha(slow), ema_alpha(signal)])
@@ -146,14 +145,11 @@ def rsi(tl: Timeline, n: int = 14, out: str = "rsi") -> Timeline:
 def rsi_wilder(tl: Timeline, n: int = 14, out: str = "rsi_wilder", head: float | None = 50.0) -> Timeline:
     """Wilder smoothing seeded with the mean of the first ``n`` moves; ``head`` while too short."""
     tl = gains_losses(tl)
-    tl = tl.add(__g0=F.avg("__gain").over(tl.last(n)), __l0=F.avg("__loss").over(tl.last(n)))
-    tl = tl.smooth(
-        __ag=(F.col("__gain"), 1 / n, n, F.col("__g0")), __al=(F.col("__loss"), 1 / n, n, F.col("__l0"))
-    )
+    tl = tl.smooth(__ag=("__gain", 1 / n, n, n), __al=("__loss", 1 / n, n, n))
     g, l = F.col("__ag"), F.col("__al")
     value = F.when(l == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(g, l)))
     value = F.when(tl.pos < n, F.lit(head)).otherwise(value)
-    return tl.add(**{out: value}).drop("__gain", "__loss", "__g0", "__l0", "__ag", "__al")
+    return tl.add(**{out: value}).drop("__gain", "__loss", "__ag", "__al")
 
 
 @indicator("rsi_flags", lambda n=14, **_: n + 1)
@@ -203,8 +199,7 @@ def atr(tl: Timeline, n: int = 14, out: str = "atr") -> Timeline:
 @indicator("atr_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1, lambda n=14, **_: [1 / n])
 def atr_wilder(tl: Timeline, n: int = 14) -> Timeline:
     tl = tl.add(__tr=true_range(tl))
-    tl = tl.add(__seed=tl.full(F.avg, "__tr", n))
-    return tl.smooth(atr_wilder=(F.col("__tr"), 1 / n, n - 1, F.col("__seed"))).drop("__tr", "__seed")
+    return tl.smooth(atr_wilder=("__tr", 1 / n, n - 1, n)).drop("__tr")
 
 
 # -- volume -------------------------------------------------------------------------------
@@ -272,7 +267,7 @@ def adx_wilder(tl: Timeline, n: int = 14, threshold: float = 25.0) -> Timeline:
     tl = tl.add(plus_di_w=di("__pdm_a"), minus_di_w=di("__ndm_a")).drop("__tr_a", "__pdm_a", "__ndm_a")
     p, m = F.col("plus_di_w"), F.col("minus_di_w")
     tl = tl.add(__dx=F.when(ready, 100 * ratio(F.abs(p - m), p + m, on_zero=0.0)))
-    tl = tl.smooth(adx_w=(F.col("__dx"), 1 / n, n, F.col("__dx")))
+    tl = tl.smooth(adx_w=("__dx", 1 / n, n, 1))
     tl = tl.add(strong_trend=F.col("adx_w") >= threshold, bullish_trend=p > m, bearish_trend=m > p)
     return tl.drop("__tr", "__pdm", "__ndm", "__dx")
 

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from tidewater.functions.scalars import clamp, ratio
 from tidewater.operators import indicators as ind
 from tidewater.operators.features import bars_timeline
-from tidewater.plans.timeline import Timeline, smoothing_reach
+from tidewater.plans.timeline import Timeline, block_rows, smoothing_reach
 
 
 class Strategy:
     """Plug-in point: declare ``reach`` and turn a laid-out timeline into one with signal columns."""
 
     reach = 0
+    block = 0  # smoothing block length, if the strategy smooths
 
     def signals(self, tl: Timeline) -> Timeline:
         raise NotImplementedError
 
     def run(self, bars: DataFrame) -> DataFrame:
-        return self.signals(bars_timeline(bars, back=self.reach)).rows()
+        return self.signals(bars_timeline(bars, back=max(self.reach, 4 * self.block), block=self.block)).rows()
 
 
 def crossed_up(tl: Timeline, fast: str, slow: str) -> Column:
@@ -83,6 +84,7 @@ class TrendFollowing(Strategy):
     def __init__(self, fast: int = 12, slow: int = 26, adx_min: float = 25.0, atr_stop: float = 2.0):
         self.fast, self.slow, self.adx_min, self.atr_stop = fast, slow, adx_min, atr_stop
         self.reach = smoothing_reach(ind.ema_alpha(slow)) + 1
+        self.block = block_rows(ind.ema_alpha(slow))
 
     def signals(self, tl: Timeline) -> Timeline:
         tl = tl.smooth(fast_ema=("close", ind.ema_alpha(self.fast)), slow_ema=("close", ind.ema_alpha(self.slow)))
@@ -97,6 +99,7 @@ class RsiMacd(Strategy):
     """Sum of the RSI zone and the MACD side, as -1, 0 or 1."""
 
     reach = 2 * smoothing_reach(ind.ema_alpha(26))
+    block = block_rows(ind.ema_alpha(26))
 
     def signals(self, tl: Timeline) -> Timeline:
         tl = ind.macd(ind.rsi(tl))

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 65_536
+CHUNK_ROWS = 16_384
 CHUNK_SETTING = "tidewater.chunk.rows"
 
 _SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK = "__tl_slice", "__tl_chunk", "__tl_pos", "__tl_total", "__tl_own", "__tl_block"
@@ -151,8 +151,8 @@ class Timeline:
     def smooth(self, **specs) -> "Timeline":
         """Linear recurrences ``y[t] = a*x[t] + (1-a)*y[t-1]``.
 
-        Each spec is ``(x, a)`` or ``(x, a, start, seed)``: y is NULL before position ``start``,
-        equals ``seed`` there, and follows the recurrence after. Weights fade by ``1 - a`` per row,
+        Each spec is ``(x, a)`` or ``(x, a, start, n)``: y is NULL before position ``start``, equals
+        the mean of the last ``n`` values there, and follows the recurrence after. Weights fade by ``1 - a`` per row,
         so two blocks of ``block_rows(a)`` rows determine y to double precision and a bounded halo
         is enough: inside a block y is a weighted running sum, and the only carry is the end of
         the block before.
@@ -161,8 +161,8 @@ class Timeline:
         for name, spec in specs.items():
             x, a = spec[0], float(spec[1])
             x = F.col(x) if isinstance(x, str) else x
-            start, seed = (spec[2], spec[3]) if len(spec) > 2 else (0, x)
-            parsed[name] = (x, a, start, seed)
+            start, n = (spec[2], spec[3]) if len(spec) > 2 else (0, 1)
+            parsed[name] = (x, a, start, n)
         sizes: dict[int, list[str]] = {}
         for name, (_, a, _, _) in parsed.items():
             fits = block_rows(a) <= self.block and exact_in(a, self.block)
@@ -180,9 +180,11 @@ class Timeline:
         k = tl.pos % F.lit(size)
         inner = Window.partitionBy(*tl.part, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         local, value = {}, {}
-        for n, (x, a, start, seed) in specs.items():
+        for n, (x, a, start, m) in specs.items():
             d = F.lit(1.0 - a)
-            term = F.when(tl.pos > start, F.lit(a) * x).when(tl.pos == start, seed).otherwise(F.lit(0.0))
+            # The seed rows are weighted so that at ``start`` each of them counts 1 / m.
+            head = x / m * F.pow(d, tl.pos - start) if m > 1 else x
+            term = F.when(tl.pos > start, F.lit(a) * x).when(tl.pos > start - m, head).otherwise(F.lit(0.0))
             local[f"__l_{n}"] = F.sum(term * F.pow(d, -k)).over(inner) * F.pow(d, k)
         tl = tl.add(**local)
         for n, (_, a, start, _) in specs.items():

@@ -29,6 +29,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
