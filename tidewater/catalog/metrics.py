@@ -384,10 +384,11 @@ def _(t):
 
 
 @query("a42_rolling_correlation", "a b ts:t corr:d",
-       """WITH p AS (SELECT x.series_id AS a, y.series_id AS b, x.ts, x.ret AS xr, y.ret AS yr FROM returns x JOIN returns y ON x.ts = y.ts AND x.series_id < y.series_id WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)
-       SELECT * FROM (SELECT a, b, ts, CASE WHEN count(*) OVER w = 30 THEN corr(xr, yr) OVER w END AS corr FROM p WINDOW w AS (PARTITION BY a, b ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE abs(corr) > 0.4::DOUBLE""")
+       """WITH p AS (SELECT x.series_id AS a, y.series_id AS b, x.ts, x.ret AS xr, y.ret AS yr FROM returns x JOIN returns y ON x.ts = y.ts AND ((x.series_id = 'click' AND y.series_id IN ('purchase', 'view')) OR (x.series_id = 'error' AND y.series_id = 'signup')) WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)
+       SELECT * FROM (SELECT a, b, ts, CASE WHEN count(*) OVER w = 30 THEN corr(xr, yr) OVER w END AS corr FROM p WINDOW w AS (PARTITION BY a, b ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE abs(corr) > 0.3::DOUBLE""")
 def _(t):
-    return risk.rolling_correlation(t.returns_kept, 30, 0.4)
+    watched = t.spark.createDataFrame([("click", "purchase"), ("click", "view"), ("error", "signup")], "a string, b string")
+    return risk.rolling_correlation(t.returns_kept, watched, 30, 0.3)
 
 
 @query("a42_group_exposure", "grp exposure:d4 over_limit",

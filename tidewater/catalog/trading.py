@@ -185,9 +185,9 @@ def single_run(fee):
        f"""WITH RECURSIVE {single_run(0.0015)} SELECT symbol AS run_id, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS win_rate, sum(pnl) AS pnl, sum(pnl) / 100 AS return_pct,
        sum(greatest(pnl, 0)) / abs(sum(least(pnl, 0))) AS profit_factor FROM w WHERE pnl IS NOT NULL GROUP BY symbol""")
 def _(t):
-    """One run per symbol: candidate trades from first-touch exits, then cash and limits in order."""
+    """One run per symbol: candidate trades from first-touch exits, one position at a time, compounding cash."""
     c = candidates(t).withColumn("run_id", F.col("symbol"))
-    return trades.replay_summary(trades.replay(c), 10_000.0)
+    return trades.replay_summary(trades.replay_single(c), 10_000.0)
 
 
 @query("t17_multi_symbol_replay", "run_id exit_ts:t equity:d4")
@@ -201,7 +201,7 @@ def _(t):
 def _(t):
     """One position at a time per symbol."""
     c = candidates(t).withColumn("run_id", F.col("symbol"))
-    return trades.replay(c, max_positions=1, commission=0.0, slippage=0.0)
+    return trades.replay_single(c, commission=0.0, slippage=0.0)
 
 
 @query("t19_position_pnl", "trade_id:i l_partkey:i pnl_now:d pct:d hours:d",

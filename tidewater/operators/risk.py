@@ -164,12 +164,16 @@ def custom_risk(bars: DataFrame, rf: float = 0.02) -> DataFrame:
         momentum_risk=ratio(F.col("close"), tl.full(F.avg, "close", 14)) - 1).rows().drop("__r", "__pv")
 
 
-def rolling_correlation(returns: DataFrame, n: int = 30, threshold: float = 0.7) -> DataFrame:
-    """Rolling correlation of symbol pairs; the pair list is one row per two symbols at a time step."""
+def rolling_correlation(returns: DataFrame, watched: DataFrame, n: int = 30, threshold: float = 0.7) -> DataFrame:
+    """Rolling correlation of the watched pairs (columns a, b), where it exceeds the threshold.
+
+    Only listed pairs are formed: the return of ``a`` is looked up by symbol, that of ``b`` by
+    (symbol, time).
+    """
     r = returns.where("ret IS NOT NULL")
-    x = r.select("ts", F.col("series_id").alias("a"), F.col("ret").alias("xr"))
+    x = r.select("ts", F.col("series_id").alias("a"), F.col("ret").alias("xr")).join(settle(watched, "watched"), "a")
     y = r.select("ts", F.col("series_id").alias("b"), F.col("ret").alias("yr"))
-    pairs = settle(x.join(y, "ts").where("a < b"), "pairs")
+    pairs = settle(x.join(y, ["b", "ts"]), "pairs")
     tl = lay_out(pairs, ["a", "b"], ["ts"], time_slice("ts", 30 * 86400), back=n)
     c = F.when(tl.pos >= n - 1, F.corr("xr", "yr").over(tl.last(n)))
     return tl.add(corr=c).rows().where(F.abs("corr") > threshold)

@@ -148,7 +148,14 @@ def spaced_entries(trades_tl, seconds: int = 300):
 
 
 # -- one position at a time ---------------------------------------------------------------
-def non_overlapping(trades: DataFrame, key: str = "symbol", order: list[str] | None = None, slice_seconds: int = 86400) -> DataFrame:
+def non_overlapping(
+    trades: DataFrame,
+    key: str = "symbol",
+    order: list[str] | None = None,
+    slice_seconds: int = 86400,
+    entry: str = "entry_time",
+    exit: str = "exit_time",
+) -> DataFrame:
     """Keep a trade only if the last kept trade of its key has closed by its entry.
 
     The rule is sequential, but a chunk of the timeline needs only one number from the past: the
@@ -157,10 +164,10 @@ def non_overlapping(trades: DataFrame, key: str = "symbol", order: list[str] | N
     quickly, so it has few steps. One ordered pass over the steps gives every chunk its entering
     time, after which all chunks are resolved in parallel.
     """
-    order = order or ["entry_time", "exit_time", "trade_id"]
-    tl = lay_out(trades, key, order, time_slice("entry_time", slice_seconds), even=True)
+    order = order or [entry, exit, "trade_id"]
+    tl = lay_out(trades, key, order, time_slice(entry, slice_seconds), even=True)
     t = settle(
-        tl.add(__in=F.unix_micros("entry_time"), __out=F.unix_micros("exit_time"), __at=tl.pos, __c=F.col(tl.part[-1])).rows(),
+        tl.add(__in=F.unix_micros(entry), __out=F.unix_micros(exit), __at=tl.pos, __c=F.col(tl.part[-1])).rows(),
         "candidates",
     )
     slim = t.select(F.col(key).alias("__key"), "__c", "__at", "__in", "__out")
@@ -221,6 +228,30 @@ def _resolve_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 # -- portfolio replay ---------------------------------------------------------------------
+def replay_single(
+    candidates: DataFrame, capital: float = 10_000.0, position_share: float = 0.1, commission: float = 0.001, slippage: float = 0.0005
+) -> DataFrame:
+    """Runs that hold one position at a time, without any per-run loop.
+
+    The trades that fit come from :func:`non_overlapping`. Each then changes cash by a factor
+    that depends on that trade alone, so cash is a running product, i.e. a running sum of logs,
+    and a run of any length is spread over its chunks.
+    """
+    order = ["entry_ts", "exit_ts", "trade_id"]
+    kept = non_overlapping(candidates, "run_id", order, entry="entry_ts", exit="exit_ts")
+    growth = F.col("exit_price") / F.col("entry_price")
+    sign = F.when(F.col("side") == "short", -1.0).otherwise(1.0)
+    per_value = sign * (growth - 1) - (1 + growth) * (commission + slippage)
+    kept = settle(kept.withColumns({"__r": per_value, "__g": growth}), "kept")
+    tl = lay_out(kept, "run_id", order, time_slice("entry_ts", 86400))
+    rows = tl.running(__log=("sum", F.log1p(position_share * F.col("__r")))).rows()
+    after = F.lit(capital) * F.exp("__log")
+    value = after / (1 + position_share * F.col("__r")) * position_share
+    return rows.withColumns({
+        "quantity": value / F.col("entry_price"), "commission": value * (1 + F.col("__g")) * commission,
+        "slippage": value * (1 + F.col("__g")) * slippage, "pnl": value * F.col("__r"), "cash_after": after}).drop("__r", "__g", "__log")
+
+
 def replay(
     candidates: DataFrame,
     capital: float = 10_000.0,
@@ -230,7 +261,7 @@ def replay(
     slippage: float = 0.0005,
     one_per_symbol: bool = True,
 ) -> DataFrame:
-    """Accepted trades of each run with sizes, costs and cash, in time order.
+    """Accepted trades of runs whose positions share cash, with sizes and costs, in time order.
 
     Exits do not depend on the portfolio, so they are found in parallel beforehand; what is left
     to do in order is cash and the position limit. That state is a handful of numbers, so each
