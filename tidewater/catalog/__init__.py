@@ -2,7 +2,7 @@
 
 import importlib
 
-_TOPICS = ("indicators", "ingest", "features", "metrics", "trading", "analytics", "streams")
+_TOPICS = ("indicators", "ingest", "features", "metrics", "trading", "analytics", "streams", "plugins")
 for _t in _TOPICS:
     importlib.import_module(f"tidewater.catalog.{_t}")
 

@@ -6,7 +6,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio, uniform
@@ -42,6 +42,16 @@ def sample_parameters(draws: DataFrame, id_col: str, ranges: dict[str, tuple], s
     return draws.select(id_col).withColumns(cols)
 
 
+def evaluate(candidates: DataFrame, objectives, schema: str) -> DataFrame:
+    """A caller's vectorised Python objective: batches of candidates in, batches of values out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield objectives(pdf)
+
+    return candidates.mapInPandas(run, schema)
+
+
 def ma_cross_returns(bars: DataFrame, params: list[tuple[int, int]]) -> DataFrame:
     """Strategy return per bar and parameter set.
 

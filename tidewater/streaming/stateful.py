@@ -113,7 +113,8 @@ def positions(signals: DataFrame, capital: float = 10_000.0, share: float = 0.1,
                 out.append((key[0], r.ts, "alert", r.close, None, equity, trades))
             below = under
         state.update((float(cash), float(qty), float(entry), float(peak), int(trades), bool(below)))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "event", "price", "pnl", "equity", "trades"]).astype({"pnl": "float64"})
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "ts", "event", "price", "pnl", "equity", "trades"]).astype({"pnl": "float64"})
 
     return signals.select("symbol", "ts", "close", "signal").groupBy("symbol").applyInPandasWithState(
         step, "symbol string, ts timestamp, event string, price double, pnl double, equity double, trades long",
