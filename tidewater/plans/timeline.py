@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 16_384
 CHUNK_SETTING = "tidewater.chunk.rows"
+# Tables whose files are at most this large are laid out as one chunk per key.
+SMALL_BYTES = 8 * 1024 * 1024
+SMALL_SETTING = "tidewater.small.bytes"
 
 _SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK = "__tl_slice", "__tl_chunk", "__tl_pos", "__tl_total", "__tl_own", "__tl_block"
 
@@ -42,6 +45,7 @@ class Timeline:
     order: tuple = field(default=())
     halo: bool = False
     block: int = 0
+    whole: bool = False  # one chunk per key: nothing to carry between chunks
 
     # -- frames ---------------------------------------------------------------------------
     def window(self, lo: int | None = None, hi: int | None = 0) -> WindowSpec:
@@ -143,6 +147,14 @@ class Timeline:
                 exprs[name] = F.coalesce(F.first(val, ignorenulls=True).over(frame), F.col(c))
             else:
                 raise ValueError(f"unknown scan {op!r}")
+            if self.whole:
+                if op in ("sum", "count", "max", "min"):
+                    exprs[name] = local if op in ("sum", "count") else fn(val).over(frame)
+                else:
+                    pick = F.last if op == "last" else F.first
+                    exprs[name] = pick(val, ignorenulls=True).over(frame)
+        if self.whole:
+            return replace(self, df=self.df.withColumns(exprs))
         totals = self.df.where(self.own).groupBy(*self.part).agg(*folds)
         carry = totals.select(*self.part, *carries)
         df = self.df.join(carry, list(self.part), "left").withColumns(exprs)
@@ -199,6 +211,33 @@ class Timeline:
         return df.drop(_SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK, "__tl_start")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner knows the rows to come from a small amount of file data.
+
+    Plans that may emit more rows than they read (generators, Python maps) never count as small.
+    """
+    limit = int(df.sparkSession.conf.get(SMALL_SETTING, str(SMALL_BYTES)))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > limit:
+        return False
+    text = plan.toString()
+    return not any(node in text for node in ("Generate ", "Expand ", "InPandas", "InArrow", "Join"))
+
+
+def _one_chunk(df: DataFrame, keys: list[str], order: list, positions: bool, totals: bool, block: int) -> Timeline:
+    """Size-checked short cut: a whole key is one chunk, so there is no halo and nothing to carry."""
+    part = (*keys, _CHUNK)
+    df = df.withColumn(_CHUNK, F.lit(0).cast("long"))
+    if positions:
+        df = df.withColumn(_POS, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long") - 1)
+    if totals:
+        df = df.withColumn(_TOTAL, F.count(F.lit(1)).over(Window.partitionBy(*part)))
+    if block:
+        df = df.withColumn(_BLOCK, F.expr(f"{_POS} div {block}"))
+        return Timeline(df, tuple(keys), part, (_BLOCK, _POS), False, block, True)
+    return Timeline(df, tuple(keys), part, tuple(order), False, 0, True)
+
+
 def block_rows(alpha: float) -> int:
     """Rows after which a weight has faded below e**-40."""
     return max(2, math.ceil(40.0 / -math.log(1.0 - alpha)))
@@ -231,13 +270,16 @@ def lay_out(
     ``slice_by`` must be non-decreasing along ``order``. Without a halo the slices themselves
     are the chunks, which saves the second exchange; ``even`` asks for chunks of bounded row
     count all the same. Without either, positions are only worked out when ``positions`` is set.
+    Inputs known to be small (see :func:`is_small`) get one chunk per key.
     ``block`` names the block length smoothing will use: the chunks are then sorted by block and
     position once, and smoothing and plain windows share that sort.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     size = chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
-    rows = df.withColumn(_SLICE, slice_by)
     plain = back == 0 and ahead == 0 and not even
+    if chunk_rows is None and df.sparkSession.conf.get(CHUNK_SETTING, None) is None and is_small(df):
+        return _one_chunk(df, keys, order, not plain or positions, positions or even, block)
+    rows = df.withColumn(_SLICE, slice_by)
     if plain and not positions:
         return Timeline(rows, tuple(keys), (*keys, _SLICE), tuple(order), False)
     by_key = Window.partitionBy(*keys)
