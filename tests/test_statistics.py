@@ -34,7 +34,7 @@ def test_quantiles_equal_numpy(spark, values):
         assert got["hot"][name] == 1.0
 
 
-def test_quantiles_on_many_rows(spark):
+def test_quantiles_on_many_rows(spark, small_chunks):
     df = spark.range(300_000).select(F.lit("k").alias("k"), ((F.col("id") * 7919) % 300_007).cast("double").alias("v"))
     v = (np.arange(300_000) * 7919) % 300_007
     r = quantiles(df, "k", "v", {"a": 0.01, "b": 0.5, "c": 0.99}).first()

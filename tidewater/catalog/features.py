@@ -368,8 +368,8 @@ def _(t):
 
 @query("j08_semi_join", "trade_id:i symbol", "SELECT trade_id, symbol FROM closed_trades WHERE symbol IN (SELECT symbol FROM closed_trades GROUP BY symbol HAVING sum(pnl) > 0)")
 def _(t):
-    good = t.trades_kept.groupBy("symbol").agg(F.sum("pnl").alias("p")).where("p > 0").select("symbol")
-    return t.trades_kept.join(settle(good, "symbols"), "symbol", "left_semi")
+    good = t.closed_trades.groupBy("symbol").agg(F.sum("pnl").alias("p")).where("p > 0").select("symbol")
+    return t.closed_trades.join(settle(good, "symbols"), "symbol", "left_semi")
 
 
 @query("j09_anti_join", "symbol ts:t", "SELECT symbol, ts FROM bars WHERE extract('hour' FROM ts) % 6 <> 0")

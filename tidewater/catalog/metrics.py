@@ -173,7 +173,7 @@ def _(t):
        f"""WITH f AS (SELECT symbol, pnl > 0 AS w, row_number() OVER ({TO}) - row_number() OVER (PARTITION BY symbol, pnl > 0 ORDER BY {TRADE_ORDER_SQL}) AS g FROM closed_trades),
        n AS (SELECT symbol, w, g, count(*) AS n FROM f GROUP BY 1, 2, 3) SELECT symbol, max(n) FILTER (WHERE w) AS max_consecutive_wins, max(n) FILTER (WHERE NOT w) AS max_consecutive_losses FROM n GROUP BY symbol""")
 def _(t):
-    return m.streaks(t.trades_kept)
+    return m.streaks(t.trades_with("pnl"))
 
 
 @query("a18_back_to_back", "symbol max_chain:i",
@@ -181,7 +181,7 @@ def _(t):
        c AS (SELECT symbol, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS chain FROM w)
        SELECT symbol, max(n) AS max_chain FROM (SELECT symbol, chain, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY symbol""")
 def _(t):
-    return m.back_to_back(t.trades_kept.where("pnl > 0"))
+    return m.back_to_back(t.trades_with("pnl").where("pnl > 0"))
 
 
 @query("a19_day_state", "symbol ts:t last:d volume_24h:d change_24h:d high_24h:d low_24h:d",
@@ -210,12 +210,13 @@ def _(t):
        FROM closed_trades WHERE extract('month' FROM exit_time) <> 5 GROUP BY 1, 2), g AS (SELECT symbol, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM a GROUP BY symbol)
        SELECT g.symbol, g.month, coalesce(pnl, 0) AS pnl, coalesce(trades, 0) AS trades, win_rate FROM g LEFT JOIN a ON a.symbol = g.symbol AND a.month = g.month""")
 def _(t):
-    return m.monthly_pnl(t.trades_kept.where(F.month("exit_time") != 5))
+    slim = settle(t.closed_trades.select("symbol", "exit_time", "pnl"), "pnl")
+    return m.monthly_pnl(slim.where(F.month("exit_time") != 5))
 
 
 @query("a23_cumulative_pnl", "symbol trade_id:i l_partkey:i exit_time:t cum_pnl:d5", f"SELECT symbol, trade_id, l_partkey, exit_time, sum(pnl) OVER ({TO} ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM closed_trades")
 def _(t):
-    return m.cumulative_pnl(t.trades_kept)
+    return m.cumulative_pnl(t.trades_with("pnl"))
 
 
 @query("a24_symbol_performance", "symbol trades:i wins:i total_pnl:d5 avg_return:d", "SELECT symbol, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, sum(pnl) AS total_pnl, avg(ret) AS avg_return FROM closed_trades GROUP BY symbol")

@@ -162,7 +162,8 @@ NONOVER = """numbered AS (SELECT trade_id, l_partkey, symbol, epoch_us(entry_tim
 
 @query("t15_non_overlapping", "symbol trade_id:i l_partkey:i", f"WITH RECURSIVE {NONOVER} SELECT symbol, trade_id, l_partkey FROM walk WHERE kept")
 def _(t):
-    return trades.non_overlapping(t.closed_trades, order=["entry_time", "exit_time", "trade_id", "l_partkey"])
+    slim = settle(t.closed_trades.select("symbol", "entry_time", "exit_time", "trade_id", "l_partkey"), "trades")
+    return trades.non_overlapping(slim, order=["entry_time", "exit_time", "trade_id", "l_partkey"])
 
 
 def candidates(t):
@@ -263,7 +264,7 @@ def _(t):
 def _(t):
     from tidewater.plans.timeline import lay_out, time_slice
 
-    tl = lay_out(t.trades_kept, "symbol", ["entry_time", "exit_time", "trade_id", "l_partkey"], time_slice("entry_time", 86400), back=1)
+    tl = lay_out(t.trades_with(), "symbol", ["entry_time", "exit_time", "trade_id", "l_partkey"], time_slice("entry_time", 86400), back=1)
     return trades.spaced_entries(tl, 300).rows().withColumn("capped_exit", F.least(F.col("exit_time"), F.col("entry_time") + F.expr("interval 24 hours")))
 
 

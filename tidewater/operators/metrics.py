@@ -220,7 +220,8 @@ def streaks(trades: DataFrame) -> DataFrame:
 
     A run ends where the outcome flips, so the run number is a running count of flips.
     """
-    tl = trades_timeline(trades.withColumn("__win", F.col("pnl") > 0), back=1)
+    slim = trades.select("symbol", *TRADE_ORDER, (F.col("pnl") > 0).alias("__win"))
+    tl = trades_timeline(slim, back=1)
     flips = settle(tl.add(__flip=F.coalesce(F.col("__win") != tl.lag("__win"), F.lit(False)).cast("long")).rows(), "flips")
     runs = trades_timeline(flips).running(__run=("sum", "__flip")).rows()
     n = runs.groupBy("symbol", "__run", "__win").agg(F.count(F.lit(1)).alias("n"))
@@ -230,7 +231,7 @@ def streaks(trades: DataFrame) -> DataFrame:
 
 def back_to_back(trades: DataFrame, seconds: int = 3600) -> DataFrame:
     """Longest chain of trades that each start within ``seconds`` of the previous exit."""
-    tl = trades_timeline(trades, back=1)
+    tl = trades_timeline(trades.select("symbol", *TRADE_ORDER), back=1)
     gap = F.unix_seconds("entry_time") - F.unix_seconds(tl.lag("exit_time"))
     links = settle(tl.add(__new=F.coalesce(gap >= seconds, F.lit(True)).cast("long")).rows(), "links")
     chains = trades_timeline(links).running(__chain=("sum", "__new")).rows()

@@ -101,9 +101,9 @@ class Tables:
             (F.col("l_discount") - 0.05).cast("double").alias("ret"),
         )
 
-    @cached_property
-    def trades_kept(self) -> DataFrame:
-        return settle(self.closed_trades, "trades")
+    def trades_with(self, *cols: str) -> DataFrame:
+        """Settled trades with only the order columns and ``cols``."""
+        return settle(self.closed_trades.select("symbol", *TRADE_ORDER, *cols), "trades")
 
     @cached_property
     def funding(self) -> DataFrame:
