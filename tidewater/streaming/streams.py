@@ -93,16 +93,31 @@ def warm_start(history: DataFrame, live: DataFrame) -> DataFrame:
 
 
 # -- sinks --------------------------------------------------------------------------------
+def start(writer, spark: SparkSession):
+    """Start a query with no more state partitions than the session has cores.
+
+    The number is fixed for the life of a checkpoint; a query takes its own copy of the session
+    settings when it starts, so the caller's setting is put back at once.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available, write Parquet, return the written table."""
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    q = (
+    writer = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("path", f"{root}/data").option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
-    q.awaitTermination()
+    start(writer, spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
@@ -111,7 +126,7 @@ def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int],
     root = f"{shared_folder(stream.sparkSession)}/tidewater/{name}-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(handle)
     w = w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)
-    q = w.start()
+    q = start(w, stream.sparkSession)
     if interval is None:
         q.awaitTermination()
     return q
