@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate
+from tidewater.llm import bpe, chat, decontaminate
 from tidewater.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,24 @@ def joined_digest(items) -> F.Column:
     return F.sha2(F.array_join(items, ","), 256)
 
 
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Budgeted chat windows of every conversation, digests of what is read back from them."""
+    probe = "\\### Assistant: </turn> ok"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    windows = chat.format_windows(turns.unionByName(own))
+    back = windows.select(
+        "conv_id", "window", F.slice(chat.read_window(F.col("text")), F.col("n_repeated") + 1, 2 ** 31 - 1).alias("turns"),
+        chat.read_targets(F.col("text"), F.col("targets")).alias("loss"), F.length("text").cast("long").alias("chars"))
+    whole = back.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join(F.flatten(F.col("w.loss")), "")
+    said = F.transform(F.flatten(F.col("w.turns")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return whole.select("conv_id", F.size(said).cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+                        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
 @query
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """13-word benchmark windows in every document."""
@@ -31,6 +49,18 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         joined_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@query
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    back = bpe.decode(ids.select("doc_id", "ids"), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 ORACLES["op4_decontaminate"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
