@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontaminate
+from tidewater.llm import bpe, chat, decontaminate, sharding, urls
 from tidewater.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def joined_digest(items) -> F.Column:
     return F.sha2(F.array_join(items, ","), 256)
 
 
+@query
+def op1_shard(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sixteen shards of nearly equal bytes."""
+    placed = sharding.shard(table(spark, folder, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Budgeted chat windows of every conversation, digests of what is read back from them."""
@@ -61,6 +68,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op10_link_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page: path rules, else trust and distrust of its host."""
+    return urls.judge(table(spark, folder, "pages"))
+
+
 ORACLES["op4_decontaminate"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
