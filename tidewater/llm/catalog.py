@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, chat, decontaminate, sharding, urls
+from tidewater.llm import queries_models  # noqa: F401
 from tidewater.llm.common import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+from tidewater.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 def joined_digest(items) -> F.Column:
