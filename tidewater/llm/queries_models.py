@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import toxicity
+from tidewater.llm import neighbours, toxicity
 from tidewater.llm.common import table
 from tidewater.llm.registry import query
 
@@ -22,3 +22,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     net = toxicity.train(docs, table(spark, folder, "labels"), held_out=held_out)
     scored = toxicity.score(docs.select("doc_id", "text", "lang"), net)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic")
+
+
+@query
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty nearest rows of every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
