@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import neighbours, toxicity
+from tidewater.llm import neighbours, pseudolikelihood, toxicity
 from tidewater.llm.common import table
 from tidewater.llm.registry import query
 
@@ -28,3 +28,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty nearest rows of every vector whose id is divisible by 20."""
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op6_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Summed log probabilities of every document's tokens under a network trained on all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudolikelihood.score(docs, pseudolikelihood.train(docs)).drop("text")
