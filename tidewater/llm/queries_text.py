@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import linededup
+from tidewater.llm import linededup, ngramjoin
 from tidewater.llm.common import table
 from tidewater.llm.registry import query
 
@@ -15,3 +15,10 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without passages that stand in an earlier one."""
     cleaned = linededup.clean(table(spark, folder, "documents").select("doc_id", "text"), removed="n_removed")
     return cleaned.select("doc_id", "text", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    joined = ngramjoin.join(table(spark, folder, "documents"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
