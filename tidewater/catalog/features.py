@@ -350,6 +350,23 @@ def _(t):
     return setops.pivot_times(t.bars, ["click", "view", "purchase", "signup", "error"])
 
 
+NULLED = """(SELECT CASE WHEN extract('hour' FROM ts) <> 3 THEN symbol END AS symbol, CASE WHEN extract('hour' FROM ts) <> 7 THEN ts END AS ts, volume, close FROM bars)"""
+
+
+@query("c15_null_keys", "symbol rows:i dated:i volume:d last_sum:d median:d",
+       f"""SELECT symbol, count(*) AS rows, count(ts) AS dated, sum(volume) AS volume, sum(volume) AS last_sum, quantile_cont(close, 0.5) AS median FROM {NULLED} GROUP BY symbol""")
+def _(t):
+    """Rows with a NULL key or a NULL time stay: they form a key of their own and come first."""
+    from tidewater.plans.attach import quantiles
+    from tidewater.plans.timeline import join_keys, lay_out, time_slice
+
+    hour = F.hour("ts")
+    df = t.bars_kept.select(F.when(hour != 3, F.col("symbol")).alias("symbol"), F.when(hour != 7, F.col("ts")).alias("ts"), "volume", "close")
+    tl = lay_out(df, "symbol", ["ts"], time_slice("ts", 30 * 86400), back=5).running(total=("sum", "volume"))
+    sums = tl.rows().groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.count("ts").alias("dated"), F.sum("volume").alias("volume"), F.max("total").alias("last_sum"))
+    return join_keys(sums, quantiles(df, "symbol", "close", {"median": 0.5}), ["symbol"])
+
+
 @query("j05_calendar_join", "symbol ts:t volume:d", f"SELECT g.symbol, g.ts, coalesce(b.volume, 0) AS volume FROM ({GRID}) g LEFT JOIN bars b ON b.symbol = g.symbol AND b.ts = g.ts")
 def _(t):
     from tidewater.operators.clean import on_calendar
@@ -392,9 +409,9 @@ def _(t):
 @query("j12_params_on_bars", "n:i symbol bars:i total:d",
        "SELECT n, symbol, count(*) AS bars, sum(close * n) AS total FROM bars, (SELECT DISTINCT fast AS n FROM trials) GROUP BY 1, 2")
 def _(t):
-    """Every bar once per parameter value: the bounded list is exploded, there is no cross join."""
-    ns = F.sequence(F.lit(0), F.lit(4))
-    x = t.bars.withColumn("n", F.explode(ns)).join(t.trials.select(F.col("fast").alias("n")).distinct(), "n", "left_semi")
+    """Every bar once per parameter value that the trials used: the short list is exploded, there is no cross join."""
+    ns = [r[0] for r in t.trials.select("fast").distinct().orderBy("fast").collect()]
+    x = t.bars.withColumn("n", F.explode(F.array(*[F.lit(n) for n in ns])))
     return x.groupBy("n", "symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum(F.col("close") * F.col("n")).alias("total"))
 
 

@@ -41,6 +41,24 @@ def _(t):
     return tl.smooth(ema_12=("close", A12), ema_26=("close", A26)).rows()
 
 
+KNOWN = f"SELECT *, k - lag(k) OVER ({P}) AS gap FROM (SELECT *, row_number() OVER ({P}) AS k FROM bars_with_gaps) WHERE close IS NOT NULL"
+
+
+def gap_step(y: str, a: float) -> str:
+    """The next value after ``gap`` rows: the old one has faded once per row, known or not."""
+    return f"(pow({1 - a!r}::DOUBLE, n.gap) * r.{y} + {a!r}::DOUBLE * n.close) / (pow({1 - a!r}::DOUBLE, n.gap) + {a!r}::DOUBLE)"
+
+
+@query("w02_ema_gaps", "symbol ts:t ema_12:d ema_26:d",
+       f"""WITH RECURSIVE {recurrence(KNOWN, {'ema_12': ('n.close', gap_step('ema_12', A12)), 'ema_26': ('n.close', gap_step('ema_26', A26))})}
+       SELECT b.symbol, b.ts, last_value(rec.ema_12 IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS ema_12,
+       last_value(rec.ema_26 IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS ema_26
+       FROM bars_with_gaps b LEFT JOIN rec ON b.symbol = rec.symbol AND b.ts = rec.ts""")
+def _(t):
+    tl = bars_timeline(t.bars_with_gaps, back=ind.REACH["ema"](n=26))
+    return tl.smooth(ema_12=("close", A12), ema_26=("close", A26)).rows()
+
+
 @query("w03_ema_seeded", "symbol ts:t ema:d",
        f"""WITH RECURSIVE {recurrence(f"SELECT *, {roll('avg', 'close', 20)} AS m FROM bars",
            {'ema': ('n.m', ema_step('n.close', 'ema', A20))}, start=19)}

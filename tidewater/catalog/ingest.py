@@ -329,26 +329,31 @@ def _(t):
 
 
 @query("p20_quality_from_report", "symbol score:d",
-       """SELECT symbol, greatest(0.0, least(1.0, 1.0 - 0.2::DOUBLE * (CASE WHEN bad > 0 THEN 1 ELSE 0 END) - 0.1::DOUBLE * (CASE WHEN v > 0 THEN 1 ELSE 0 END) - m)) AS score
+       """WITH q AS (SELECT symbol, quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.75) AS z FROM bars_with_gaps GROUP BY symbol),
+       o AS (SELECT b.symbol, count(*) FILTER (WHERE close < a - 1.5 * (z - a) OR close > z + 1.5 * (z - a)) AS outliers FROM bars_with_gaps b JOIN q ON q.symbol = b.symbol GROUP BY b.symbol)
+       SELECT x.symbol, greatest(0.0, least(1.0, 1.0 - 0.2::DOUBLE * (CASE WHEN bad > 0 THEN 1 ELSE 0 END) - 0.1::DOUBLE * (CASE WHEN v > 0 THEN 1 ELSE 0 END) - m - 0.01::DOUBLE * outliers)) AS score
        FROM (SELECT symbol, count(*) FILTER (WHERE low > close) AS bad, count(*) FILTER (WHERE volume > 30) AS v,
-       avg(CASE WHEN close IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS m FROM bars_with_gaps GROUP BY symbol)""")
+       avg(CASE WHEN close IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS m FROM bars_with_gaps GROUP BY symbol) x JOIN o ON o.symbol = x.symbol""")
 def _(t):
     rep = t.bars_with_gaps.groupBy("symbol").agg(
         F.count_if(F.col("low") > F.col("close")).alias("bad"), F.count_if(F.col("volume") > 30).alias("v"),
         F.avg(F.col("close").isNull().cast("double")).alias("m"))
+    rep = rep.join(validate.iqr_outlier_counts(t.bars_with_gaps, "symbol", "close"), "symbol")
     return rep.withColumn("score", validate.quality_from_report(
-        (F.col("bad") > 0).cast("int"), (F.col("v") > 0).cast("int"), F.col("m"), F.lit(0)))
+        (F.col("bad") > 0).cast("int"), (F.col("v") > 0).cast("int"), F.col("m"), F.col("outliers")))
 
 
 @query("p21_quality_from_ratios", "symbol score:d",
-       f"""SELECT symbol, 0.4::DOUBLE * (1 - miss) + 0.3::DOUBLE + 0.3::DOUBLE * (1 - gaps / n) AS score FROM (SELECT symbol, count(*)::DOUBLE AS n,
+       f"""WITH q AS (SELECT symbol, quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.75) AS z FROM bars_with_gaps GROUP BY symbol),
+       o AS (SELECT b.symbol, count(*) FILTER (WHERE close < a - 1.5 * (z - a) OR close > z + 1.5 * (z - a)) AS outliers FROM bars_with_gaps b JOIN q ON q.symbol = b.symbol GROUP BY b.symbol)
+       SELECT x.symbol, 0.4::DOUBLE * (1 - miss) + 0.3::DOUBLE * (1 - outliers / n) + 0.3::DOUBLE * (1 - gaps / n) AS score FROM (SELECT symbol, count(*)::DOUBLE AS n,
        avg(CASE WHEN close IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS miss, count(*) FILTER (WHERE epoch(ts) - epoch(p) > 3600)::DOUBLE AS gaps
-       FROM (SELECT *, {lag('ts')} AS p FROM bars_with_gaps) GROUP BY symbol)""")
+       FROM (SELECT *, {lag('ts')} AS p FROM bars_with_gaps) GROUP BY symbol) x JOIN o ON o.symbol = x.symbol""")
 def _(t):
     gaps = validate.time_gaps(t.bars_with_gaps, 3600).groupBy("symbol").agg(F.count(F.lit(1)).alias("gaps"))
     base = t.bars_with_gaps.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("close").isNull().cast("double")).alias("miss"))
-    j = base.join(gaps, "symbol", "left")
-    return j.withColumn("score", validate.quality_from_ratios(1 - F.col("miss"), F.lit(0.0), F.coalesce("gaps", F.lit(0)) / F.col("n")))
+    j = base.join(gaps, "symbol", "left").join(validate.iqr_outlier_counts(t.bars_with_gaps, "symbol", "close"), "symbol")
+    return j.withColumn("score", validate.quality_from_ratios(1 - F.col("miss"), F.col("outliers") / F.col("n"), F.coalesce("gaps", F.lit(0)) / F.col("n")))
 
 
 @query("p22_custom_validators", "symbol wide_range:i odd_trades:i",

@@ -39,6 +39,28 @@ def _(t):
     return g.withColumns({"annual": m.annualised(F.col("total"), F.col("n")), "calendar_annual": m.calendar_annualised(F.col("total"), F.col("a"), F.col("z"))})
 
 
+LOSS = "(SELECT series_id, ts, CASE WHEN extract('hour' FROM ts) = 5 AND extract('day' FROM ts) = 9 THEN -1.0 WHEN extract('hour' FROM ts) = 4 AND series_id > 'e' THEN -1.5 ELSE 0.01::DOUBLE * ret END AS ret FROM returns WHERE ret IS NOT NULL)"
+
+
+def losses(t):
+    """Returns with a total loss in some series and returns below -1 in others."""
+    hour, day = F.hour("ts"), F.dayofmonth("ts")
+    bad = F.when((hour == 5) & (day == 9), -1.0).when((hour == 4) & (F.col("series_id") > "e"), -1.5).otherwise(F.col("ret") * 0.01)
+    return rets(t).withColumn("ret", bad)
+
+
+@query("a01_total_loss", "series_id total:d", f"SELECT series_id, product(1 + ret) - 1 AS total FROM {LOSS} GROUP BY series_id")
+def _(t):
+    return losses(t).groupBy("series_id").agg(m.total_return().alias("total"))
+
+
+@query("a05_total_loss", "series_id max_drawdown:d rows:i",
+       f"""WITH c AS (SELECT *, product(1 + ret) OVER ({S}) AS cum FROM {LOSS}), d AS (SELECT *, (cum - max(cum) OVER ({S})) / nullif(max(cum) OVER ({S}), 0) AS dd FROM c)
+       SELECT series_id, min(dd) AS max_drawdown, count(dd) AS rows FROM d GROUP BY series_id""")
+def _(t):
+    return m.drawdowns(losses(t)).groupBy("series_id").agg(F.min("dd").alias("max_drawdown"), F.count("dd").alias("rows"))
+
+
 @query("a02_volatility", "series_id sample:d population:d", f"SELECT series_id, stddev_samp(ret) * sqrt(252) AS sample, stddev_pop(ret) * sqrt(252) AS population FROM {R} GROUP BY series_id")
 def _(t):
     return rets(t).groupBy("series_id").agg((F.stddev("ret") * m.ROOT).alias("sample"), (F.stddev_pop("ret") * m.ROOT).alias("population"))

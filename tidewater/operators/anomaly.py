@@ -166,7 +166,7 @@ def liquidity_stress(bars: DataFrame, draws: int = 1000, seed: int = 11) -> Data
 
 
 # -- importance ---------------------------------------------------------------------------
-def forest_importance(df: DataFrame, cols: list[str], target: str, trees: int = 20, seed: int = 42) -> DataFrame:
+def forest_importance(df: DataFrame, cols: list[str], target: str, trees: int = 100, seed: int = 42) -> DataFrame:
     v = VectorAssembler(inputCols=cols, outputCol="features").transform(df.na.drop("any", subset=[*cols, target]))
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=5, seed=seed).fit(v)
     weights = model.featureImportances.toArray()

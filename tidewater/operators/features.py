@@ -28,7 +28,7 @@ def all_returns(bars: DataFrame) -> DataFrame:
     tl = bars_timeline(bars, back=1)
     prev = tl.lag("close")
     tl = tl.add(ret=ratio(F.col("close"), prev) - 1, log_ret=F.ln(F.col("close")) - F.ln(prev))
-    return tl.running(__cum=("sum", F.log1p("ret"))).rows().withColumn("cum_ret", F.exp("__cum") - 1).drop("__cum")
+    return tl.running(__cum=("product", 1 + F.col("ret"))).rows().withColumn("cum_ret", F.col("__cum") - 1).drop("__cum")
 
 
 def prediction_table(bars: DataFrame) -> DataFrame:

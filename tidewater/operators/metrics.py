@@ -33,8 +33,8 @@ def trades_timeline(trades: DataFrame, back: int = 0, ahead: int = 0) -> Timelin
 # -- curves -------------------------------------------------------------------------------
 def equity_curve(returns: DataFrame, start: float = 10_000.0, damp: float = 1.0) -> DataFrame:
     tl = series_timeline(returns)
-    tl = tl.running(__s=("sum", F.log1p(F.lit(damp) * F.coalesce("ret", F.lit(0.0)))))
-    return tl.rows().select("series_id", "ts", (F.lit(start) * F.exp("__s")).alias("equity"))
+    tl = tl.running(__s=("product", 1 + F.lit(damp) * F.coalesce("ret", F.lit(0.0))))
+    return tl.rows().select("series_id", "ts", (F.lit(start) * F.col("__s")).alias("equity"))
 
 
 def cumulative_pnl(trades: DataFrame) -> DataFrame:
@@ -44,13 +44,13 @@ def cumulative_pnl(trades: DataFrame) -> DataFrame:
 def drawdowns(returns: DataFrame) -> DataFrame:
     """Compounded value, running peak and drawdown of a return series."""
     tl = series_timeline(returns.where(F.col("ret").isNotNull()))
-    cum = settle(tl.running(__s=("sum", F.log1p("ret"))).rows().withColumn("cum", F.exp("__s")).drop("__s"), "cumulative")
+    cum = settle(tl.running(cum=("product", 1 + F.col("ret"))).rows(), "cumulative")
     return with_peak(cum, "cum")
 
 
 def with_peak(curve: DataFrame, col: str) -> DataFrame:
     out = series_timeline(curve).running(peak=("max", col)).rows()
-    return out.withColumn("dd", (F.col(col) - F.col("peak")) / F.col("peak"))
+    return out.withColumn("dd", ratio(F.col(col) - F.col("peak"), F.col("peak")))
 
 
 def drawdown_runs(dd: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def drawdown_periods(dd: DataFrame) -> DataFrame:
 
 # -- return statistics --------------------------------------------------------------------
 def total_return(r: str | Column = "ret") -> Column:
-    return F.exp(F.sum(F.log1p(r))) - 1
+    """Compounded return; a return of -1 loses everything, one below -1 turns the sign."""
+    return F.product(1 + (F.col(r) if isinstance(r, str) else r)) - 1
 
 
 def annualised(total: Column, n: Column, periods: int = YEAR) -> Column:
@@ -273,7 +274,7 @@ def benchmark_stats(returns: DataFrame, bench: DataFrame, rf: float = 0.02) -> D
     out = j.groupBy("series_id").agg(
         n.alias("n"), beta.alias("beta"), ((F.avg(r) - daily - beta * (F.avg(b) - daily)) * YEAR).alias("alpha"),
         (F.stddev(d) * ROOT).alias("tracking_error"), ratio(F.avg(d) * YEAR, F.stddev(d) * ROOT).alias("information_ratio"),
-        F.corr(r, b).alias("correlation"), (F.exp(F.sum(F.log1p(r)) - F.sum(F.log1p(b))) - 1).alias("relative_performance"),
+        F.corr(r, b).alias("correlation"), (ratio(F.product(1 + r), F.product(1 + b)) - 1).alias("relative_performance"),
         t.alias("t_stat"), beta_pop.alias("beta_mixed"), (F.avg(r) - beta_pop * F.avg(b)).alias("alpha_mixed"),
         ratio(F.avg(r - daily), beta).alias("treynor_raw"), (F.avg(r) - daily - beta * (F.avg(b) - daily)).alias("jensen"),
     )

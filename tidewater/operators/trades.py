@@ -234,8 +234,8 @@ def replay_single(
     """Runs that hold one position at a time, without any per-run loop.
 
     The trades that fit come from :func:`non_overlapping`. Each then changes cash by a factor
-    that depends on that trade alone, so cash is a running product, i.e. a running sum of logs,
-    and a run of any length is spread over its chunks.
+    that depends on that trade alone, so cash is a running product, and a run of any length is
+    spread over its chunks.
     """
     order = ["entry_ts", "exit_ts", "trade_id"]
     kept = non_overlapping(candidates, "run_id", order, entry="entry_ts", exit="exit_ts")
@@ -244,12 +244,13 @@ def replay_single(
     per_value = sign * (growth - 1) - (1 + growth) * (commission + slippage)
     kept = settle(kept.withColumns({"__r": per_value, "__g": growth}), "kept")
     tl = lay_out(kept, "run_id", order, time_slice("entry_ts", 86400))
-    rows = tl.running(__log=("sum", F.log1p(position_share * F.col("__r")))).rows()
-    after = F.lit(capital) * F.exp("__log")
-    value = after / (1 + position_share * F.col("__r")) * position_share
+    factor = 1 + position_share * F.col("__r")
+    rows = tl.running(__after=("product", factor), __before=("product<", factor)).rows()
+    after = F.lit(capital) * F.col("__after")
+    value = F.lit(capital) * F.coalesce("__before", F.lit(1.0)) * position_share
     return rows.withColumns({
         "quantity": value / F.col("entry_price"), "commission": value * (1 + F.col("__g")) * commission,
-        "slippage": value * (1 + F.col("__g")) * slippage, "pnl": value * F.col("__r"), "cash_after": after}).drop("__r", "__g", "__log")
+        "slippage": value * (1 + F.col("__g")) * slippage, "pnl": value * F.col("__r"), "cash_after": after}).drop("__r", "__g", "__after", "__before")
 
 
 def replay(

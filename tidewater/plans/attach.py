@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.plans.timeline import CHUNK_SETTING, is_small
+from tidewater.plans.timeline import join_keys
 from tidewater.session import settle
 
 SKETCH_ACCURACY = 100_000
@@ -19,7 +19,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str] | str) -> DataFrame:
     partitions of hot keys.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.join(settle(stats, "stats"), keys, "left")
+    return join_keys(df, settle(stats, "stats"), keys, "left")
 
 
 def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, float]) -> DataFrame:
@@ -27,14 +27,10 @@ def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, f
 
     ``percentile`` would build one value map per key in a single task. Here a bounded sketch
     gives each wanted rank a bracket of values; rows below the bracket are only counted and rows
-    inside are counted per distinct value, so what reaches one task is the small bracket. Inputs
-    whose size is known to be small use ``percentile`` directly.
+    inside are counted per distinct value, so what reaches one task is the small bracket.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     src = df.select(*keys, F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if _small(src):
-        p = src.groupBy(*keys).agg(F.percentile("__v", [float(x) for x in probs.values()]).alias("__q"))
-        return p.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
     slack = 2.0 / SKETCH_ACCURACY
     lo = [max(0.0, p - slack) for p in probs.values()]
     hi = [min(1.0, p + slack) for p in probs.values()]
@@ -58,7 +54,7 @@ def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, f
     )
     bounds = settle(sketch.select(*keys, "__n", wanted.alias("__w")), "brackets")
 
-    rows = src.join(bounds, keys)
+    rows = join_keys(src, bounds, keys)
     below = rows.groupBy(*keys).agg(
         F.max("__n").alias("__n"),
         *[F.count_if(F.col("__v") < F.col("__w")[i]["lo"]).alias(f"__b{i}") for i in range(m)],
@@ -75,8 +71,7 @@ def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, f
     per_prob = lambda c: F.element_at(F.array(*[F.col(f"{c}{i}") for i in range(m)]), F.col("__i") + 1)
     start = per_prob("__b")
     ranked = (
-        inside.withColumn("__cum", F.sum("__k").over(upto))
-        .join(below, keys)
+        join_keys(inside.withColumn("__cum", F.sum("__k").over(upto)), below, keys)
         .withColumn("__last", start + F.col("__cum") - 1)
         .withColumn("__first", F.col("__last") - F.col("__k") + 1)
         .withColumns(
@@ -104,18 +99,12 @@ def quantiles(df: DataFrame, keys: list[str] | str, col: str, probs: dict[str, f
     )
 
 
-def _small(df: DataFrame) -> bool:
-    return df.sparkSession.conf.get(CHUNK_SETTING, None) is None and is_small(df)
-
-
 def value_slices(df: DataFrame, keys: list[str] | str, col: str, slices: int = 64, descending: bool = False) -> DataFrame:
     """Add ``__vs``: an even slice number along ``col``, for laying a key out by value.
 
     The cut points come from a bounded sketch and are settled, so every task sees the same cuts.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if _small(df):
-        return df.withColumn("__vs", F.lit(0).cast("long"))
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(col).cast("double"), [i / slices for i in range(1, slices)], 1000).alias("__cuts")
     )

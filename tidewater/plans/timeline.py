@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 16_384
 CHUNK_SETTING = "tidewater.chunk.rows"
-# Tables whose files are at most this large are laid out as one chunk per key.
-SMALL_BYTES = 8 * 1024 * 1024
-SMALL_SETTING = "tidewater.small.bytes"
 
 _SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK = "__tl_slice", "__tl_chunk", "__tl_pos", "__tl_total", "__tl_own", "__tl_block"
 
@@ -45,7 +42,6 @@ class Timeline:
     order: tuple = field(default=())
     halo: bool = False
     block: int = 0
-    whole: bool = False  # one chunk per key: nothing to carry between chunks
 
     # -- frames ---------------------------------------------------------------------------
     def window(self, lo: int | None = None, hi: int | None = 0) -> WindowSpec:
@@ -112,7 +108,7 @@ class Timeline:
     def running(self, **specs) -> "Timeline":
         """Exact unbounded-prefix scans.
 
-        Each spec is ``(op, column)`` with op one of ``sum count max min last next``; ``last`` is
+        Each spec is ``(op, column)`` with op one of ``sum count product max min last next``; ``last`` is
         the latest non-NULL value up to the row, ``next`` the first non-NULL value from the row
         on. Append ``"<"`` to the op to leave the current row out.
         """
@@ -132,6 +128,11 @@ class Timeline:
                 carries.append(F.sum(t).over(before).alias(c))
                 local = fn(val).over(frame)
                 exprs[name] = F.coalesce(F.col(c) + local, F.col(c), local)
+            elif op == "product":
+                folds.append(F.product(val).alias(t))
+                carries.append(F.product(t).over(before).alias(c))
+                local = F.product(val).over(frame)
+                exprs[name] = F.coalesce(F.col(c) * local, F.col(c), local)
             elif op in ("max", "min"):
                 fn, pick = (F.max, F.greatest) if op == "max" else (F.min, F.least)
                 folds.append(fn(val).alias(t))
@@ -147,17 +148,9 @@ class Timeline:
                 exprs[name] = F.coalesce(F.first(val, ignorenulls=True).over(frame), F.col(c))
             else:
                 raise ValueError(f"unknown scan {op!r}")
-            if self.whole:
-                if op in ("sum", "count", "max", "min"):
-                    exprs[name] = local if op in ("sum", "count") else fn(val).over(frame)
-                else:
-                    pick = F.last if op == "last" else F.first
-                    exprs[name] = pick(val, ignorenulls=True).over(frame)
-        if self.whole:
-            return replace(self, df=self.df.withColumns(exprs))
         totals = self.df.where(self.own).groupBy(*self.part).agg(*folds)
         carry = totals.select(*self.part, *carries)
-        df = self.df.join(carry, list(self.part), "left").withColumns(exprs)
+        df = join_keys(self.df, carry, list(self.part), "left").withColumns(exprs)
         return replace(self, df=df.drop(*[f"__c_{n}" for n in specs]))
 
     def smooth(self, **specs) -> "Timeline":
@@ -167,7 +160,8 @@ class Timeline:
         the mean of the last ``n`` values there, and follows the recurrence after. Weights fade by ``1 - a`` per row,
         so two blocks of ``block_rows(a)`` rows determine y to double precision and a bounded halo
         is enough: inside a block y is a weighted running sum, and the only carry is the end of
-        the block before.
+        the block before. Rows with a NULL x keep the y before them; the next known row weighs the
+        old y by the length of the gap, as an exponential mean over missing values does.
         """
         parsed = {}
         for name, spec in specs.items():
@@ -191,19 +185,42 @@ class Timeline:
         order = (_POS,) if shared else tl.order
         k = tl.pos % F.lit(size)
         inner = Window.partitionBy(*tl.part, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        local, value = {}, {}
+        known, shrink, local, carry, value = {}, {}, {}, {}, {}
         for n, (x, a, start, m) in specs.items():
-            d = F.lit(1.0 - a)
+            x = F.col(x) if isinstance(x, str) else x
+            known[f"__x_{n}"] = x
+            counts = (tl.pos > start) & x.isNotNull() | (tl.pos == start) & (F.lit(m > 1) | x.isNotNull())
+            known[f"__k_{n}"] = F.when(counts, tl.pos)
+        tl = tl.add(**known)
+        # a known row after a gap of g rows has y = (d**g * y_before + a * x) / (d**g + a); without gaps the divisor is 1
+        for n, (_, a, start, m) in specs.items():
+            gap = tl.pos - F.last(f"__k_{n}", ignorenulls=True).over(tl.window(None, -1))
+            divisor = F.when(gap == 1, F.lit(1.0)).otherwise(F.pow(F.lit(1.0 - a), gap) + a)
+            first = (tl.pos <= start) if m > 1 else gap.isNull()
+            shrink[f"__g_{n}"] = F.when(F.col(f"__k_{n}").isNull() | first, F.lit(1.0)).otherwise(divisor)
+            shrink[f"__f_{n}"] = first
+        tl = tl.add(**shrink)
+        tl = tl.add(**{f"__d_{n}": F.product(f"__g_{n}").over(inner) for n in specs})
+        for n, (_, a, start, m) in specs.items():
+            x, d = F.col(f"__x_{n}"), F.lit(1.0 - a)
             # The seed rows are weighted so that at ``start`` each of them counts 1 / m.
-            head = x / m * F.pow(d, tl.pos - start) if m > 1 else x
-            term = F.when(tl.pos > start, F.lit(a) * x).when(tl.pos > start - m, head).otherwise(F.lit(0.0))
-            local[f"__l_{n}"] = F.sum(term * F.pow(d, -k)).over(inner) * F.pow(d, k)
+            seed = F.when(tl.pos > start - m, x / m * F.pow(d, tl.pos - start)) if m > 1 else x
+            term = F.when(F.col(f"__f_{n}"), seed).otherwise(F.lit(a) * x)
+            before = F.col(f"__d_{n}") / F.col(f"__g_{n}")
+            local[f"__l_{n}"] = F.coalesce(F.sum(term * before * F.pow(d, -k)).over(inner), F.lit(0.0)) * F.pow(d, k)
         tl = tl.add(**local)
+        for n in specs:
+            end = F.last(F.when(F.col(f"__k_{n}").isNotNull(), F.struct(F.col(f"__k_{n}").alias("at"), (F.col(f"__l_{n}") / F.col(f"__d_{n}")).alias("y"))), ignorenulls=True)
+            carry[f"__e_{n}"] = F.when(k == size - 1, end.over(inner))
+        tl = tl.add(**carry)
         for n, (_, a, start, _) in specs.items():
-            ends = F.when(k == size - 1, F.col(f"__l_{n}"))
-            carry = F.coalesce(F.last(ends, ignorenulls=True).over(tl.window(None, -1)), F.lit(0.0))
-            value[n] = F.when(tl.pos >= start, F.col(f"__l_{n}") + carry * F.pow(F.lit(1.0 - a), k + 1))
-        return tl.add(**value).drop(*local) if shared else tl.add(**value).drop("__blk", *local)
+            end = F.last(f"__e_{n}", ignorenulls=True).over(tl.window(None, -1))
+            carried = F.coalesce(end["y"] * F.pow(F.lit(1.0 - a), tl.pos - end["at"]), F.lit(0.0))
+            y = F.when(F.col(f"__k_{n}").isNotNull(), (F.col(f"__l_{n}") + carried) / F.col(f"__d_{n}"))
+            value[n] = y
+        tl = tl.add(**value)
+        tl = tl.add(**{n: F.when(tl.pos >= start, F.last(n, ignorenulls=True).over(tl.window(None, 0))) for n, (_, _, start, _) in specs.items()})
+        return tl.drop(*known, *shrink, *local, *carry, *[f"__d_{n}" for n in specs], *([] if shared else ["__blk"]))
 
     def rows(self) -> DataFrame:
         """The rows that belong to each chunk, without helper columns."""
@@ -211,31 +228,11 @@ class Timeline:
         return df.drop(_SLICE, _CHUNK, _POS, _TOTAL, _OWN, _BLOCK, "__tl_start")
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the planner knows the rows to come from a small amount of file data.
-
-    Plans that may emit more rows than they read (generators, Python maps) never count as small.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_SETTING, str(SMALL_BYTES)))
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) > limit:
-        return False
-    text = plan.toString()
-    return not any(node in text for node in ("Generate ", "Expand ", "InPandas", "InArrow", "Join"))
-
-
-def _one_chunk(df: DataFrame, keys: list[str], order: list, positions: bool, totals: bool, block: int) -> Timeline:
-    """Size-checked short cut: a whole key is one chunk, so there is no halo and nothing to carry."""
-    part = (*keys, _CHUNK)
-    df = df.withColumn(_CHUNK, F.lit(0).cast("long"))
-    if positions:
-        df = df.withColumn(_POS, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long") - 1)
-    if totals:
-        df = df.withColumn(_TOTAL, F.count(F.lit(1)).over(Window.partitionBy(*part)))
-    if block:
-        df = df.withColumn(_BLOCK, F.expr(f"{_POS} div {block}"))
-        return Timeline(df, tuple(keys), part, (_BLOCK, _POS), False, block, True)
-    return Timeline(df, tuple(keys), part, tuple(order), False, 0, True)
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL meets NULL; the key columns of ``left`` are kept."""
+    named = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def block_rows(alpha: float) -> int:
@@ -270,15 +267,13 @@ def lay_out(
     ``slice_by`` must be non-decreasing along ``order``. Without a halo the slices themselves
     are the chunks, which saves the second exchange; ``even`` asks for chunks of bounded row
     count all the same. Without either, positions are only worked out when ``positions`` is set.
-    Inputs known to be small (see :func:`is_small`) get one chunk per key.
+    NULL keys are keys like any other, and NULL order values come first.
     ``block`` names the block length smoothing will use: the chunks are then sorted by block and
     position once, and smoothing and plain windows share that sort.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     size = chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
     plain = back == 0 and ahead == 0 and not even
-    if chunk_rows is None and df.sparkSession.conf.get(CHUNK_SETTING, None) is None and is_small(df):
-        return _one_chunk(df, keys, order, not plain or positions, positions or even, block)
     rows = df.withColumn(_SLICE, slice_by)
     if plain and not positions:
         return Timeline(rows, tuple(keys), (*keys, _SLICE), tuple(order), False)
@@ -298,7 +293,7 @@ def lay_out(
     )
     local = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     placed = (
-        rows.join(starts, [*keys, _SLICE])
+        join_keys(rows, starts, [*keys, _SLICE])
         .withColumn(_POS, F.col("__tl_start") + F.row_number().over(local) - 1)
         .drop("__tl_start")
     )

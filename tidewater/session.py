@@ -39,13 +39,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a folder of our own created.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    temporary folder of its own; on a cluster no machine's folder would do, so it is an error.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _own_folder

@@ -94,24 +94,17 @@ def warm_start(history: DataFrame, live: DataFrame) -> DataFrame:
 
 # -- sinks --------------------------------------------------------------------------------
 def start(writer, spark: SparkSession):
-    """Start a query with no more state partitions than the session has cores.
+    """Start a query. Its state gets ``spark.sql.shuffle.partitions`` partitions, for the life of the checkpoint."""
+    return writer.start()
 
-    The number is fixed for the life of a checkpoint; a query takes its own copy of the session
-    settings when it starts, so the caller's setting is put back at once.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(name, before)
 
+def run_once(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Process everything available, write Parquet, return the written table.
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available, write Parquet, return the written table."""
+    ``path`` holds the written rows and the checkpoint; a later call with the same path goes on where this one ended.
+    """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    root = path or f"{shared_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
     writer = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("path", f"{root}/data").option("checkpointLocation", f"{root}/state")
@@ -121,9 +114,9 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
-def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], mode: str = "append", interval: str | None = None):
-    """Hand every micro-batch to ``handle``; ``interval`` throttles a long-running query."""
-    root = f"{shared_folder(stream.sparkSession)}/tidewater/{name}-{uuid.uuid4().hex}"
+def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], mode: str = "append", interval: str | None = None, path: str | None = None):
+    """Hand every micro-batch to ``handle``; ``interval`` throttles a long-running query, ``path`` names its checkpoint."""
+    root = path or f"{shared_folder(stream.sparkSession)}/tidewater/{name}-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(handle)
     w = w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)
     q = start(w, stream.sparkSession)
@@ -149,38 +142,48 @@ def fan_out(*consumers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame
 class LatestTable:
     """Newest row per key, kept as versioned Parquet; a batch writes the next version.
 
-    Versions are written beside each other, so a restarted batch rewrites its own version only.
+    Versions are written beside each other. A batch builds on the newest complete version below its own number, found
+    in the folder, so a batch that is run again or after a restart gives the same table.
     """
 
-    def __init__(self, spark: SparkSession, key: list[str], ts: str, schema: StructType, keep: int = 1):
+    def __init__(self, spark: SparkSession, key: list[str], ts: str, schema: StructType, keep: int = 1, path: str | None = None):
         self.spark, self.key, self.ts, self.schema, self.keep = spark, key, ts, schema, keep
-        self.root = f"{shared_folder(spark)}/tidewater/latest-{uuid.uuid4().hex}"
-        self.version: int | None = None
+        self.root = path or f"{shared_folder(spark)}/tidewater/latest-{uuid.uuid4().hex}"
+
+    def versions(self) -> list[int]:
+        """Numbers of the completely written versions, in order."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, "v*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in done)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         from tidewater.operators.setops import last_rows
 
         both = batch.select(*self.schema.names)
-        if self.version is not None and self.version != epoch:
-            both = self.table().unionByName(both)
+        earlier = [v for v in self.versions() if v < epoch]
+        if earlier:
+            both = self._read(earlier[-1]).unionByName(both)
         if self.keep == 1:
             rest = [c for c in self.schema.names if c not in self.key]
             new = both.groupBy(*self.key).agg(F.max_by(F.struct(*rest), self.ts).alias("r")).select(*self.key, "r.*")
         else:
             new = last_rows(both.dropDuplicates([*self.key, self.ts]), self.key, self.ts, self.keep)
         new.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/v{epoch}")
-        self.version = epoch
+
+    def _read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{self.version}")
+        return self._read(self.versions()[-1])
 
 
 class AppendTable:
     """Collect batches in one folder per batch number (idempotent on retry)."""
 
-    def __init__(self, spark: SparkSession, schema: StructType):
+    def __init__(self, spark: SparkSession, schema: StructType, path: str | None = None):
         self.spark, self.schema = spark, schema
-        self.root = f"{shared_folder(spark)}/tidewater/append-{uuid.uuid4().hex}"
+        self.root = path or f"{shared_folder(spark)}/tidewater/append-{uuid.uuid4().hex}"
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         batch.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/batch={epoch}")
