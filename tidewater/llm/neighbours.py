@@ -255,6 +255,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     asked = fine.filter(is_query).groupBy("vec").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "vec")
     asked = settled(asked, "asked")
     sample = asked.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE).collect()
+    if not sample:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     enough, depth = choose(*measure(kept, sample, forest, k), recall)
     depth = min(depth, max(int(math.log2(max(kept.count(), 1) / 64)), 0) if depth else 0)
     found, left = None, asked
