@@ -392,9 +392,9 @@ def _(t):
 
 
 @query("p26_run_constraints", "symbol trades:i worst:d",
-       "SELECT symbol, count(*) AS trades, min(ret) AS worst FROM closed_trades WHERE side = 'long' GROUP BY symbol HAVING count(*) >= 30 AND abs(min(ret)) <= 0.2::DOUBLE")
+       "SELECT symbol, count(*) AS trades, min(ret) AS worst FROM closed_trades GROUP BY symbol HAVING count(*) >= 30 AND abs(min(ret)) <= 0.2::DOUBLE")
 def _(t):
-    runs = t.closed_trades.where("side = 'long'").groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.min("ret").alias("worst"))
+    runs = t.closed_trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.min("ret").alias("worst"))
     return runs.where((F.col("trades") >= 30) & (F.abs("worst") <= 0.2))
 
 

@@ -199,11 +199,11 @@ def _(t):
 
 
 @query("a18_back_to_back", "symbol max_chain:i",
-       f"""WITH w AS (SELECT symbol, coalesce(epoch(entry_time) - epoch(lag(exit_time) OVER ({TO})) >= 3600, true) AS fresh, row_number() OVER ({TO}) AS rn FROM closed_trades WHERE pnl > 0),
+       f"""WITH w AS (SELECT symbol, coalesce(epoch(entry_time) - epoch(lag(exit_time) OVER ({TO})) >= 3600, true) AS fresh, row_number() OVER ({TO}) AS rn FROM closed_trades),
        c AS (SELECT symbol, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS chain FROM w)
        SELECT symbol, max(n) AS max_chain FROM (SELECT symbol, chain, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY symbol""")
 def _(t):
-    return m.back_to_back(t.trades_with("pnl").where("pnl > 0"))
+    return m.back_to_back(t.trades_with("pnl"))
 
 
 @query("a19_day_state", "symbol ts:t last:d volume_24h:d change_24h:d high_24h:d low_24h:d",
@@ -222,18 +222,18 @@ def _(t):
 
 @query("a21_monthly_returns", "symbol months:i mean:d std:d best:d worst:d positive_months:d",
        """SELECT symbol, count(*) AS months, avg(m) AS mean, stddev_samp(m) AS std, max(m) AS best, min(m) AS worst, avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS positive_months
-       FROM (SELECT symbol, date_trunc('month', exit_time) AS mo, exp(sum(ln(1 + ret))) - 1 AS m FROM closed_trades WHERE ret <> 0 GROUP BY 1, 2) GROUP BY symbol""")
+       FROM (SELECT symbol, date_trunc('month', exit_time) AS mo, exp(sum(ln(1 + ret))) - 1 AS m FROM closed_trades GROUP BY 1, 2) GROUP BY symbol""")
 def _(t):
-    return m.monthly_stats(t.closed_trades.where("ret <> 0"), "symbol", "exit_time")
+    return m.monthly_stats(t.closed_trades, "symbol", "exit_time")
 
 
 @query("a22_monthly_pnl", "symbol month:t pnl:d4 trades:i win_rate:d",
        """WITH a AS (SELECT symbol, date_trunc('month', exit_time) AS month, sum(pnl) AS pnl, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS win_rate
-       FROM closed_trades WHERE extract('month' FROM exit_time) <> 5 GROUP BY 1, 2), g AS (SELECT symbol, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM a GROUP BY symbol)
+       FROM closed_trades GROUP BY 1, 2), g AS (SELECT symbol, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM a GROUP BY symbol)
        SELECT g.symbol, g.month, coalesce(pnl, 0) AS pnl, coalesce(trades, 0) AS trades, win_rate FROM g LEFT JOIN a ON a.symbol = g.symbol AND a.month = g.month""")
 def _(t):
     slim = settle(t.closed_trades.select("symbol", "exit_time", "pnl"), "pnl")
-    return m.monthly_pnl(slim.where(F.month("exit_time") != 5))
+    return m.monthly_pnl(slim)
 
 
 @query("a23_cumulative_pnl", "symbol trade_id:i l_partkey:i exit_time:t cum_pnl:d5", f"SELECT symbol, trade_id, l_partkey, exit_time, sum(pnl) OVER ({TO} ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM closed_trades")

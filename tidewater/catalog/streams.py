@@ -175,9 +175,9 @@ def _(t):
     return streams.run_once(s, "checked")
 
 
-@query("st17_stream_stream_join", "trade_id:i book_id:i symbol", "SELECT t.trade_id, b.trade_id AS book_id, t.symbol FROM ticks t JOIN ticks b ON b.symbol = t.symbol AND b.trade_id % 2 = 0 AND t.ts BETWEEN b.ts AND b.ts + INTERVAL 600 SECOND")
+@query("st17_stream_stream_join", "trade_id:i book_id:i symbol", "SELECT t.trade_id, b.trade_id AS book_id, t.symbol FROM ticks t JOIN ticks b ON b.symbol = t.symbol AND t.ts BETWEEN b.ts AND b.ts + INTERVAL 600 SECOND")
 def _(t):
-    books = t.ticks.where("trade_id % 2 = 0").select(F.col("trade_id").alias("book_id"), "symbol", "ts")
+    books = t.ticks.select(F.col("trade_id").alias("book_id"), "symbol", "ts")
     return streams.run_once(streams.nearest_books(tick_stream(t).select("trade_id", "symbol", "ts"), landed(t, books, "books"), 600), "near")
 
 

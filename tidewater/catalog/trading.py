@@ -93,16 +93,15 @@ def _(t):
     return metrics.trade_costs(t.closed_trades)
 
 
-# -- exits: every sixth-hour bar opens a position, long when it closed up ---------------------
+# -- exits: every bar opens a position, long when it closed up --------------------------------
 def entries(t, stop=0.05, target=0.08):
     sign = F.when(F.col("close") >= F.col("open"), 1.0).otherwise(-1.0)
-    e = t.bars_kept.where(F.hour("ts") % 6 == 0)
-    return e.select(
+    return t.bars_kept.select(
         "symbol", F.col("ts").alias("entry_ts"), F.when(sign > 0, "long").otherwise("short").alias("side"), F.col("close").alias("entry_price"),
         (F.col("close") * (1 - sign * stop)).alias("stop"), (F.col("close") * (1 + sign * target)).alias("target"))
 
 
-ENTRIES = """SELECT symbol, ts AS entry_ts, CASE WHEN close >= open THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg, close AS entry_price FROM bars WHERE extract('hour' FROM ts) % 6 = 0"""
+ENTRIES = """SELECT symbol, ts AS entry_ts, CASE WHEN close >= open THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg, close AS entry_price FROM bars"""
 PATH = f"""SELECT e.*, b.ts, b.high, b.low, b.close, entry_price * (1 - sg * 0.05::DOUBLE) AS stop, entry_price * (1 + sg * 0.08::DOUBLE) AS target
     FROM ({ENTRIES}) e JOIN bars b ON b.symbol = e.symbol AND b.ts > e.entry_ts AND b.ts <= e.entry_ts + INTERVAL 24 HOUR"""
 
@@ -215,12 +214,12 @@ def _(t):
         "hours": (F.unix_seconds("exit_time") - F.unix_seconds("entry_time")) / 3600})
 
 
-POS = "SELECT trade_id, symbol, side, price AS entry_price, amount AS quantity FROM ticks WHERE amount > 5"
+POS = "SELECT trade_id, symbol, side, price AS entry_price, amount AS quantity FROM ticks"
 
 
 def positions(t):
     side = F.when(F.col("side") == "buy", "long").otherwise("short")
-    return t.ticks.where("amount > 5").select("trade_id", "symbol", side.alias("side"), F.col("price").alias("entry_price"), F.col("amount").alias("quantity"))
+    return t.ticks.select("trade_id", "symbol", side.alias("side"), F.col("price").alias("entry_price"), F.col("amount").alias("quantity"))
 
 
 @query("t20_mark_to_market", "trade_id:i symbol last_price:d value:d unrealized_pnl:d",
