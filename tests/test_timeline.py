@@ -94,3 +94,62 @@ def test_asof_and_interval_joins(spark, small_chunks):
     m = left[["symbol", "ts"]].merge(right, on="symbol", suffixes=("", "_r"))
     d = (m.ts_r - m.ts).dt.total_seconds()
     assert got == int(((d > 0) & (d <= 7200)).sum())
+
+
+def test_smoothing_over_missing_values_is_the_pandas_mean(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tidewater.plans.timeline import lay_out, smoothing_reach
+
+    r = np.random.default_rng(4)
+    alpha, n = 2 / 13, 900
+    frames = []
+    for key, missing in (("a", 0.0), ("b", 0.3), ("c", 0.8)):
+        x = 100 + r.normal(size=n).cumsum()
+        x[r.random(n) < missing] = np.nan
+        x[:3] = np.nan
+        frames.append(pd.DataFrame({"k": key, "i": range(n), "x": x, "want": pd.Series(x).ewm(alpha=alpha, adjust=False).mean()}))
+    rows = pd.concat(frames)
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), "k string, i long, x double, want double")
+    for chunk in (300, 16_384):
+        tl = lay_out(df, "k", ["i"], F.floor(F.col("i") / 50), back=smoothing_reach(alpha), chunk_rows=chunk)
+        out = tl.smooth(y=("x", alpha)).rows().toPandas()
+        assert len(out) == 3 * n and out.y.isna().equals(out.want.isna())
+        assert np.nanmax(np.abs(out.y - out.want)) < 1e-5
+
+
+def test_null_keys_and_times_stay(spark):
+    from tidewater.plans.attach import quantiles
+    from tidewater.plans.timeline import lay_out
+
+    rows = [("a" if i % 5 else None, i if i % 9 else None, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    for chunk in (7, 50, 16_384):
+        tl = lay_out(df, "k", ["i"], F.floor(F.col("i") / 30), back=3, chunk_rows=chunk).running(s=("sum", "x"), p=("product", F.lit(1.0)))
+        out = tl.rows().toPandas()
+        assert len(out) == 200 and out.p.eq(1).all()
+        assert sorted(out.groupby("k", dropna=False).s.max()) == sorted([sum(x for k, _, x in rows if k), sum(x for k, _, x in rows if not k)])
+    assert quantiles(df, "k", "x", {"m": 0.5}).count() == 2
+
+
+def test_running_product_keeps_losses(spark):
+    from tidewater.plans.timeline import lay_out
+
+    df = spark.createDataFrame([(1, i, r) for i, r in enumerate([0.1, -1.0, 0.1, -1.5])] + [(2, i, r) for i, r in enumerate([0.5, -1.5, 1.0])], "k int, i long, r double")
+    out = lay_out(df, "k", ["i"], F.floor(F.col("i") / 2), back=1, chunk_rows=2).running(c=("product", 1 + F.col("r"))).rows().orderBy("k", "i").collect()
+    assert [round(x.c, 9) for x in out] == [1.1, 0.0, 0.0, 0.0, 1.5, -0.75, -1.5]
+
+
+def test_latest_table_survives_retry_and_restart(spark, tmp_path):
+    from tidewater.streaming.streams import LatestTable
+
+    batches = [spark.createDataFrame(rows, "k string, ts long, v int") for rows in ([("a", 1, 1), ("b", 1, 2)], [("b", 2, 3)], [("c", 1, 4)])]
+    new = lambda: LatestTable(spark, ["k"], "ts", batches[0].schema, path=str(tmp_path / "latest"))
+    table = new()
+    for epoch in (0, 1, 1):  # batch 1 is run again
+        table(batches[epoch], epoch)
+    table = new()  # a restart runs the last batch once more
+    for epoch in (1, 2):
+        table(batches[epoch], epoch)
+    assert sorted(tuple(r) for r in table.table().collect()) == [("a", 1, 1), ("b", 2, 3), ("c", 1, 4)]
