@@ -468,10 +468,13 @@ def _(t):
 @query("c06_fill_strategies", "strategy symbol rows:i total:d",
        f"""SELECT 'drop' AS strategy, symbol, count(*) AS rows, sum(close) AS total FROM bars_with_gaps WHERE close IS NOT NULL GROUP BY symbol UNION ALL
        SELECT 'ffill', symbol, count(*), sum(c) FROM (SELECT symbol, coalesce({FF}, {BF}) AS c FROM bars_with_gaps) GROUP BY symbol UNION ALL
-       SELECT 'mean', symbol, count(*), sum(c) FROM (SELECT symbol, coalesce(close, avg(close) OVER (PARTITION BY symbol)) AS c FROM bars_with_gaps) GROUP BY symbol""")
+       SELECT 'mean', symbol, count(*), sum(c) FROM (SELECT symbol, coalesce(close, avg(close) OVER (PARTITION BY symbol)) AS c FROM bars_with_gaps) GROUP BY symbol UNION ALL
+       SELECT 'median', symbol, count(*), sum(coalesce(close, m)) FROM bars_with_gaps JOIN (SELECT symbol, quantile_cont(close, 0.5) AS m FROM bars_with_gaps GROUP BY symbol) USING (symbol) GROUP BY symbol UNION ALL
+       SELECT 'forward', symbol, count(*), sum(c) FROM (SELECT symbol, {FF} AS c FROM bars_with_gaps) GROUP BY symbol UNION ALL
+       SELECT 'bfill', symbol, count(*), sum(c) FROM (SELECT symbol, {BF} AS c FROM bars_with_gaps) GROUP BY symbol""")
 def _(t):
     parts = [clean.fill_missing(t.bars_with_gaps, ["close"], s).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("close").alias("total")).withColumn("strategy", F.lit(s)) for s in ("drop", "ffill", "mean")]
+        F.count(F.lit(1)).alias("rows"), F.sum("close").alias("total")).withColumn("strategy", F.lit(s)) for s in ("drop", "ffill", "mean", "median", "forward", "bfill")]
     return setops.union_all(*parts)
 
 

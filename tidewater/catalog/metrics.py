@@ -478,6 +478,12 @@ def _(t):
     return m.class_report(t.scored)
 
 
+@query("a48_confusion_matrix", "symbol predicted:i actual:i rows:i",
+       f"SELECT symbol, {CLS.format(c='pred')} AS predicted, {CLS.format(c='actual')} AS actual, count(*) AS rows FROM scored GROUP BY 1, 2, 3")
+def _(t):
+    return m.confusion_matrix(t.scored)
+
+
 @query("a49_market_snapshot", "symbol ts:t close:d volume:d volatility:d trend_sign:d",
        f"""SELECT symbol, ts, close, volume, vol AS volatility, sign(close - ma) AS trend_sign FROM (SELECT *, {roll('stddev_samp', 'lr', 20)} * sqrt(252) AS vol, {roll('avg', 'close', 20)} AS ma, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM ({LR})) WHERE r = 1""")
 def _(t):

@@ -66,8 +66,14 @@ def fill_statistic(df: DataFrame, cols: list[str], stat: str = "mean", key: str
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__s_{c}")) for c in cols}).drop(*[f"__s_{c}" for c in cols])
 
 
+def fill_one_way(df: DataFrame, cols: list[str], way: str) -> DataFrame:
+    """``last`` known value (the head stays missing) or ``next`` known value (the tail stays missing)."""
+    out = bars_timeline(df).running(**{f"__o_{c}": (way, c) for c in cols}).rows()
+    return out.withColumns({c: F.col(f"__o_{c}") for c in cols}).drop(*[f"__o_{c}" for c in cols])
+
+
 def fill_missing(df: DataFrame, cols: list[str], strategy: str) -> DataFrame:
-    """Strategies: drop, interpolate, time, mean, median, ffill (forward, then back)."""
+    """Strategies: drop, interpolate, time, mean, median, ffill (forward, then back), forward, bfill (back only)."""
     actions = {
         "drop": lambda: df.na.drop("any", subset=cols),
         "interpolate": lambda: interpolate(df, cols),
@@ -75,6 +81,8 @@ def fill_missing(df: DataFrame, cols: list[str], strategy: str) -> DataFrame:
         "mean": lambda: fill_statistic(df, cols, "mean"),
         "median": lambda: fill_statistic(df, cols, "median"),
         "ffill": lambda: fill_forward_back(df, cols),
+        "forward": lambda: fill_one_way(df, cols, "last"),
+        "bfill": lambda: fill_one_way(df, cols, "next"),
     }
     return actions[strategy]()
 

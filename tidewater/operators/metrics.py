@@ -483,6 +483,12 @@ def class_report(scored: DataFrame, band: float = 0.01) -> DataFrame:
         tp.alias("true_positive"), ratio(tp, pp).alias("precision"), ratio(tp, ap).alias("recall"))
 
 
+def confusion_matrix(scored: DataFrame, band: float = 0.01) -> DataFrame:
+    """Rows per symbol, predicted class and actual class."""
+    cls = lambda c: F.when(F.col(c) > band, 1).when(F.col(c) < -band, -1).otherwise(0)
+    return scored.select("symbol", cls("pred").alias("predicted"), cls("actual").alias("actual")).groupBy("symbol", "predicted", "actual").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def class_weights(df: DataFrame, label: str, key: str) -> DataFrame:
     """Balanced weights ``n / (k * n_c)`` per class."""
     n = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n_c"))
