@@ -49,6 +49,10 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return settle(df, f"llm-{name}")
 
 
-def rows_and_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Size in bytes that the optimizer sees for ``df``; for a settled table that is its file size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Ids that are broadcast to pick their rows out of a larger table (some 20 MB); more are joined by a shuffle.
+PICK_MOST = 250_000
+
+
+def picked(ids: DataFrame) -> DataFrame:
+    """``ids`` for a join, to be broadcast if they are few; ``ids`` should be a settled table."""
+    return F.broadcast(ids) if ids.count() <= PICK_MOST else ids

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_written, keyed, same_document, settled
+from tidewater.llm.common import drop_written, keyed, picked, settled
 from tidewater.llm.words import NOT_BLANK, Batch, mix, shingles, slices
 
-GROUPS, LEAF, LEAF_BLOCK, STAR_ROUNDS = 32, 16, 256, 4
-#: A shingle in this many sets counts as common, as long as at most COMMON_MOST of them do (4 MB to broadcast).
-COMMON, COMMON_MOST = 32, 1 << 19
+GROUPS, LEAF, LEAF_BLOCK, STAR_ROUNDS = 256, 16, 256, 2
+#: A shingle in this many sets counts as common, as long as at most COMMON_MOST of them do (16 MB to broadcast).
+COMMON, COMMON_MOST = 3, 1 << 21
 _U = np.uint64
 
 
@@ -71,7 +71,7 @@ def points(docs: DataFrame) -> DataFrame:
             for _, s in _sets(batch.column(1)):
                 n.append(len(s))
                 node.append(node_of(s))
-                counts.append(np.bincount((s >> _U(59)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                counts.append(np.bincount((s >> _U(56)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())],
                                              names=["doc_id", "text_key", "n", "node", "counts"])
 
@@ -123,7 +123,7 @@ def common_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
         total += r["count"]
         if total > COMMON_MOST:
             break
-        least = 2 ** r["e"]
+        least = max(2 ** r["e"], COMMON)
     if least is None:
         return np.zeros(0, np.uint64)
     return np.sort(found.filter(F.col("n") >= least).select("head").toArrow()["head"].to_numpy().view(np.uint64))
@@ -207,9 +207,18 @@ def routes(docs: DataFrame, common: np.ndarray, ranges: int) -> DataFrame:
     return out
 
 
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """One shingle of all that route the same nodes, and none that routes a single node."""
+    spans = members.groupBy("shingle").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = settled(spans.filter("size > 1").groupBy("size", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle"), "buckets")
+    out = settled(members.join(kept, "shingle").select("shingle", "node"), "members")
+    drop_written(members.sparkSession, members)
+    return out
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, elements): packed sorted sets of ``nodes`` (node, doc_id, text_key)."""
-    wanted = nodes.select("node", F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key"))
+    """(node, elements): packed sorted sets of ``nodes`` (node, doc_id, text_key), one row per node."""
+    wanted = picked(settled(nodes.select("node", F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")), "wanted"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["n_id"]) & (docs["text_key"] == wanted["n_key"])).select("node", "text")
 
     def run(batches):
@@ -251,6 +260,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    asked = settled(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+    sets = sets.join(picked(asked), "node", "left_semi")
     left, right = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -383,7 +394,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     .select("node", "first.*", "n", "counts"), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(8, int(total // 1_000_000).bit_length())
-    members = routes(source, common_shingles(source, ranges), ranges)
+    members = distinct_buckets(routes(source, common_shingles(source, ranges), ranges))
     sets = settled(shingle_sets(source, nodes.join(members.select("node").distinct(), "node", "left_semi")), "sets")
     labels, links, round_ = None, [], 0
     while round_ <= STAR_ROUNDS:
@@ -397,7 +408,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             pairs = within_bound(pairs, nodes)
         else:
             pairs = tree_candidates(open_, nodes)
-        found = settled(verified(settled(pairs, "pairs"), sets), "links")
+        pairs = settled(pairs, "pairs")
+        found = settled(verified(pairs, sets), "links")
+        drop_written(spark, open_, pairs)
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.unionByName, links))
