@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import keyed, settled
+from tidewater.llm import common
+from tidewater.llm.common import keyed, picked, settled
 
 #: Words from which a line is a chunk of its own, words that a removed stretch has at least, independent cuttings.
 LONG_LINE, MIN_WORDS, CUTTINGS = 25, 40, 8
@@ -93,7 +94,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     marked = hits.unionByName(firsts.select("first.*", F.col("f_high").alias("high"), F.col("f_low").alias("low"), F.lit(True).alias("is_first")))
     by_doc = settled(marked.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "lines", "high", "low", "is_first")).alias("marks")), "chunk-marks")
     by_doc = by_doc.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "marks")
-    texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["m_id"]) & (docs["text_key"] == by_doc["m_key"]))
+    ids = settled(by_doc.select(F.col("m_id").alias("p_id"), F.col("m_key").alias("p_key")), "chunk-docs")
+    some = docs.join(picked(ids), docs["doc_id"].eqNullSafe(F.col("p_id")) & (docs["text_key"] == F.col("p_key")), "left_semi")
+    texts = some.join(by_doc, some["doc_id"].eqNullSafe(by_doc["m_id"]) & (some["text_key"] == by_doc["m_key"]))
     texts = texts.select("doc_id", "text_key", F.split("text", "\n", -1).alias("all_lines"), F.explode("marks").alias("m"))
     texts = texts.select("doc_id", "text_key", "m.*", F.array_join(F.slice("all_lines", F.col("m.at") + 1, F.col("m.lines")), "\n").alias("chunk"))
     texts = settled(texts.distinct(), "chunk-texts")
@@ -122,10 +125,16 @@ def cut(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS) ->
 def clean(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed: str = "_removed_lines") -> DataFrame:
     """``docs`` with cleaned texts and the number of removed lines in the column ``removed``."""
     spans = settled(repeated(keyed(docs, id_col, text_col)), "chunk-spans").select(F.col("doc_id").alias("_span_id"), F.col("text_key").alias("_span_key"), F.col("spans").alias("_spans"))
-    text = docs[text_col].cast("string")
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_span_id"]) & (F.xxhash64(text) == spans["_span_key"]), "left")
     names = docs.columns
-    rows = joined.select(*[docs[c] if c != text_col else text.alias(text_col) for c in names], "_spans")
+    docs = docs.withColumn(text_col, docs[text_col].cast("string"))
+    of_doc = docs[id_col].eqNullSafe(F.col("_span_id")) & (F.xxhash64(docs[text_col]) == F.col("_span_key"))
+    if spans.count() <= common.PICK_MOST:  # texts without a span are not shuffled
+        ids = F.broadcast(spans.select("_span_id", "_span_key"))
+        some, rest = docs.join(ids, of_doc, "left_semi"), docs.join(ids, of_doc, "left_anti")
+        some = some.join(spans, some[id_col].eqNullSafe(spans["_span_id"]) & (F.xxhash64(some[text_col]) == spans["_span_key"])).select(*[some[c] for c in names], "_spans")
+        rows = some.unionByName(rest.withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
+    else:
+        rows = docs.join(spans, of_doc, "left").select(*[docs[c] for c in names], "_spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{removed}` int"
     where = names.index(text_col)
 
