@@ -5,8 +5,9 @@ side by side exactly when merging their joint bytes gives back these two tokens,
 its only split into tokens whose neighbours all fit. So the nondeterministic machine follows, for each place where a
 token may start, one path through the trie of the vocabulary. The deterministic machine holds the live paths of one
 input prefix together: each path is (tokens not yet emitted, trie node). A path dies as soon as no token continues it;
-what all live paths agree on is emitted. The lookahead is therefore bounded by the longest token. States and
-transitions are built when first needed and thrown away when there are too many, to be built again.
+what all live paths agree on is emitted. The lookahead is therefore bounded by the longest token. Determinising is
+lazy: a transition is built when it is asked for the second time, a piece that asks for one the first time is run on
+the nondeterministic machine. States are thrown away when there are too many, to be built again.
 
 Decoding streams: token bytes go through an incremental UTF-8 state machine which keeps an incomplete character at
 the end of a chunk for the next one.
@@ -30,7 +31,9 @@ from pyspark.sql import types as T
 #: Characters with the property White_Space, as a character class body; engines differ in their ``\\s``.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bound of each cache, in entries. A full cache makes room and fills again; results do not depend on it.
-CACHE = 400_000
+CACHE = 300_000
+#: Words in each of the two generations of remembered words; about 100 MB each.
+WORDS = 450_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +59,11 @@ class Transducer:
                     self.at.append(-1)
                 node = nxt
             self.at[node] = i
+        size = max(self.token, default=-1) + 1
+        self.length, self.shorter = [0] * size, [-1] * size  # of every token, and the longest token that is a proper prefix of it
+        for i, b in self.token.items():
+            self.length[i] = len(b)
+            self.shorter[i] = next((ranks[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in ranks), -1)
         self._fits: dict[int, bool] = {}
         self._reset()
 
@@ -65,21 +73,27 @@ class Transducer:
         start = (-1, (((), 0),))
         self.states, self.paths = {start: 0}, [start]
         self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte -> state, or with tokens
-
-    def merged(self, piece: bytes) -> list[bytes]:
-        """Merges by definition, lowest rank first and leftmost among equals; only used on two tokens' bytes."""
-        rank = self.ranks.get
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, where = r, i
-            if best is None:
-                break
-            parts[where:where + 2] = [parts[where] + parts[where + 1]]
-        return parts
+        self.asked: set[int] = set()  # transitions that were missing once
+
+    def stay_apart(self, x: bytes, y: bytes) -> bool:
+        """Merges the joint bytes by definition, lowest rank first and leftmost among equals: whether x and y come out."""
+        rank, none = self.ranks.get, 1 << 30
+        parts = [x[i:i + 1] for i in range(len(x))] + [y[i:i + 1] for i in range(len(y))]
+        ranks = [rank(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+        border = len(x) - 1  # the pair on both sides of the border
+        while len(parts) > 2:
+            best = min(ranks)
+            i = ranks.index(best)
+            if best == none or i == border:
+                return False
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            border -= i < border
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return parts[0] == x and ranks[0] == none
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may follow token a inside a piece."""
@@ -87,8 +101,7 @@ class Transducer:
         if known is None:
             if len(self._fits) > CACHE:
                 self._fits.clear()
-            x, y = self.token[a], self.token[b]
-            known = self._fits[a << 24 | b] = self.merged(x + y) == [x, y]
+            known = self._fits[a << 24 | b] = self.stay_apart(self.token[a], self.token[b])
         return known
 
     def step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
@@ -120,18 +133,59 @@ class Transducer:
             self.paths.append(key)
         return (to, first[:k]) if k else to
 
+    def simulate(self, piece: bytes) -> list[int]:
+        """One piece on the nondeterministic machine: longest tokens first, stepping back where no token fits.
+
+        A place that has failed is never entered again, since only one chain of tokens leads to it.
+        """
+        edge, tokens, fits, length, shorter = self.edge.get, self.at, self._fits.get, self.length, self.shorter
+        n, at, out, failed, last = len(piece), 0, [], set(), -1
+        while at < n:
+            node, t = 0, -1
+            for i in range(at, n):
+                node = edge(node << 8 | piece[i])
+                if node is None:
+                    break
+                if tokens[node] >= 0:
+                    t = tokens[node]
+            while True:
+                if at + length[t] not in failed:
+                    if last < 0:
+                        break
+                    good = fits(last << 24 | t)
+                    if good or good is None and self.fits(last, t):
+                        break
+                t = shorter[t]
+                while t < 0:
+                    failed.add(at)
+                    t = out.pop()
+                    last = out[-1] if out else -1
+                    at -= length[t]
+                    t = shorter[t]
+            out.append(t)
+            last = t
+            at += length[t]
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self.moves) > CACHE:
             self._reset()
+        if len(self.asked) > CACHE:
+            self.asked.clear()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
-            move = moves.get(state << 8 | byte)
+            key = state << 8 | byte
+            move = moves.get(key)
             if move is None:
-                move = moves[state << 8 | byte] = self.step(state, byte)
+                if key not in self.asked and len(piece) <= 64:
+                    self.asked.add(key)
+                    return self.simulate(piece)
+                self.asked.discard(key)
+                move = moves[key] = self.step(state, byte)
             if type(move) is int:
                 state = move
             else:
@@ -168,7 +222,7 @@ class Encoder:
         known = self.known
         ids = known.get(piece) or self.older.get(piece) or tuple(self.machine.encode(piece.encode()))
         if len(piece) <= 64:
-            if len(known) > CACHE // 2:
+            if len(known) > WORDS:
                 self.older, self.known = known, {}
             self.known[piece] = ids
         return ids
@@ -186,6 +240,16 @@ def encoder_for(path: str, pattern: str, ranks: dict[bytes, int]) -> Encoder:
     return found
 
 
+_DECODERS: dict[str, dict[int, bytes]] = {}
+
+
+def decoder_for(path: str, ranks: dict[bytes, int]) -> dict[int, bytes]:
+    if path not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[path] = {i: b for b, i in ranks.items()}
+    return _DECODERS[path]
+
+
 class Utf8Stream:
     """Incremental UTF-8 decoder: ``feed`` returns the text of all complete characters so far.
 
@@ -240,36 +304,49 @@ def _rebatched(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[p
             yield batch.slice(i, rows)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text_col`` in the new array<int> column ``to``."""
-    known = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))  # bounded by the vocabulary
-    schema = T.StructType([f for f in docs.schema.fields if f.name != to] + [T.StructField(to, T.ArrayType(T.IntegerType()))])
-    keep = [c for c in docs.columns if c != to]
+def _ids(texts: pa.Array, encoder: Encoder) -> pa.ListArray:
+    offsets, flat = [0], array("i")
+    for text in texts:
+        flat.extend(encoder(text.as_py()))
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+
+
+def _texts(ids: pa.ListArray, token: dict[int, bytes]) -> pa.Array:
+    return pa.array(["".join(decode_stream(x.values.to_pylist() if x.is_valid else (), token)) for x in ids], pa.string())
+
+
+def _mapped(df: DataFrame, rank_path: str, added: list[T.StructField], make) -> DataFrame:
+    """``df`` with the columns ``added``, which ``make(batch, ranks)`` returns for every batch."""
+    known = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))  # bounded by the vocabulary
+    names = [f.name for f in added]
+    keep = [c for c in df.columns if c not in names]
+    schema = T.StructType([df.schema[c] for c in keep] + added)
 
     def run(batches):
-        encoder = encoder_for(rank_path, pattern, known.value)
         for batch in _rebatched(batches):
-            offsets, flat = [0], array("i")
-            for text in batch.column(text_col):
-                flat.extend(encoder(text.as_py()))
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, to])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *make(batch, known.value)], names=[*keep, *names])
+
+    return df.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of ``text_col`` in the new array<int> column ``to``."""
+    return _mapped(docs, rank_path, [T.StructField(to, T.ArrayType(T.IntegerType()))],
+                   lambda batch, ranks: [_ids(batch.column(text_col), encoder_for(rank_path, pattern, ranks))])
 
 
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids_col`` in the new string column ``to``."""
-    known = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
-    schema = T.StructType([f for f in encoded.schema.fields if f.name != to] + [T.StructField(to, T.StringType())])
-    keep = [c for c in encoded.columns if c != to]
+    return _mapped(encoded, rank_path, [T.StructField(to, T.StringType())],
+                   lambda batch, ranks: [_texts(batch.column(ids_col), decoder_for(rank_path, ranks))])
 
-    def run(batches):
-        token = {i: b for b, i in known.value.items()}
-        for batch in _rebatched(batches):
-            column = batch.column(ids_col)
-            text = pa.array(["".join(decode_stream(x.values.to_pylist() if x.is_valid else (), token)) for x in column], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text], names=[*keep, to])
 
-    return encoded.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of the ids in one pass, so that ids do not travel between two Python workers."""
+
+    def make(batch, ranks):
+        made = _ids(batch.column(text_col), encoder_for(rank_path, pattern, ranks))
+        return [made, _texts(made, decoder_for(rank_path, ranks))]
+
+    return _mapped(docs, rank_path, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], make)

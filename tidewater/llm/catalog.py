@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontaminate, sharding, urls
+from tidewater.llm import bpe, chat, chat_sql, decontaminate, sharding, urls
 from tidewater.llm import queries_models, queries_text  # noqa: F401
 from tidewater.llm.common import table
 from tidewater.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -54,8 +54,7 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    back = bpe.decode(ids.select("doc_id", "ids"), path)
+    back = bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -66,6 +65,8 @@ def op10_link_graph(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+ORACLES["op2_chat"] = chat_sql.SQL
+
 ORACLES["op4_decontaminate"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
