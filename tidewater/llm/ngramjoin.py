@@ -332,12 +332,16 @@ def tree_join(vecs: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.
 
 
 def tree_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that the trees of all buckets let through; members: (shingle, node, label)."""
+    """Distinct pairs (a, b) that the trees of all buckets let through; members: (shingle, node, label).
+
+    A pair that shares several buckets comes from the first of them only, so near copies do not repeat it per bucket.
+    """
+    routed = members.groupBy("node").agg(F.sort_array(F.collect_set("shingle")).alias("routed"))  # at most a fifth of its set
     sizes = members.groupBy("shingle").agg(F.ceil(F.count("*") / LEAF_BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "shingle").join(nodes.select("node", "n", "counts"), "node")
+    rows = members.join(sizes, "shingle").join(nodes.select("node", "n", "counts").join(routed, "node"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "counts")
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "counts", "routed")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
@@ -352,6 +356,8 @@ def tree_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
         else:
             left, right = np.flatnonzero(own == first), np.flatnonzero(own != first)
             found = tree_join(vecs, sizes, labels, left, right) if len(left) and len(right) else []
+        here, routed = t["shingle"][0].as_py(), [np.array(x, np.int64) for x in t["routed"].to_pylist()] if found else []
+        found = [(x, y) for x, y in found if np.intersect1d(routed[x], routed[y], assume_unique=True)[0] == here]
         return [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found]
 
     def run(batches):
