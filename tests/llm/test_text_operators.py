@@ -254,6 +254,35 @@ def test_line_chunks_do_not_shift():
     assert len(here & there) > 0.8 * len(here)
 
 
+@pytest.mark.parametrize("sizes", [(18, 18, 18), (30, 24), (30, 20, 30, 20), (20, 20), (45, 3), (3, 0, 45)])
+def test_line_dedup_finds_every_passage(spark, sizes):
+    rows, want = [], []
+    for k in range(12):  # other lines, so other hashes: none may depend on where the cuttings fall
+        passage = [prose(9000 + 50 * k + i, n) for i, n in enumerate(sizes)]
+        for copy in range(2):
+            own = [prose(20_000 + 20 * k + 10 * copy + i, 5) for i in range(4)]
+            rows.append((2 * k + copy, "\n".join(own[:2] + passage + own[2:])))
+            want.append("\n".join(own) if copy else rows[-1][1])
+    got = {r.doc_id: r.text for r in linededup.clean(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(24)] == want
+
+
+def test_line_dedup_keeps_the_first_of_repeats_within_a_text(spark):
+    short, long = prose(1, 10), prose(2, 60)
+    rows = [(1, "\n".join([short] * 30)), (2, "\n".join([long] * 3)), (3, "\n".join([short] * 5))]
+    got = {r.doc_id: r.text for r in linededup.clean(documents(spark, rows)).collect()}
+    assert got == {1: "\n".join([short] * 4), 2: long, 3: ""}
+
+
+def test_line_runs_hold_just_enough_words():
+    r = random.Random(8)
+    for _ in range(200):
+        words = [r.choice([0, 1, 7, 20, 50]) for _ in range(r.randrange(12))]
+        full = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if sum(words[i:j]) >= 40}
+        least = {(i, min(j for a, j in full if a == i)) for i, _ in full} | {(max(i for i, b in full if b == j), j) for _, j in full}
+        assert {(i, i + n) for i, n in linededup.full_runs(words, 40)} == least
+
+
 # -- byte-level BPE -----------------------------------------------------------------------
 def test_bpe_equals_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
