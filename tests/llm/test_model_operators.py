@@ -101,6 +101,29 @@ def test_pseudo_likelihood_counts_all_words(spark):
     assert sorted(r.n for r in pseudolikelihood.word_counts(docs).collect()) == [1, 1, 3]
 
 
+@pytest.mark.parametrize("local", [0, 50, 65_536])
+def test_pseudo_likelihood_tells_words_of_a_bucket_apart(spark, local):
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{min(r.randrange(6000), r.randrange(6000))}" for _ in range(r.randrange(60)))) for i in range(400)] + [(None, None), (1, ""), (2, "Never seen unheardof"), (2, "Never seen unheardof")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = pseudolikelihood.word_counts(docs.filter("text not like 'Never%'"))
+    net = pseudolikelihood.train(docs, counts=counts)
+    n = {np.int64(x.word).astype(np.uint64): x.n for x in counts.collect()}
+    bucket = lambda h: int(h >> np.uint64(33)) % pseudolikelihood.BUCKETS
+    known, tokens = set(net.words), {}
+    for h, k in n.items():
+        if h not in known:
+            tokens[bucket(h)] = tokens.get(bucket(h), 0) + k + 1
+    got = sorted(pseudolikelihood.score(docs, net, counts=counts, local=local).collect(), key=str)
+    plain = sorted(pseudolikelihood.score(docs, net).collect(), key=lambda x: str(x[:2]))
+    assert len(got) == len(rows) and len(n) > 1500
+    for a, b in zip(sorted(got, key=lambda x: str(x[:2])), plain):
+        h = [h for h in Batch(pa.array([a.text], pa.string()), LETTERS).hash if h not in known]
+        extra = sum(math.log((n.get(x, 0) + 1) / (tokens.get(bucket(x), 0) + 1)) for x in h)
+        assert a[:3] == b[:3] and math.isclose(a.log_prob, b.log_prob + extra, rel_tol=1e-9, abs_tol=1e-9)
+        assert a.mean_log_prob is None if not a.n_tokens else math.isclose(a.mean_log_prob, a.log_prob / a.n_tokens)
+
+
 # -- neighbours ---------------------------------------------------------------------------
 def plain_nearest(rows, k):
     good = {i: np.array(v, float) for i, v in rows if v is not None and i is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and np.any(v)}

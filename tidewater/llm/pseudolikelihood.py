@@ -2,8 +2,10 @@
 
 The two words before and the two after a token (never the token itself) are embedded, projected and squashed; a
 two-level softmax (class, word within the class) gives the token's probability. A document's score is the sum of its
-tokens' log probabilities. The vocabulary holds the most frequent words of the whole corpus, all others share hashed
-buckets. Training goes once over every token of every document: in each round all tasks train from the same weights on
+tokens' log probabilities. The network tells apart the most frequent words of the whole corpus and hashed buckets of
+all others; a word of a bucket then gets its share of it by the counts of all words, whose table grows with the corpus
+and stays distributed: log P(bucket) + log((count + 1) / (tokens + words + 1)), where a word never seen counts 0.
+Frequent ones are looked up in a broadcast of bounded size, the others by a shuffled join. Training goes once over every token of every document: in each round all tasks train from the same weights on
 their part, and the weights are averaged by token counts with a shuffled sum, so nothing but the averaged network
 (a fixed 0.2 MB) reaches the driver.
 
@@ -14,6 +16,7 @@ stay as they are.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.common import settled
 from tidewater.llm.words import LETTERS, Batch, slices
 
 KNOWN, BUCKETS = 768, 256
@@ -30,6 +34,8 @@ DIMS, HIDDEN, CLASSES, PER_CLASS = 16, 32, 32, 32
 REACH = 2
 OFFSETS = (-2, -1, 1, 2)
 STEP, ROUNDS = 8192, 2
+#: Words of the buckets whose counts every task gets (1 MB); all others are joined.
+LOCAL = 65_536
 
 
 @dataclass
@@ -144,8 +150,48 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int = 3) -> Window:
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+@dataclass
+class Shares:
+    """What splits a bucket's probability among its words: log(count + 1) of the word less ``base`` of the bucket."""
+
+    base: np.ndarray  # per bucket the log of all its tokens, distinct words and one word never seen
+    words: np.ndarray  # sorted hashes of the frequent words of the buckets
+    weights: np.ndarray  # their log(count + 1)
+
+    def __call__(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log share of every token as far as known here, whether the word's weight is still to be added)."""
+        rare = ids >= KNOWN
+        found, weight = np.zeros(len(h), bool), np.zeros(len(h))
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            found = self.words[at] == h
+            weight = np.where(found, self.weights[at], 0.0)
+        return np.where(rare, weight - self.base[np.where(rare, ids - KNOWN, 0)], 0.0), rare & ~found
+
+
+def shares(counts: DataFrame, net: Window, local: int = LOCAL) -> tuple[Shares, DataFrame]:
+    """The part of the word counts that every task gets, at most ``local`` words, and the table (word, weight) of all others."""
+    known = counts.sparkSession.createDataFrame([(int(w),) for w in net.words.view(np.int64)], "word long")
+    level = F.floor(F.log2("n") * 4)
+    rare = settled(counts.join(F.broadcast(known), "word", "left_anti").select("word", F.log(F.col("n") + 1).alias("weight"), "n", level.alias("level")), "rare-words")
+    sums = rare.groupBy(F.shiftrightunsigned("word", 33) % BUCKETS).agg(F.sum("n"), F.count(F.lit(1))).collect()
+    base = np.zeros(BUCKETS)
+    for bucket, tokens, words in sums:
+        base[bucket] = np.log(tokens + words + 1)
+    least, total = math.inf, 0
+    for at, n in sorted(rare.groupBy("level").count().collect(), reverse=True):
+        total += n
+        if total > local:
+            break
+        least = at
+    frequent = rare.filter(F.col("level") >= float(least)).select("word", "weight").toArrow()
+    words = frequent["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return Shares(base, words[order], frequent["weight"].to_numpy()[order]), rare.filter(F.col("level") < float(least)).select("word", "weight")
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int = 3, counts: DataFrame | None = None) -> Window:
+    top = (word_counts(docs, text_col) if counts is None else counts).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     net = Window.fresh(np.array([r["word"] for r in top], np.int64).view(np.uint64), seed)
     text = F.col(text_col).cast("string")
     for round_ in range(rounds):
@@ -177,21 +223,47 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: i
     return net
 
 
-def score(docs: DataFrame, net: Window, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_prob (sum over all tokens) and mean_log_prob."""
+def score(docs: DataFrame, net: Window, text_col: str = "text", counts: DataFrame | None = None, keep_text: bool = True, local: int = LOCAL) -> DataFrame:
+    """``docs`` with n_tokens, log_prob (sum over all tokens) and mean_log_prob.
+
+    ``counts`` are the ``word_counts`` of the corpus; without them words outside the vocabulary get their bucket's probability.
+    """
     added = ["n_tokens", "log_prob", "mean_log_prob"]
-    keep = [c for c in docs.columns if c not in added]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    keep = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("__text_key", T.LongType()), T.StructField("__open", T.LongType())])
+    split, table = (None, None) if counts is None else shares(counts, net, local)
+    shared = docs.sparkSession.sparkContext.broadcast((net, split))
+    docs = docs.withColumn("__text_key", F.xxhash64(F.col(text_col).cast("string")))
 
     def run(batches):
+        net, split = shared.value
         for whole in batches:
             for i, j in slices(whole.column(text_col)):
                 part = whole.slice(i, j - i)
                 batch = Batch(part.column(text_col), LETTERS)
-                sums = np.concatenate([[0.0], np.cumsum(shared.value.log_probs(*shared.value.tokens(batch)))])
-                n, total = np.diff(batch.bounds), sums[batch.bounds[1:]] - sums[batch.bounds[:-1]]
-                mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array(total), mean], names=[*keep, *added])
+                padded, place = net.tokens(batch)
+                logs, still = net.log_probs(padded, place), np.zeros(len(place), bool)
+                if split is not None:
+                    share, still = split(batch.hash, padded[place])
+                    logs = logs + share
+                per_row = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[batch.bounds])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), pa.array(np.diff(batch.bounds).astype(np.int64)), pa.array(per_row(logs).astype(np.float64)), part.column("__text_key"), pa.array(per_row(still).astype(np.int64))],
+                    names=[*keep, *added[:2], "__text_key", "__open"])
+
+    def open_words(batches):
+        net, split = shared.value
+        for whole in batches:
+            for i, j in slices(whole.column(0)):
+                batch = Batch(whole.column(0).slice(i, j - i), LETTERS)
+                padded, place = net.tokens(batch)
+                still = split(batch.hash, padded[place])[1]
+                row = np.repeat(np.arange(len(batch)), np.diff(batch.bounds))[still]
+                yield pa.RecordBatch.from_arrays([whole.column(1).slice(i, j - i).take(pa.array(row)), pa.array(batch.hash[still].view(np.int64))], names=["key", "word"])
 
-    return docs.mapInArrow(run, schema)
+    scored = docs.mapInArrow(run, schema)
+    if counts is not None:  # the mean over a text's words is the same however often the text is repeated
+        open_ = docs.select(F.col(text_col).cast("string"), "__text_key").mapInArrow(open_words, "key long, word long").join(table, "word", "left")
+        means = settled(open_.groupBy("key").agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("mean")), "rare-means")
+        scored = scored.join(means, scored["__text_key"] == means["key"], "left").withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("__open") * F.col("mean"), F.lit(0.0)))
+    return scored.select(*keep, *added[:2], F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import neighbours, pseudolikelihood, toxicity
-from tidewater.llm.common import table
+from tidewater.llm.common import settled, table
 from tidewater.llm.registry import query
 
 
@@ -34,4 +34,5 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op6_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     """Summed log probabilities of every document's tokens under a network trained on all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pseudolikelihood.score(docs, pseudolikelihood.train(docs)).drop("text")
+    counts = settled(pseudolikelihood.word_counts(docs), "word-counts")
+    return pseudolikelihood.score(docs, pseudolikelihood.train(docs, counts=counts), counts=counts, keep_text=False)
