@@ -153,3 +153,24 @@ def test_latest_table_survives_retry_and_restart(spark, tmp_path):
     for epoch in (1, 2):
         table(batches[epoch], epoch)
     assert sorted(tuple(r) for r in table.table().collect()) == [("a", 1, 1), ("b", 2, 3), ("c", 1, 4)]
+
+
+def test_day_state_covers_a_day_of_minute_bars(spark, small_chunks):
+    from datetime import datetime, timedelta
+
+    from tidewater.operators.metrics import day_state
+
+    start, rows = datetime(2024, 1, 1, 5), []
+    for i in range(2 * 1440):
+        if i % 3:  # with gaps
+            rows.append(("A", start + timedelta(minutes=i), 100.0 + i % 977, 90.0 - i % 853, 95.0 + i % 31, 1.0 + i % 7))
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, high double, low double, close double, volume double")
+    got = sorted(day_state(bars).collect(), key=lambda r: r.ts)
+    assert len(got) == len(rows)
+    lo = 0
+    for k, r in enumerate(got):
+        while rows[lo][1] < rows[k][1] - timedelta(days=1):
+            lo += 1
+        day = rows[lo:k + 1]
+        assert (r.last, r.high_24h, r.low_24h, r.volume_24h) == (rows[k][4], max(x[2] for x in day), min(x[3] for x in day), sum(x[5] for x in day))
+        assert abs(r.change_24h - (rows[k][4] - day[0][4]) / day[0][4]) < 1e-12

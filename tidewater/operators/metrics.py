@@ -410,21 +410,24 @@ def clock_counts(df: DataFrame, key: str, ts: str, unit: str) -> DataFrame:
 
 
 # -- market state -------------------------------------------------------------------------
-def day_state(bars: DataFrame, bars_per_day: int = 24) -> DataFrame:
-    """Trailing 24 h: last, volume, change, high, low at every bar.
+def day_state(bars: DataFrame, slice_seconds: int = 86400) -> DataFrame:
+    """Trailing 24 h: last, volume, change, high, low at every bar, whatever the number of bars a day.
 
-    ``bars_per_day`` bounds the rows a day can hold, so the chunk halo covers the time range.
+    A slice of time gets copies of the rows of the slices that reach into the 24 h before it, so the halo follows the
+    clock and not a row count. NULL times are a slice of their own, each of whose rows sees all of them.
     """
     from pyspark.sql import Window
 
-    from tidewater.operators.features import bars_timeline
-
-    tl = bars_timeline(bars.withColumn("__sec", F.unix_seconds("ts")), back=bars_per_day + 1)
-    w = Window.partitionBy(*tl.part).orderBy("__sec").rangeBetween(-86400, 0)
+    sec, day = F.unix_seconds("ts"), 86400
+    own = F.floor(sec / slice_seconds)
+    ahead = F.floor((sec + day) / slice_seconds)
+    x = bars.withColumns({"__sec": sec, "__own": own}).withColumn("__slice", F.explode(F.when(own.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(own, ahead))))
+    w = Window.partitionBy("symbol", "__slice").orderBy("__sec").rangeBetween(-day, 0)
     first = F.first("close").over(w)
-    return tl.add(
-        last=F.col("close"), volume_24h=F.sum("volume").over(w), change_24h=ratio(F.col("close") - first, first),
-        high_24h=F.max("high").over(w), low_24h=F.min("low").over(w)).rows().drop("__sec")
+    x = x.withColumns({
+        "last": F.col("close"), "volume_24h": F.sum("volume").over(w), "change_24h": ratio(F.col("close") - first, first),
+        "high_24h": F.max("high").over(w), "low_24h": F.min("low").over(w)})
+    return x.where(F.col("__slice").eqNullSafe(F.col("__own"))).drop("__sec", "__own", "__slice")
 
 
 def liquidity(bars: DataFrame, n: int = 20) -> DataFrame:
