@@ -21,6 +21,3 @@ def small_chunks(spark):
     spark.conf.set("tidewater.chunk.rows", "7")
     yield
     spark.conf.unset("tidewater.chunk.rows")
-
-
-SF = "/root/testdata/sf0.001"

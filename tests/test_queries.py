@@ -2,8 +2,7 @@
 
 import pytest
 
-from conftest import SF
-from check_oracles import compare, connect
+from check_oracles import SF, compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 
