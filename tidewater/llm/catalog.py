@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, chat, chat_sql, decontaminate, sharding, urls
-from tidewater.llm import queries_models, queries_text  # noqa: F401
+from tidewater.llm import queries_corpus, queries_models, queries_text  # noqa: F401
 from tidewater.llm.common import table
 from tidewater.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
