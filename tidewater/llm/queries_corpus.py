@@ -1,14 +1,20 @@
-"""Queries of the operators that look at a corpus as a whole: resampling."""
+"""Queries of the operators that look at a corpus as a whole: divergence of sources, resampling."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import resampling
+from tidewater.llm import divergence, resampling
 from tidewater.llm.common import table
 from tidewater.llm.registry import ORACLES, query
 
 
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its most overused terms."""
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
 @query
 def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Tenth of all documents drawn towards the distribution of the benchmark texts."""
@@ -41,3 +47,23 @@ sorted AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITIO
 SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score,
        CAST(CASE WHEN place <= k THEN place END AS BIGINT) AS rank FROM sorted, n
 """
+
+ORACLES["op11_divergence"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+each AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM each GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*)::BIGINT AS v, sum(in_lang)::BIGINT AS n FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+used AS (SELECT lang, source, term, count(*) AS c FROM each SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM groups LEFT JOIN used USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 2)) // (sizes.n + 2 * v) AS p, 1 + (1000000000 * (in_lang + 2)) // (langs.n + 2 * v) AS q
+      FROM kept JOIN langs USING (lang) JOIN sizes USING (lang) LEFT JOIN used USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 10
+"""
