@@ -1,10 +1,11 @@
-"""Queries of the operators that look at a corpus as a whole: divergence of sources, resampling."""
+"""Queries of the operators that look at a corpus as a whole: divergence of sources, languages, resampling."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import divergence, resampling
+from tidewater.llm import divergence, language, resampling
 from tidewater.llm.common import table
 from tidewater.llm.registry import ORACLES, query
 
@@ -15,6 +16,20 @@ def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
 
 
+def unseen(doc_id: Column) -> Column:
+    """Rows whose languages are never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, held_out=unseen)
+    found = language.predict(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", unseen(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query
 def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Tenth of all documents drawn towards the distribution of the benchmark texts."""
