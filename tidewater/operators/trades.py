@@ -8,15 +8,47 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidewater.functions.scalars import ratio
 from tidewater.plans.attach import attach
-from tidewater.plans.joins import interval_join
+from tidewater.plans.firsttouch import first_met
 from tidewater.plans.timeline import lay_out, time_slice
 from tidewater.session import settle
 
 
 # -- exits --------------------------------------------------------------------------------
+_DAY = 86_400_000_000
+
+
+def _asked(entries: DataFrame, horizon_seconds: int, keep: list[str], fa: Column, fb: Column, trail: Column | int = 0) -> DataFrame:
+    """Entries as searches: behind their own bar, up to the end of the horizon; ``keep`` rides along."""
+    at = F.unix_micros("entry_ts")
+    return entries.where(F.col("symbol").isNotNull() & F.col("entry_ts").isNotNull()).select(
+        "symbol", at.alias("at"), (at + horizon_seconds * 1_000_000).alias("until"), fa.alias("fa"), fb.alias("fb"),
+        (trail if isinstance(trail, Column) else F.lit(trail)).alias("trail"), F.struct(*dict.fromkeys(keep)).alias("e"))
+
+
+def _steps(bars: DataFrame, a: Column, b: Column, **tops: Column) -> DataFrame:
+    return bars.where("symbol IS NOT NULL AND ts IS NOT NULL").select(
+        "symbol", F.unix_micros("ts").alias("at"), a.alias("a"), b.alias("b"), F.struct("ts", "high", "low", "close").alias("bar"), *[c.alias(n) for n, c in tops.items()])
+
+
+def _closed(met: DataFrame, ids: list[str], stopped: Column, reached: Column, price: Column | None = None) -> DataFrame:
+    """Exit of every search: the bar it met within its horizon, else the last bar before the end of the horizon.
+
+    ``stopped``, ``reached`` and ``price`` see the columns of e and bar. Entries without a later bar in the horizon are left out.
+    """
+    within = F.col("met_at") <= F.col("until")
+    x = met.select(within.alias("within"), "e.*", "bar.*", "seen")
+    why = F.when(F.col("within"), F.when(F.coalesce(stopped, F.lit(False)), "stop").when(F.coalesce(reached, F.lit(False)), "target"))
+    x = x.where("within OR seen IS NOT NULL").withColumn("__why", why)
+    px = F.col("close") if price is None else price
+    return x.select(
+        *ids, F.when(F.col("within"), F.col("ts")).otherwise(F.col("seen.ts")).alias("exit_ts"),
+        F.when(F.col("within"), px).otherwise(F.col("seen.close")).alias("exit_price"), F.coalesce("__why", F.lit("horizon")).alias("reason"))
+
+
 def exits(
     entries: DataFrame,
     bars: DataFrame,
@@ -28,30 +60,18 @@ def exits(
     """First later bar that touches stop or target, per entry.
 
     ``entries`` carry symbol, entry_ts, side (long/short), stop and target. The exit price is the
-    close of the touching bar or, with ``at_level``, the level itself. Entries and bars meet on
-    (symbol, time bucket), so a busy symbol is spread over its buckets; entries that touch
-    nothing within the horizon close at the last bar seen.
+    close of the touching bar or, with ``at_level``, the level itself. The bar comes from trees of
+    block minima and maxima (:mod:`tidewater.plans.firsttouch`), so no entry is joined to the bars of
+    its horizon; entries that touch nothing close at the last bar within it.
     """
-    path = interval_join(entries, bars.select("symbol", "ts", "high", "low", "close"), "symbol", "entry_ts", "ts", horizon_seconds)
     long = F.col("side") == "long"
-    worst = F.when(long, F.col("low")).otherwise(F.col("high")) if intrabar else F.col("close")
-    best = F.when(long, F.col("high")).otherwise(F.col("low")) if intrabar else F.col("close")
-    stopped = F.when(long, worst <= F.col("stop")).otherwise(worst >= F.col("stop"))
-    reached = F.when(long, best >= F.col("target")).otherwise(best <= F.col("target"))
-    return _first_touch(path, ids, stopped, reached, at_level)
-
-
-def _first_touch(path: DataFrame, ids: list[str], stopped: Column, reached: Column, at_level: bool) -> DataFrame:
-    reason = F.when(F.coalesce(stopped, F.lit(False)), "stop").when(F.coalesce(reached, F.lit(False)), "target")
-    price = F.col("close")
-    if at_level:
-        price = F.when(F.col("__why") == "stop", F.col("stop")).when(F.col("__why") == "target", F.col("target")).otherwise(F.col("close"))
-    path = path.withColumn("__why", reason).withColumn("__px", price)
-    hit = F.struct(F.col("ts").alias("exit_ts"), F.col("__px").alias("exit_price"), F.col("__why").alias("reason"))
-    out = path.groupBy(*ids).agg(
-        F.min_by(hit, F.when(F.col("__why").isNotNull(), F.col("ts"))).alias("__hit"), F.max_by(hit, "ts").alias("__end"))
-    x = F.coalesce("__hit", "__end")
-    return out.select(*ids, x["exit_ts"].alias("exit_ts"), x["exit_price"].alias("exit_price"), F.coalesce(x["reason"], F.lit("horizon")).alias("reason"))
+    below, above = F.when(long, F.col("stop")).otherwise(F.col("target")), F.when(long, F.col("target")).otherwise(F.col("stop"))
+    low, high = ("low", "high") if intrabar else ("close", "close")
+    met = first_met(_asked(entries, horizon_seconds, [*ids, "side", "stop", "target"], below, -above), _steps(bars, F.col(low), -F.col(high)), "symbol", 30 * _DAY)
+    stopped = F.when(long, F.col(low) <= F.col("stop")).otherwise(F.col(high) >= F.col("stop"))
+    reached = F.when(long, F.col(high) >= F.col("target")).otherwise(F.col(low) <= F.col("target"))
+    level = F.when(F.col("__why") == "stop", F.col("stop")).when(F.col("__why") == "target", F.col("target")).otherwise(F.col("close"))
+    return _closed(met, ids, stopped, reached, level if at_level else None)
 
 
 def trailing_exits(
@@ -59,33 +79,58 @@ def trailing_exits(
 ) -> DataFrame:
     """Ratcheting stop: best of the initial stop and ``close·(1 ∓ distance)`` (or ``close ∓ k·ATR``) so far.
 
-    The stop in force at a bar comes from the bars before it. The running maximum runs over the
-    bounded path of one entry, so tasks stay small whatever the symbol's size. ATR rides on the
-    bars as ``atr``.
+    The stop in force at a bar comes from the bars before it: a search whose bound rises with the
+    bars it passes. ATR rides on the bars as ``atr``.
     """
-    cols = ["symbol", "ts", "high", "low", "close"] + (["atr"] if atr_multiple else [])
-    path = interval_join(entries, bars.select(*cols), "symbol", "entry_ts", "ts", horizon_seconds)
     long = F.col("side") == "long"
     gap = F.col("close") * distance if distance is not None else F.col("atr") * atr_multiple
-    level = F.when(long, F.col("close") - gap).otherwise(-(F.col("close") + gap))
-    before = Window.partitionBy(*ids).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    path = path.withColumn("__lvl", F.greatest(F.max(level).over(before), F.when(long, F.col("stop")).otherwise(-F.col("stop"))))
-    stopped = F.when(long, F.col("close") <= F.col("__lvl")).otherwise(-F.col("close") <= F.col("__lvl"))
-    return _first_touch(path, ids, stopped, F.lit(False), False)
+    steps = _steps(bars, F.col("close"), -F.col("close"), top_a=F.col("close") - gap, top_b=-(F.col("close") + gap))
+    asked = _asked(entries, horizon_seconds, ids, F.when(long, F.col("stop")), F.when(~long, -F.col("stop")), F.when(long, 1).otherwise(2))
+    return _closed(first_met(asked, steps, "symbol", 30 * _DAY), ids, F.lit(True), F.lit(False))
+
+
+@F.pandas_udf(DoubleType())
+def _nearest_level(target: pd.Series, reach: pd.Series) -> pd.Series:
+    """Smallest double whose distance below ``target`` is less than ``reach``, rounding included; the target itself where there is none."""
+    t, r = target.to_numpy(float), reach.to_numpy(float)
+    x = t - r
+    for _ in range(4):
+        x = np.where(t - np.nextafter(x, -np.inf) < r, np.nextafter(x, -np.inf), x)
+    for _ in range(8):
+        x = np.where((t - x < r) | (x >= t), x, np.nextafter(x, np.inf))
+    return pd.Series(np.where(r > 0, x, t))
 
 
 def break_even_exits(entries: DataFrame, bars: DataFrame, horizon_seconds: int, ids: list[str]) -> DataFrame:
-    """Stop moves to the entry price once price came within half the initial risk of the target."""
-    path = interval_join(entries, bars.select("symbol", "ts", "high", "low", "close"), "symbol", "entry_ts", "ts", horizon_seconds)
+    """Stop moves to the entry price once price came within half the initial risk of the target.
+
+    Two searches: to the stop or the neighbourhood of the target, and from there to the moved stop or the target.
+    """
     long = F.col("side") == "long"
-    near = F.abs(F.col("close") - F.col("target")) < 0.5 * F.abs(F.col("entry_price") - F.col("stop"))
-    before = Window.partitionBy(*ids).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    moved = F.coalesce(F.max(near.cast("int")).over(before), F.lit(0)) == 1
-    safe = F.when(long, F.greatest("entry_price", "stop")).otherwise(F.least("entry_price", "stop"))
-    path = path.withColumn("__lvl", F.when(moved, safe).otherwise(F.col("stop")))
-    stopped = F.when(long, F.col("close") <= F.col("__lvl")).otherwise(F.col("close") >= F.col("__lvl"))
-    reached = F.when(long, F.col("close") >= F.col("target")).otherwise(F.col("close") <= F.col("target"))
-    return _first_touch(path, ids, stopped, reached, False)
+    sign = F.when(long, 1.0).otherwise(-1.0)
+    carried = [*ids, "side", "entry_price", "stop", "target"]
+    near = sign * _nearest_level(sign * F.col("target"), 0.5 * F.abs(F.col("entry_price") - F.col("stop")))
+    e = entries.withColumn("__near", near)
+    steps = _steps(bars, F.col("close"), -F.col("close"))
+    below, above = F.when(long, F.col("stop")).otherwise(F.col("__near")), F.when(long, F.col("__near")).otherwise(F.col("stop"))
+    first = settle(first_met(_asked(e, horizon_seconds, carried, below, -above), steps, "symbol", 30 * _DAY), "near")
+    close, stop, target = F.col("bar.close"), F.col("e.stop"), F.col("e.target")
+    long = F.col("e.side") == "long"
+    out = F.when(long, (close <= stop) | (close >= target)).otherwise((close >= stop) | (close <= target))
+    on = (F.col("met_at") <= F.col("until")) & ~F.coalesce(out, F.lit(False))
+    moved = F.when(long, F.greatest("e.entry_price", "e.stop")).otherwise(F.least("e.entry_price", "e.stop"))
+    later = first.where(on).withColumn("__moved", moved)
+    asked = later.select(
+        "symbol", F.col("met_at").alias("at"), "until", F.when(long, F.col("__moved")).otherwise(target).alias("fa"), (-F.when(long, target).otherwise(F.col("__moved"))).alias("fb"),
+        "trail", F.struct(*[F.col(f"e.{c}").alias(c) for c in dict.fromkeys(carried)], F.col("__moved").alias("moved"), F.col("bar").alias("near")).alias("e"))
+    second = first_met(asked, steps, "symbol", 30 * _DAY).withColumn("seen", F.coalesce("seen", "e.near"))
+    long, close = F.col("side") == "long", F.col("close")
+    reached = F.when(long, close >= F.col("target")).otherwise(close <= F.col("target"))
+
+    def closed(met, level):
+        return _closed(met, ids, F.when(long, close <= F.col(level)).otherwise(close >= F.col(level)), reached)
+
+    return closed(first.where(~on), "stop").unionByName(closed(second, "moved"))
 
 
 def partial_targets(entries: DataFrame, bars: DataFrame, horizon_seconds: int, ids: list[str], levels: list[tuple[float, float]]) -> DataFrame:
