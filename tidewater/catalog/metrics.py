@@ -195,7 +195,7 @@ def _(t):
        f"""WITH f AS (SELECT symbol, pnl > 0 AS w, row_number() OVER ({TO}) - row_number() OVER (PARTITION BY symbol, pnl > 0 ORDER BY {TRADE_ORDER_SQL}) AS g FROM closed_trades),
        n AS (SELECT symbol, w, g, count(*) AS n FROM f GROUP BY 1, 2, 3) SELECT symbol, max(n) FILTER (WHERE w) AS max_consecutive_wins, max(n) FILTER (WHERE NOT w) AS max_consecutive_losses FROM n GROUP BY symbol""")
 def _(t):
-    return m.streaks(t.trades_with("pnl"))
+    return m.streaks(t.closed_trades)
 
 
 @query("a18_back_to_back", "symbol max_chain:i",
@@ -203,7 +203,7 @@ def _(t):
        c AS (SELECT symbol, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS chain FROM w)
        SELECT symbol, max(n) AS max_chain FROM (SELECT symbol, chain, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY symbol""")
 def _(t):
-    return m.back_to_back(t.trades_with("pnl"))
+    return m.back_to_back(t.closed_trades)
 
 
 @query("a19_day_state", "symbol ts:t last:d volume_24h:d change_24h:d high_24h:d low_24h:d",

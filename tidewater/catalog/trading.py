@@ -165,6 +165,16 @@ def _(t):
     return trades.non_overlapping(slim, order=["entry_time", "exit_time", "trade_id", "l_partkey"])
 
 
+@query("t15_max_concurrent", "symbol trade_id:i l_partkey:i", f"""WITH RECURSIVE n AS (SELECT trade_id, l_partkey, symbol, epoch_us(entry_time) AS a, epoch_us(exit_time) AS z, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, exit_time, trade_id, l_partkey) AS rn FROM closed_trades),
+       w(symbol, rn, busy, kept, trade_id, l_partkey) AS (SELECT symbol, 0::BIGINT, [-1::BIGINT, -1, -1], false, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT symbol FROM n) UNION ALL
+       SELECT n.symbol, n.rn, CASE WHEN w.busy[1] <= n.a THEN list_sort(list_append(w.busy[2:], n.z)) ELSE w.busy END, w.busy[1] <= n.a, n.trade_id, n.l_partkey FROM w JOIN n ON n.symbol = w.symbol AND n.rn = w.rn + 1)
+       SELECT symbol, trade_id, l_partkey FROM w WHERE kept""")
+def _(t):
+    """At most three open trades per symbol."""
+    slim = settle(t.closed_trades.select("symbol", "entry_time", "exit_time", "trade_id", "l_partkey"), "trades")
+    return trades.at_most(slim, 3, order=["entry_time", "exit_time", "trade_id", "l_partkey"])
+
+
 def candidates(t):
     e = entries(t)
     out = trades.exits(e, t.bars_kept, DAY, [*ID, "side", "entry_price"])

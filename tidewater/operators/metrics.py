@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio
 from tidewater.plans.attach import attach, quantiles
+from tidewater.plans.runs import runs
 from tidewater.plans.timeline import Timeline, lay_out, time_slice
 from tidewater.session import settle
 from tidewater.sources.views import TRADE_ORDER
@@ -216,27 +217,23 @@ def trade_stats(trades: DataFrame, key: str = "symbol") -> DataFrame:
     )
 
 
-def streaks(trades: DataFrame) -> DataFrame:
-    """Longest runs of wins and of non-wins.
+def _trade_runs(trades: DataFrame, item: Column, breaks) -> DataFrame:
+    return runs(trades, "symbol", list(TRADE_ORDER), time_slice("exit_time", 86400), item, breaks)
 
-    A run ends where the outcome flips, so the run number is a running count of flips.
-    """
-    slim = trades.select("symbol", *TRADE_ORDER, (F.col("pnl") > 0).alias("__win"))
-    tl = trades_timeline(slim, back=1)
-    flips = settle(tl.add(__flip=F.coalesce(F.col("__win") != tl.lag("__win"), F.lit(False)).cast("long")).rows(), "flips")
-    runs = trades_timeline(flips).running(__run=("sum", "__flip")).rows()
-    n = runs.groupBy("symbol", "__run", "__win").agg(F.count(F.lit(1)).alias("n"))
-    best = lambda w: F.coalesce(F.max(F.when(F.col("__win") == w, F.col("n"))), F.lit(0))
-    return n.groupBy("symbol").agg(best(True).alias("max_consecutive_wins"), best(False).alias("max_consecutive_losses"))
+
+def streaks(trades: DataFrame) -> DataFrame:
+    """Longest runs of wins and of non-wins; a NULL result is a run of its own."""
+    win = F.struct((F.col("pnl") > 0).alias("win"))
+    found = _trade_runs(trades, win, lambda a, b: F.coalesce(a["win"] != b["win"], F.lit(True)))
+    best = lambda w: F.coalesce(F.max(F.when(F.col("first.win") == w, F.col("n"))), F.lit(0))
+    return found.groupBy("symbol").agg(best(True).alias("max_consecutive_wins"), best(False).alias("max_consecutive_losses"))
 
 
 def back_to_back(trades: DataFrame, seconds: int = 3600) -> DataFrame:
     """Longest chain of trades that each start within ``seconds`` of the previous exit."""
-    tl = trades_timeline(trades.select("symbol", *TRADE_ORDER), back=1)
-    gap = F.unix_seconds("entry_time") - F.unix_seconds(tl.lag("exit_time"))
-    links = settle(tl.add(__new=F.coalesce(gap >= seconds, F.lit(True)).cast("long")).rows(), "links")
-    chains = trades_timeline(links).running(__chain=("sum", "__new")).rows()
-    return chains.groupBy("symbol", "__chain").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(F.max("n").alias("max_chain"))
+    times = F.struct(F.unix_seconds("entry_time").alias("entry"), F.unix_seconds("exit_time").alias("exit"))
+    chains = _trade_runs(trades, times, lambda a, b: F.coalesce(b["entry"] - a["exit"] >= seconds, F.lit(True)))
+    return chains.groupBy("symbol").agg(F.max("n").alias("max_chain"))
 
 
 def monthly_pnl(trades: DataFrame) -> DataFrame:

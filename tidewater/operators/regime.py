@@ -12,6 +12,8 @@ from tidewater.operators import metrics as m
 from tidewater.operators.features import bars_timeline
 from tidewater.operators.indicators import add_indicators
 from tidewater.plans.attach import attach, quantiles
+from tidewater.plans.runs import runs
+from tidewater.plans.timeline import time_slice
 from tidewater.session import settle
 
 
@@ -53,10 +55,9 @@ def sentiment_regime(bars: DataFrame, scores: DataFrame, volatility_threshold: f
 
 def regime_segments(labelled: DataFrame) -> DataFrame:
     """Unbroken stretches of one regime: start, end, bars."""
-    x = settle(_changes(labelled), "changes")
-    runs = bars_timeline(x).running(__seg=("sum", F.col("__new").cast("long"))).rows()
-    return runs.groupBy("symbol", "__seg").agg(
-        F.first("regime").alias("regime"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("bars"))
+    item = F.struct("regime", "ts")
+    found = runs(labelled, "symbol", ["ts"], time_slice("ts", 30 * 86400), item, lambda a, b: F.coalesce(a["regime"] != b["regime"], F.lit(True)))
+    return found.select("symbol", F.col("first.regime").alias("regime"), F.col("first.ts").alias("start_ts"), F.col("last.ts").alias("end_ts"), F.col("n").alias("bars"))
 
 
 def _changes(labelled: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from tidewater.functions.scalars import ratio
 from tidewater.plans.attach import attach
 from tidewater.plans.firsttouch import first_met
-from tidewater.plans.timeline import lay_out, time_slice
+from tidewater.plans.timeline import join_keys, lay_out, time_slice
 from tidewater.session import settle
 
 
@@ -272,6 +273,74 @@ def _resolve_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[keep][["__key", "__c", "__at"]]
 
 
+# -- at most so many positions at a time --------------------------------------------------
+_FREE = -(1 << 62)
+
+
+def at_most(
+    trades: DataFrame,
+    most: int,
+    key: str = "symbol",
+    order: list[str] | None = None,
+    slice_seconds: int = 86400,
+    entry: str = "entry_time",
+    exit: str = "exit_time",
+) -> DataFrame:
+    """Keep a trade only if fewer than ``most`` kept trades of its key are open at its entry.
+
+    A chunk needs only the ``most`` times at which the places it finds are free again. All chunks first run side by side
+    from places that are all free; then those whose predecessor left something else run again from what it left, until
+    no chunk changes. Kept trades soon forget the places they started from, so this takes a few rounds, and every round
+    runs only the chunks concerned. A NULL entry or exit is never kept.
+    """
+    order = order or [entry, exit, "trade_id"]
+    tl = lay_out(trades.where(F.col(entry).isNotNull() & F.col(exit).isNotNull()), key, order, time_slice(entry, slice_seconds), even=True)
+    t = settle(tl.add(__in=F.unix_micros(entry), __out=F.unix_micros(exit), __at=tl.pos, __c=F.col(tl.part[-1])).rows(), "candidates")
+    slim = t.select(F.col(key).alias("__key"), "__c", "__at", "__in", "__out")
+    kind = slim.schema["__key"].dataType.simpleString()
+    free = F.array(*[F.lit(_FREE)] * most).cast("array<long>")
+
+    def places(into: DataFrame) -> DataFrame:
+        """What every chunk of ``into`` (__key, __c, into) leaves."""
+        rows = join_keys(slim, into, ["__key", "__c"])
+        return rows.groupBy("__key", "__c").applyInPandas(lambda pdf: _run_chunk(pdf)[0], f"__key {kind}, __c long, into array<long>, left array<long>")
+
+    before = F.lag("left").over(Window.partitionBy("__key").orderBy("__c"))
+    chunks = slim.select("__key", "__c").distinct()
+    states = settle(places(chunks.withColumn("into", free)), "places")
+    while True:
+        wanted = states.withColumn("want", F.coalesce(before, free))
+        todo = settle(wanted.where("want <> into").select("__key", "__c", F.col("want").alias("into")), "places")
+        if todo.isEmpty():
+            break
+        redone = places(todo).select(F.col("__key").alias("k"), F.col("__c").alias("c"), F.col("into").alias("i"), F.col("left").alias("l"))
+        new = states.join(redone, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__c") == F.col("c")), "left")
+        states = settle(new.select("__key", "__c", F.coalesce("i", "into").alias("into"), F.coalesce("l", "left").alias("left")), "places")
+    rows = join_keys(slim, states.select("__key", "__c", "into"), ["__key", "__c"])
+    kept = rows.groupBy("__key", "__c").applyInPandas(lambda pdf: _run_chunk(pdf)[1], f"__key {kind}, __c long, __at long")
+    same = F.col(key).eqNullSafe(F.col("k")) & (F.col("__c") == F.col("c")) & (F.col("__at") == F.col("at"))
+    return t.join(kept.select(F.col("__key").alias("k"), F.col("__c").alias("c"), F.col("__at").alias("at")), same, "left_semi").drop("__in", "__out", "__at", "__c")
+
+
+def _run_chunk(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(places left, rows kept) of one chunk; places that are free again before the chunk ends are left as free."""
+    pdf = pdf.sort_values("__at")
+    start, stop = pdf["__in"].to_numpy(), pdf["__out"].to_numpy()
+    busy = [int(x) for x in pdf["into"].iloc[0]]
+    heapq.heapify(busy)
+    keep, i = [], 0
+    while i < len(start):
+        if busy[0] > start[i]:
+            i = max(i + 1, int(np.searchsorted(start, busy[0], side="left")))  # nothing fits before a place is free
+            continue
+        heapq.heapreplace(busy, int(stop[i]))
+        keep.append(i)
+        i += 1
+    left = sorted(x if x > start[-1] else _FREE for x in busy)
+    head = pdf[["__key", "__c", "into"]].iloc[:1].assign(left=[left])
+    return head, pdf.iloc[keep][["__key", "__c", "__at"]]
+
+
 # -- portfolio replay ---------------------------------------------------------------------
 def replay_single(
     candidates: DataFrame, capital: float = 10_000.0, position_share: float = 0.1, commission: float = 0.001, slippage: float = 0.0005
