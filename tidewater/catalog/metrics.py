@@ -300,12 +300,15 @@ def _(t):
     return m.rolling_robustness(t.returns_kept)
 
 
-@query("a29_rolling_drawdown", "series_id window_bars:i max_drawdown:d",
-       f"""SELECT series_id, 30 AS window_bars, avg(low) AS max_drawdown FROM (SELECT series_id, rn, min((cum - peak) / peak) AS low FROM (SELECT *, max(cum) OVER (PARTITION BY series_id, rn ORDER BY k) AS peak FROM
+def fallen(n):
+    return f"""SELECT series_id, {n} AS window_bars, avg(low) AS max_drawdown FROM (SELECT series_id, rn, min((cum - peak) / peak) AS low FROM (SELECT *, max(cum) OVER (PARTITION BY series_id, rn ORDER BY k) AS peak FROM
        (SELECT a.series_id, a.rn, b.rn AS k, exp(sum(ln(1 + b.ret)) OVER (PARTITION BY a.series_id, a.rn ORDER BY b.rn)) AS cum FROM (SELECT series_id, row_number() OVER ({S}) AS rn FROM {R}) a
-       JOIN (SELECT series_id, ret, row_number() OVER ({S}) AS rn FROM {R}) b ON b.series_id = a.series_id AND b.rn BETWEEN a.rn - 29 AND a.rn WHERE a.rn >= 30)) GROUP BY 1, 2) GROUP BY 1""")
+       JOIN (SELECT series_id, ret, row_number() OVER ({S}) AS rn FROM {R}) b ON b.series_id = a.series_id AND b.rn BETWEEN a.rn - {n - 1} AND a.rn WHERE a.rn >= {n})) GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query("a29_rolling_drawdown", "series_id window_bars:i max_drawdown:d", " UNION ALL ".join(fallen(n) for n in (30, 60, 90, 180)))
 def _(t):
-    return m.rolling_robustness(t.returns_kept, windows=(30,))
+    return m.rolling_drawdowns(t.returns_kept)
 
 
 @query("a30_liquidity", "symbol avg_volume:d price_impact:d bid_ask_spread:d volume_ratio:d",
@@ -510,8 +513,11 @@ def _(t):
     return risk.optimisation_summary(t.trials, "generation", ["score", "risk"])
 
 
-@query("a53_metrics_per_period", "series_id unit period:t n:i sharpe:d sortino:d",
-       f"""SELECT series_id, unit, CASE unit WHEN 'day' THEN date_trunc('day', ts) WHEN 'week' THEN date_trunc('week', ts) ELSE date_trunc('month', ts) END AS period, count(*) AS n, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe,
-       avg(ret) / nullif(sqrt(avg(ret * ret) FILTER (WHERE ret < 0)), 0) * sqrt(252) AS sortino FROM {R}, (SELECT unnest(['day', 'week', 'month']) AS unit) GROUP BY 1, 2, 3""")
+@query("a53_metrics_per_period", "series_id unit period:t n:i sharpe:d sortino:d max_drawdown:d calmar:d",
+       f"""WITH x AS (SELECT series_id, unit, ts, ret, CASE unit WHEN 'day' THEN date_trunc('day', ts) WHEN 'week' THEN date_trunc('week', ts) ELSE date_trunc('month', ts) END AS period FROM {R}, (SELECT unnest(['day', 'week', 'month']) AS unit)),
+       c AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS cum FROM x WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY series_id, unit, period ORDER BY ts)),
+       d AS (SELECT series_id, unit, period, min(cum / peak - 1) AS low FROM (SELECT *, max(cum) OVER (PARTITION BY series_id, unit, period ORDER BY ts) AS peak FROM c) GROUP BY 1, 2, 3)
+       SELECT x.series_id, x.unit, x.period, count(ret) AS n, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(ret) / nullif(sqrt(avg(ret * ret) FILTER (WHERE ret < 0)), 0) * sqrt(252) AS sortino,
+       any_value(low) AS max_drawdown, avg(ret) * 252 / nullif(abs(any_value(low)), 0) AS calmar FROM x LEFT JOIN d ON d.series_id = x.series_id AND d.unit = x.unit AND d.period = x.period GROUP BY 1, 2, 3""")
 def _(t):
     return m.per_period(rets(t))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio
 from tidewater.plans.attach import attach, quantiles
+from tidewater.plans import sliding
 from tidewater.plans.runs import runs
-from tidewater.plans.timeline import Timeline, lay_out, time_slice
+from tidewater.plans.timeline import Timeline, join_keys, lay_out, time_slice
 from tidewater.session import settle
 from tidewater.sources.views import TRADE_ORDER
 
@@ -192,10 +193,24 @@ def monthly_stats(returns: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def per_period(returns: DataFrame, units: tuple[str, ...] = ("day", "week", "month")) -> DataFrame:
-    """Sharpe and Sortino per calendar period, all units in one aggregation."""
-    x = returns.withColumn("unit", F.explode(F.array(*[F.lit(u) for u in units])))
-    return x.groupBy("series_id", "unit", F.expr("date_trunc(unit, ts)").alias("period")).agg(
-        F.count("ret").alias("n"), sharpe(F.col("ret")).alias("sharpe"), sortino(F.col("ret")).alias("sortino"))
+    """Sharpe, Sortino, deepest drawdown and Calmar (annualised mean over drawdown) per calendar period.
+
+    Ratios are plain aggregates. For the drawdown each day folds to a path, and the days of a period, 31 at most, are
+    folded in order.
+    """
+    unit = F.explode(F.array(*[F.lit(u) for u in units])).alias("unit")
+    keys = ["series_id", "unit", "period"]
+    period = F.expr("date_trunc(unit, ts)").alias("period")
+    x = returns.select("series_id", "ts", "ret", unit)
+    stats = x.groupBy("series_id", "unit", period).agg(
+        F.count("ret").alias("n"), sharpe(F.col("ret")).alias("sharpe"), sortino(F.col("ret")).alias("sortino"), F.avg("ret").alias("__mean"))
+    known = returns.where("ret IS NOT NULL AND ts IS NOT NULL").select("series_id", "ts", "ret")
+    tl = lay_out(known, "series_id", ["ts"], time_slice("ts", 86400))
+    days = sliding.slice_paths(tl, "ret").select("series_id", F.timestamp_seconds(F.col(tl.part[-1]) * 86400).alias("ts"), "path", unit)
+    falls = days.groupBy("series_id", "unit", period).agg(F.sort_array(F.collect_list(F.struct("ts", "path"))).alias("d"))
+    falls = falls.select(*keys, sliding.folded_fall(F.col("d.path")).alias("max_drawdown"))
+    out = join_keys(stats, falls, keys, "left")
+    return out.withColumn("calmar", ratio(F.col("__mean") * YEAR, F.abs("max_drawdown"))).drop("__mean")
 
 
 # -- trades -------------------------------------------------------------------------------
@@ -328,8 +343,7 @@ def equity_report(equity: DataFrame) -> DataFrame:
 def rolling_robustness(returns: DataFrame, windows: tuple[int, ...] = (30, 60, 90, 180), rf: float = 0.02) -> DataFrame:
     """Mean over all full windows of Sharpe, Sortino, max drawdown and win rate, per window size.
 
-    The drawdown inside a window is folded over the window's values; windows are bounded, so the
-    array is too.
+    The drawdown inside a window comes from sliding folds (:mod:`tidewater.plans.sliding`), so no window is stored.
     """
     tl = series_timeline(returns.where(F.col("ret").isNotNull()), back=max(windows))
     x = F.col("ret") - rf / YEAR
@@ -341,28 +355,20 @@ def rolling_robustness(returns: DataFrame, windows: tuple[int, ...] = (30, 60, 9
             f"sharpe_{n}": F.when(full, ratio(F.avg(x).over(w), F.stddev_pop(x).over(w)) * ROOT),
             f"sortino_{n}": F.when(full, ratio(F.avg(x).over(w), F.sqrt(F.avg(down).over(w))) * ROOT),
             f"win_{n}": F.when(full, F.avg((F.col("ret") > 0).cast("double")).over(w)),
-            f"path_{n}": F.when(full, F.collect_list("ret").over(w)),
         }
-    rows = tl.add(**cols).rows()
     parts = [
-        F.struct(
-            F.lit(n).alias("window_bars"), F.avg(f"sharpe_{n}").alias("sharpe"), F.avg(f"sortino_{n}").alias("sortino"),
-            F.avg(path_drawdown(F.col(f"path_{n}"))).alias("max_drawdown"), F.avg(f"win_{n}").alias("win_rate"))
+        F.struct(F.lit(n).alias("window_bars"), F.avg(f"sharpe_{n}").alias("sharpe"), F.avg(f"sortino_{n}").alias("sortino"), F.avg(f"win_{n}").alias("win_rate"))
         for n in windows
     ]
-    return rows.groupBy("series_id").agg(F.array(*parts).alias("w")).select("series_id", F.inline("w"))
-
-
-def path_drawdown(path: Column) -> Column:
-    """Deepest drawdown of a short return path."""
-    zero = F.struct(F.lit(1.0).alias("cum"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("low"))
+    ratios = tl.add(**cols).rows().groupBy("series_id").agg(F.array(*parts).alias("w")).select("series_id", F.inline("w"))
+    return join_keys(ratios, rolling_drawdowns(returns, windows), ["series_id", "window_bars"])
 
-    def step(s, r):
-        cum = s["cum"] * (1 + r)
-        peak = F.greatest(s["peak"], cum)
-        return F.struct(cum.alias("cum"), peak.alias("peak"), F.least(s["low"], (cum - peak) / peak).alias("low"))
 
-    return F.aggregate(path, zero, step, lambda s: s["low"])
+def rolling_drawdowns(returns: DataFrame, windows: tuple[int, ...] = (30, 60, 90, 180)) -> DataFrame:
+    """Mean over all full windows of the deepest drawdown inside the window; NULL where no window is full."""
+    tl = series_timeline(returns.where(F.col("ret").isNotNull()).select("series_id", "ts", "ret"), back=max(windows))
+    falls = sliding.rolling_falls(tl, "ret", windows).groupBy("series_id", "window_bars").agg(F.sum("falls").alias("f"), F.sum("n").alias("n"))
+    return falls.select("series_id", "window_bars", F.when(F.col("n") > 0, F.col("f") / F.col("n")).alias("max_drawdown"))
 
 
 # -- profiles -----------------------------------------------------------------------------
