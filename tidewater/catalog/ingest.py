@@ -116,7 +116,7 @@ def _(t):
        """SELECT 'ohlcv' AS data_type, symbol, '1h' AS timeframe, count(*) AS rows FROM bars GROUP BY symbol
        UNION ALL SELECT 'funding', symbol, '8h', count(*) FROM funding GROUP BY symbol""")
 def _(t):
-    return stored(t).datasets()
+    return stored(t).datasets().groupBy("data_type", "symbol", "timeframe").agg(F.sum("rows").alias("rows"))
 
 
 @query("io11_export_formats", "format symbol rows:i volume:d",
@@ -138,7 +138,8 @@ def _(t):
 def _(t):
     store = stored(t)
     fresh = t.bars_with_repeats.where("page = 2").drop("page").withColumns({"data_type": F.lit("ohlcv"), "timeframe": F.lit("1h")})
-    return store.upsert(fresh, keep_last=500).where("data_type = 'ohlcv'")
+    store.upsert(fresh, keep_last=500)
+    return store.read(data_types=["ohlcv"])
 
 
 @query("io13_paged_backfill", "symbol ts:t close:d",
@@ -155,15 +156,21 @@ def _(t):
     return validate.in_range(t.bars_kept.where("symbol = 'click'"), "ts", START, END).join(hit.select("symbol"), "symbol", "left_semi")
 
 
-@query("io15_list_datasets", "symbol timeframe", "SELECT DISTINCT symbol, '1h' AS timeframe FROM bars")
+@query("io15_list_datasets", "data_type symbol timeframe rows:i first_ts:t last_ts:t folder",
+       """SELECT 'ohlcv' AS data_type, symbol, '1h' AS timeframe, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, 'p_data_type=ohlcv/p_symbol=' || symbol || '/p_timeframe=1h' AS folder FROM bars GROUP BY symbol
+       UNION ALL SELECT 'funding', symbol, '8h', count(*), min(ts), max(ts), 'p_data_type=funding/p_symbol=' || symbol || '/p_timeframe=8h' FROM funding GROUP BY symbol""")
 def _(t):
-    return stored(t).datasets().where("data_type = 'ohlcv'")
+    return stored(t).datasets().withColumn("folder", F.regexp_extract("path", "p_data_type=.*", 0))
 
 
-@query("io16_delete", "symbol rows:i", "SELECT symbol, count(*) AS rows FROM bars WHERE symbol <> 'view' GROUP BY symbol")
+@query("io16_delete", "data_type symbol rows:i close:d",
+       """SELECT 'ohlcv' AS data_type, symbol, count(*) AS rows, sum(close) AS close FROM bars WHERE symbol <> 'view' GROUP BY symbol
+       UNION ALL SELECT 'funding', symbol, count(*), NULL::DOUBLE FROM funding GROUP BY symbol""")
 def _(t):
-    left = stored(t).without(symbol="view").where("data_type = 'ohlcv'")
-    return left.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    """Bars of one symbol are deleted; what is left is read back from the store."""
+    store = stored(t)
+    store.delete(symbol="view", data_type="ohlcv")
+    return store.read().groupBy("data_type", "symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close"))
 
 
 @query("io17_saved_scaler", "symbol ts:t close_scaled:d",
