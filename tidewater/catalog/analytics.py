@@ -6,7 +6,9 @@ from tidewater.catalog.features import SENT, gauss, uni
 from tidewater.catalog.indicators import LR
 from tidewater.catalog.registry import query
 from tidewater.catalog.sqltext import P, lag, roll, rows
+from tidewater.functions.scalars import uniform
 from tidewater.operators import anomaly, features, metrics, regime, sweep, text
+from tidewater.plans import skyline
 from tidewater.session import settle
 
 K = "OVER (PARTITION BY symbol)"
@@ -287,6 +289,58 @@ def _(t):
     return sweep.pareto_front(t.candidates, "cand_id", "obj1", "obj2", strict=False)
 
 
+THREE = "SELECT p_partkey AS cand_id, CAST(p_retailprice AS DOUBLE) AS a, CAST(p_size AS DOUBLE) AS b, CAST((p_partkey * 7919) % 1009 AS DOUBLE) AS c FROM part"
+GOALS = ["a", "b", "c"]
+
+
+def three(t):
+    """Candidates with three objectives, all maximised."""
+    return t.read("part").select(F.col("p_partkey").alias("cand_id"), F.col("p_retailprice").cast("double").alias("a"), F.col("p_size").cast("double").alias("b"),
+                                 (F.col("p_partkey") * 7919 % 1009).cast("double").alias("c"))
+
+
+def front_sql(source, strict):
+    beats = "d.a > c.a AND d.b > c.b AND d.c > c.c" if strict else "d.a >= c.a AND d.b >= c.b AND d.c >= c.c AND (d.a > c.a OR d.b > c.b OR d.c > c.c)"
+    return f"SELECT * FROM {source} c WHERE NOT EXISTS (SELECT 1 FROM {source} d WHERE {beats})"
+
+
+@query("g09_front_of_three", "cand_id:i a:d b:d c:d", f"WITH k AS ({THREE}) {front_sql('k', True)}")
+def _(t):
+    return skyline.skyline(three(t), GOALS)
+
+
+@query("g09_front_of_three_weak", "cand_id:i a:d b:d c:d", f"WITH k AS ({THREE}) {front_sql('k', False)}")
+def _(t):
+    return skyline.skyline(three(t), GOALS, strict=False)
+
+
+PEELED = f"""WITH k AS ({THREE}), r0 AS ({front_sql('k', False)}), k1 AS (SELECT * FROM k ANTI JOIN r0 USING (cand_id)), r1 AS ({front_sql('k1', False)}), k2 AS (SELECT * FROM k1 ANTI JOIN r1 USING (cand_id)), r2 AS ({front_sql('k2', False)}),
+       r AS (SELECT *, 0 AS rank FROM r0 UNION ALL SELECT *, 1 FROM r1 UNION ALL SELECT *, 2 FROM r2)"""
+GAPS = ", ".join(f"lead({o}) OVER w{o} - lag({o}) OVER w{o} AS g{o}, max({o}) OVER f - min({o}) OVER f AS r{o}" for o in GOALS)
+BY = ", ".join(f"w{o} AS (PARTITION BY rank ORDER BY {o}, cand_id)" for o in GOALS)
+
+
+@query("g11_crowding_of_three", "cand_id:i rank:i boundary crowding:d",
+       f"""{PEELED}, g AS (SELECT *, {GAPS} FROM r WINDOW {BY}, f AS (PARTITION BY rank)) SELECT cand_id, rank, ga IS NULL OR gb IS NULL OR gc IS NULL AS boundary,
+       CASE WHEN ga IS NOT NULL AND gb IS NOT NULL AND gc IS NOT NULL THEN coalesce(ga / nullif(ra, 0), 0) + coalesce(gb / nullif(rb, 0), 0) + coalesce(gc / nullif(rc, 0), 0) END AS crowding FROM g""")
+def _(t):
+    """Crowding distance inside each of the first three fronts."""
+    c = sweep.crowding(skyline.fronts(three(t), GOALS, 3), ["rank"], "cand_id", GOALS)
+    return c.withColumn("crowding", F.when(~F.col("boundary"), F.col("crowding")))
+
+
+@query("g12_hypervolume_of_three", "share:d",
+       f"""WITH k AS ({THREE}), f AS ({front_sql('k', False)}), m AS (SELECT max(a) AS a, max(b) AS b, max(c) AS c FROM k),
+       s AS (SELECT {uni('id', repr('a'), 9)} * a AS a, {uni('id', repr('b'), 9)} * b AS b, {uni('id', repr('c'), 9)} * c AS c FROM m, (SELECT unnest(range(0, 10000)) AS id))
+       SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.a >= s.a AND f.b >= s.b AND f.c >= s.c) THEN 1.0::DOUBLE ELSE 0.0 END) AS share FROM s""")
+def _(t):
+    """Share of the box from 0 to the best value of every objective that the front dominates."""
+    c = three(t)
+    top = c.agg(*[F.max(o).alias(o) for o in GOALS]).first()
+    samples = t.spark.range(10_000).select("id", *[(uniform("id", F.lit(o), F.lit(9)) * top[o]).alias(o) for o in GOALS])
+    return skyline.dominated_share(skyline.skyline(c, GOALS, strict=False), GOALS, samples)
+
+
 DOM = "d.generation = c.generation AND d.score <= c.score AND d.risk <= c.risk AND (d.score < c.score OR d.risk < c.risk)"
 RANKS = f"""r(trial_id, generation, score, risk, rank) AS (SELECT trial_id, generation, score, risk, 0 FROM trials c WHERE NOT EXISTS (SELECT 1 FROM trials d WHERE {DOM})
     UNION SELECT c.trial_id, c.generation, c.score, c.risk, r.rank + 1 FROM r JOIN trials c ON r.generation = c.generation AND r.score <= c.score AND r.risk <= c.risk AND (r.score < c.score OR r.risk < c.risk))"""
