@@ -4,9 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewater.catalog.indicators import WILDER
+from tidewater.catalog.features import uni
+from tidewater.catalog.indicators import DI, MACD, MACD_REC, WILDER
 from tidewater.catalog.registry import query
 from tidewater.catalog.sqltext import P, ema_step, lag, recurrence, roll, rows
+from tidewater.functions.scalars import uniform
 from tidewater.operators import metrics, risk
 from tidewater.session import settle, shared_folder
 from tidewater.streaming import stateful, streams
@@ -14,13 +16,28 @@ from tidewater.streaming import stateful, streams
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)"
 
 
-def landed(t, df, name="landed", parts=3):
-    """Write ``df`` (with ``ts``) as files in time order and open them as a stream."""
+FILES, DELAY = 4, 6 * 3600
+
+
+def landed(t, df, name="landed", parts=3, by="ts"):
+    """Write ``df`` in time spans of equal length, FILES files each, and open them as a stream that takes one span at a time."""
     path = f"{shared_folder(t.spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    day = F.dayofmonth("ts")
+    lo, hi = df.agg(F.unix_micros(F.min(by)), F.unix_micros(F.max(by))).first()
+    span = F.least(F.floor((F.unix_micros(by) - lo) * parts / max(hi - lo, 1)), F.lit(parts - 1))
     for i in range(parts):
-        df.where((day > i * 31 / parts) & (day <= (i + 1) * 31 / parts)).coalesce(1).write.mode("append").parquet(path)
-    return streams.read_stream(t.spark, path, df.schema)
+        df.where(span == i).repartition(FILES).write.mode("append").parquet(path)
+    return streams.read_stream(t.spark, path, df.schema, files_per_batch=FILES)
+
+
+def arriving(t, df, name="arriving", parts=5):
+    """``df`` as a stream whose rows arrive up to DELAY seconds after their time, in any order."""
+    late = uniform(F.unix_micros("ts"), "symbol", F.lit(21)) * DELAY * 1e6
+    return landed(t, df.withColumn("arrived", F.timestamp_micros((F.unix_micros("ts") + late).cast("long"))), name, parts, "arrived")
+
+
+def passed(sql):
+    """Rows of ``sql`` that every watermark of its symbol has passed."""
+    return f"SELECT * FROM ({sql}) q WHERE ts <= (SELECT max(ts) FROM bars b WHERE b.symbol = q.symbol) - INTERVAL {DELAY} SECOND"
 
 
 def tick_stream(t):
@@ -31,6 +48,10 @@ def bar_stream(t):
     return landed(t, t.bars_kept.select("symbol", "ts", "open", "high", "low", "close", "volume"))
 
 
+def late_bars(t):
+    return arriving(t, t.bars_kept.select("symbol", "ts", "open", "high", "low", "close", "volume"))
+
+
 @query("st01_landed_ticks", "trade_id:i symbol ts:t price:d amount:d", "SELECT * FROM ticks")
 def _(t):
     return streams.run_once(tick_stream(t), "ticks")
@@ -85,9 +106,12 @@ def _(t):
     return streams.run_once(streams.sessions(tick_stream(t)), "sessions").withColumnRenamed("start", "start_ts")
 
 
-@query("st08_last_bars", "symbol ts:t held:i mean_close:d", f"SELECT symbol, ts, count(*) OVER {rows(50)} AS held, avg(close) OVER {rows(50)} AS mean_close FROM bars")
+LAST50 = f"SELECT symbol, ts, count(*) OVER {rows(50)} AS held, avg(close) OVER {rows(50)} AS mean_close FROM bars"
+
+
+@query("st08_last_bars", "symbol ts:t held:i mean_close:d late", f"SELECT *, false AS late FROM ({passed(LAST50)})")
 def _(t):
-    return streams.run_once(stateful.last_bars(bar_stream(t)), "history")
+    return streams.run_once(stateful.last_bars(late_bars(t), delay_seconds=DELAY), "history")
 
 
 A10, A20 = 2 / 11, 2 / 21
@@ -97,75 +121,114 @@ CROSS = f"SELECT symbol, ts, pos, f, s, lag(f) OVER ({P}) AS pf, lag(s) OVER ({P
 
 
 @query("st09_incremental_indicators", "symbol ts:t fast_ema:d slow_ema:d",
-       f"WITH RECURSIVE {EMAS} SELECT b.symbol, b.ts, rec.f AS fast_ema, CASE WHEN rec.pos >= 19 THEN rec.s END AS slow_ema FROM bars b LEFT JOIN rec ON rec.symbol = b.symbol AND rec.ts = b.ts")
+       f"WITH RECURSIVE {EMAS} {passed('SELECT b.symbol, b.ts, rec.f AS fast_ema, CASE WHEN rec.pos >= 19 THEN rec.s END AS slow_ema FROM bars b LEFT JOIN rec ON rec.symbol = b.symbol AND rec.ts = b.ts')}")
+def _(t):
+    return streams.run_once(stateful.incremental_indicators(late_bars(t), delay_seconds=DELAY), "indicators")
+
+
+RSI_SQL = """SELECT b.symbol, b.ts, CASE WHEN b.rn <= 14 THEN 50.0 WHEN rec.al = 0 THEN 100.0 ELSE 100 - 100 / (1 + rec.ag / nullif(rec.al, 0)) END AS rsi
+       FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars) b LEFT JOIN rec ON b.symbol = rec.symbol AND b.ts = rec.ts"""
+
+
+@query("st09_incremental_rsi", "symbol ts:t rsi:d", f"{WILDER} {passed(RSI_SQL)}")
 def _(t):
-    return streams.run_once(stateful.incremental_indicators(bar_stream(t)), "indicators")
+    return streams.run_once(stateful.incremental_indicators(late_bars(t), delay_seconds=DELAY), "indicators")
 
 
-@query("st09_incremental_rsi", "symbol ts:t rsi:d",
-       f"""{WILDER} SELECT b.symbol, b.ts, CASE WHEN b.rn <= 14 THEN 50.0 WHEN rec.al = 0 THEN 100.0 ELSE 100 - 100 / (1 + rec.ag / nullif(rec.al, 0)) END AS rsi
-       FROM (SELECT *, row_number() OVER ({P}) AS rn FROM bars) b LEFT JOIN rec ON b.symbol = rec.symbol AND b.ts = rec.ts""")
+@query("st09_incremental_macd", "symbol ts:t macd:d macd_signal:d macd_histogram:d", f"WITH RECURSIVE {MACD_REC} {passed(MACD)}")
 def _(t):
-    return streams.run_once(stateful.incremental_indicators(bar_stream(t)), "indicators")
+    return streams.run_once(stateful.incremental_trend(late_bars(t), delay_seconds=DELAY), "trend")
+
+
+@query("st09_incremental_adx", "symbol ts:t plus_di:d minus_di:d adx:d",
+       passed(f"SELECT symbol, ts, p AS plus_di, m AS minus_di, {roll('avg', 'dx', 14)} AS adx FROM (SELECT *, 100 * abs(p - m) / nullif(p + m, 0) AS dx FROM ({DI}))"))
+def _(t):
+    return streams.run_once(stateful.incremental_trend(late_bars(t), delay_seconds=DELAY), "trend")
 
 
 SIG = f"""WITH RECURSIVE {EMAS}, c AS ({CROSS}) SELECT c.symbol, c.ts, b.close, CASE WHEN pos > 19 AND volume >= 10 AND pf <= ps AND f > s THEN 'buy' WHEN pos > 19 AND volume >= 10 AND pf >= ps AND f < s THEN 'sell' END AS signal
     FROM c JOIN bars b ON b.symbol = c.symbol AND b.ts = c.ts"""
 
 
-@query("st10_stream_signals", "symbol ts:t signal", f"SELECT symbol, ts, signal FROM ({SIG}) WHERE signal IS NOT NULL")
+@query("st10_stream_signals", "symbol ts:t signal", passed(f"SELECT symbol, ts, signal FROM ({SIG}) WHERE signal IS NOT NULL"))
 def _(t):
-    s = stateful.stream_signals(stateful.incremental_indicators(bar_stream(t)))
+    s = stateful.stream_signals(stateful.incremental_indicators(late_bars(t), delay_seconds=DELAY))
     return streams.run_once(s.where("signal IS NOT NULL"), "signals")
 
 
+FALL = 0.002
+
+
 @query("st11_positions", "symbol ts:t event price:d pnl:d equity:d",
-       f"""WITH RECURSIVE k AS (SELECT symbol, ts, close, signal, row_number() OVER ({P}) AS rn FROM ({SIG}) WHERE signal IS NOT NULL),
-       w(symbol, rn, ts, event, price, cash, qty, entry, pnl) AS (SELECT symbol, 0::BIGINT, NULL::TIMESTAMP, NULL::VARCHAR, 0.0::DOUBLE, 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE FROM (SELECT DISTINCT symbol FROM k) UNION ALL
-       SELECT k.symbol, k.rn, k.ts, CASE WHEN signal = 'buy' AND qty = 0 THEN 'open' WHEN signal = 'sell' AND qty > 0 THEN 'close' END, k.close, CASE WHEN signal = 'buy' AND qty = 0 THEN cash * 0.9::DOUBLE WHEN signal = 'sell' AND qty > 0 THEN cash + qty * close ELSE cash END,
-       CASE WHEN signal = 'buy' AND qty = 0 THEN cash * 0.1::DOUBLE / close WHEN signal = 'sell' THEN 0 ELSE qty END, CASE WHEN signal = 'buy' AND qty = 0 THEN close ELSE entry END, CASE WHEN signal = 'sell' AND qty > 0 THEN qty * (close - entry) END
-       FROM w JOIN k ON k.symbol = w.symbol AND k.rn = w.rn + 1) SELECT symbol, ts, event, price, pnl, cash + qty * price AS equity FROM w WHERE event IS NOT NULL""")
+       f"""WITH RECURSIVE k AS (SELECT symbol, ts, close, signal, row_number() OVER ({P}) AS rn FROM ({SIG})),
+       w(symbol, rn, ts, kind, price, cash, qty, entry, pnl, equity, peak, under, alert) AS (SELECT symbol, 0::BIGINT, NULL::TIMESTAMP, NULL::VARCHAR, 0.0::DOUBLE, 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, 10000.0::DOUBLE, 10000.0::DOUBLE, false, false FROM (SELECT DISTINCT symbol FROM k) UNION ALL
+       SELECT symbol, rn, ts, kind, close, cash, qty, entry, pnl, cash + qty * close, greatest(peak, cash + qty * close), cash + qty * close < greatest(peak, cash + qty * close) * (1 - {FALL}::DOUBLE), cash + qty * close < greatest(peak, cash + qty * close) * (1 - {FALL}::DOUBLE) AND NOT under FROM
+       (SELECT k.symbol, k.rn, k.ts, k.close, w.peak, w.under, CASE WHEN signal = 'buy' AND qty = 0 THEN 'open' WHEN signal = 'sell' AND qty > 0 THEN 'close' END AS kind,
+       CASE WHEN signal = 'buy' AND qty = 0 THEN cash - cash * 0.1::DOUBLE / close * close WHEN signal = 'sell' AND qty > 0 THEN cash + qty * close ELSE cash END AS cash,
+       CASE WHEN signal = 'buy' AND qty = 0 THEN cash * 0.1::DOUBLE / close WHEN signal = 'sell' AND qty > 0 THEN 0 ELSE qty END AS qty, CASE WHEN signal = 'buy' AND qty = 0 THEN close ELSE entry END AS entry,
+       CASE WHEN signal = 'sell' AND qty > 0 THEN qty * (close - entry) END AS pnl FROM w JOIN k ON k.symbol = w.symbol AND k.rn = w.rn + 1))
+       SELECT symbol, ts, kind AS event, price, pnl, equity FROM w WHERE kind IS NOT NULL UNION ALL SELECT symbol, ts, 'alert', price, NULL, equity FROM w WHERE alert""")
 def _(t):
+    """Positions from crosses, and an alert each time equity falls below the allowed drawdown."""
     s = stateful.stream_signals(stateful.incremental_indicators(bar_stream(t)))
     signals = streams.run_once(s.select("symbol", "ts", "close", "signal"), "signals")
-    return streams.run_once(stateful.positions(landed(t, signals)).where("event <> 'alert'"), "positions")
+    return streams.run_once(stateful.positions(landed(t, signals), max_drawdown=FALL), "positions")
 
 
-@query("st12_running_metrics", "symbol trades:i win_rate:d pnl:d4", "SELECT symbol, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS win_rate, sum(pnl) AS pnl FROM closed_trades GROUP BY symbol")
+@query("st12_running_metrics", "symbol ts:t trades:i win_rate:d pnl:d4 max_drawdown:d",
+       """WITH d AS (SELECT symbol, exit_time AS ts, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS w, sum(pnl) AS p FROM closed_trades GROUP BY 1, 2),
+       c AS (SELECT symbol, ts, sum(n) OVER o AS trades, sum(w) OVER o / sum(n) OVER o AS win_rate, sum(p) OVER o AS pnl FROM d WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+       e AS (SELECT *, greatest(1e8::DOUBLE, max(1e8::DOUBLE + pnl) OVER (PARTITION BY symbol ORDER BY ts)) AS peak FROM c)
+       SELECT symbol, ts, trades, win_rate, pnl, least(0, min((1e8::DOUBLE + pnl) / peak - 1) OVER (PARTITION BY symbol ORDER BY ts)) AS max_drawdown FROM e""")
 def _(t):
-    trades = t.closed_trades.select("symbol", "pnl", "exit_time", F.col("exit_time").alias("ts"))
-    m = stateful.running_metrics(landed(t, trades))
-    latest = streams.LatestTable(t.spark, ["symbol"], "trades", m.schema)
-    streams.run_batches(m, "metrics", latest, mode="update")
-    return latest.table()
+    trades = t.closed_trades.select("symbol", "pnl", F.col("exit_time").alias("ts"))
+    return streams.run_once(stateful.running_metrics(landed(t, trades), capital=1e8), "metrics")
 
 
-@query("st13_latency_monitor", "symbol late:i", "SELECT symbol, count(*) AS late FROM ticks GROUP BY symbol")
+@query("st13_latency_monitor", "symbol late:i mean_latency:d3",
+       f"""SELECT symbol, count(*) AS late, avg(lag) AS mean_latency FROM (SELECT symbol, floor({uni('epoch_us(ts)', 'symbol', 21)} * {DELAY} * 1e6::DOUBLE) / 1e6::DOUBLE AS lag FROM ticks) WHERE lag > 10800 GROUP BY symbol""")
 def _(t):
-    late = streams.run_once(streams.late_arrivals(tick_stream(t)), "late")
-    return late.groupBy("symbol").agg(F.count(F.lit(1)).alias("late"))
+    """Messages that arrived more than three hours after their time."""
+    late = streams.run_once(streams.late_arrivals(arriving(t, t.ticks), 3 * 3600, "arrived"), "late")
+    return late.groupBy("symbol").agg(F.count(F.lit(1)).alias("late"), F.avg("latency_seconds").alias("mean_latency"))
 
 
 @query("st14_late_data_policy", "symbol ts:t trades:i",
        f"SELECT symbol, ts, trades FROM bars WHERE ts + INTERVAL 1 HOUR <= {CLOSED}")
 def _(t):
     """A second copy of the first days arrives after the watermark has passed and is dropped."""
-    path = f"{shared_folder(t.spark)}/tidewater/late-{uuid.uuid4().hex}"
-    for days in ("<= 15", "> 15"):
-        t.ticks.where(f"dayofmonth(ts) {days}").coalesce(1).write.mode("append").parquet(path)
-    t.ticks.where(F.dayofmonth("ts") <= 5).coalesce(1).write.mode("append").parquet(path)
-    return streams.run_once(streams.tumbling_bars(streams.read_stream(t.spark, path, t.ticks.schema)), "bars")
+    return streams.run_once(streams.tumbling_bars(resent(t)), "bars")
+
+
+def resent(t):
+    """Ticks in order, then the first five days again."""
+    again = t.ticks.where(F.dayofmonth("ts") <= 5)
+    first = t.ticks.withColumn("arrived", F.col("ts"))
+    return landed(t, first.unionByName(again.withColumn("arrived", F.col("ts") + F.expr("interval 60 days"))), "resent", 8, "arrived")
+
+
+@query("st14_late_counts", "symbol in_time:i late:i",
+       """SELECT symbol, count(*) FILTER (WHERE ts <= m - INTERVAL 1 HOUR) AS in_time, count(*) FILTER (WHERE dayofmonth(ts) <= 5) AS late FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS m FROM ticks) GROUP BY symbol""")
+def _(t):
+    """Late rows go to a sink of their own and are counted there."""
+    rows = stateful.in_event_order(resent(t), "symbol", ["price"], 3600, lambda state, x: (state, [(float(v[0]),) for v in x]), (0,), "price double", "none long")
+    kept, late = streams.AppendTable(t.spark, rows.schema), streams.AppendTable(t.spark, rows.schema)
+    streams.run_batches(rows, "late", streams.fan_out(lambda df, n: kept(df.where("NOT late"), n), lambda df, n: late(df.where("late"), n)))
+    count = lambda x, name: x.table().groupBy("symbol").agg(F.count(F.lit(1)).alias(name))
+    return count(kept, "in_time").join(count(late, "late"), "symbol", "left")
+
+
+CUT = "TIMESTAMP '2024-01-15 00:00:00'"
 
 
-@query("st15_warm_start", "symbol ts:t held:i mean_close:d", f"SELECT symbol, ts, count(*) OVER {rows(50)} AS held, avg(close) OVER {rows(50)} AS mean_close FROM bars")
+@query("st15_warm_start", "symbol ts:t held:i mean_close:d late", f"SELECT *, false AS late FROM ({passed(LAST50)}) WHERE ts >= {CUT}")
 def _(t):
-    """History up to the 15th, then live bars, through one state."""
+    """History (several files, any order) becomes the state the live bars start from."""
     bars = t.bars_kept.select("symbol", "ts", "close")
-    path = f"{shared_folder(t.spark)}/tidewater/warm-{uuid.uuid4().hex}"
-    bars.where(F.dayofmonth("ts") <= 15).coalesce(1).write.parquet(f"{path}/history")
-    bars.where(F.dayofmonth("ts") > 15).coalesce(1).write.parquet(f"{path}/live")
-    both = [streams.read_stream(t.spark, f"{path}/{p}", bars.schema) for p in ("history", "live")]
-    return streams.run_once(stateful.last_bars(streams.warm_start(*both)), "warm")
+    path = f"{shared_folder(t.spark)}/tidewater/history-{uuid.uuid4().hex}"
+    bars.where(f"ts < {CUT}").repartition(5).write.parquet(path)
+    start = settle(stateful.last_bars_state(t.spark.read.schema(bars.schema).parquet(path)), "warm")
+    return streams.run_once(stateful.last_bars(arriving(t, bars.where(f"ts >= {CUT}")), delay_seconds=DELAY, initial=start), "warm")
 
 
 @query("st16_stream_static_join", "trade_id:i symbol over_limit", "SELECT trade_id, t.symbol, amount > l AS over_limit FROM ticks t LEFT JOIN (SELECT symbol, avg(amount) AS l FROM ticks GROUP BY symbol) d ON d.symbol = t.symbol")

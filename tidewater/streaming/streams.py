@@ -64,9 +64,10 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -
     return g.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "trades", "volume")
 
 
-def late_arrivals(messages: DataFrame, max_latency_seconds: float = 1.0) -> DataFrame:
-    """Rows whose processing time is too far behind their event time."""
-    lag = F.unix_micros(F.current_timestamp()) / 1e6 - F.unix_micros("ts") / 1e6
+def late_arrivals(messages: DataFrame, max_latency_seconds: float = 1.0, arrived: str | None = None) -> DataFrame:
+    """Rows whose arrival (the column ``arrived``, else the processing time) is too far behind their event time."""
+    came = F.current_timestamp() if arrived is None else F.col(arrived)
+    lag = F.unix_micros(came) / 1e6 - F.unix_micros("ts") / 1e6
     return messages.withColumn("latency_seconds", lag).where(F.col("latency_seconds") > max_latency_seconds)
 
 
@@ -84,14 +85,6 @@ def with_limits(stream: DataFrame, limits: DataFrame, key: str = "symbol") -> Da
     return stream.join(limits, key, "left")
 
 
-def warm_start(history: DataFrame, live: DataFrame) -> DataFrame:
-    """Stored rows followed by live ones, for consumers that keep state.
-
-    ``history`` is itself read as a stream so its rows pass through the same state.
-    """
-    return history.unionByName(live, allowMissingColumns=True)
-
-
 # -- sinks --------------------------------------------------------------------------------
 def start(writer, spark: SparkSession):
     """Start a query. Its state gets ``spark.sql.shuffle.partitions`` partitions, for the life of the checkpoint."""
