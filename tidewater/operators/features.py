@@ -14,8 +14,8 @@ from tidewater.plans.timeline import Timeline, lay_out, time_slice
 BAR_SLICE = 30 * 86400
 
 
-def bars_timeline(bars: DataFrame, back: int = 0, ahead: int = 0, key: str = "symbol", positions: bool = False, block: int = 0) -> Timeline:
-    return lay_out(bars, key, ["ts"], time_slice("ts", BAR_SLICE), back, ahead, positions=positions, block=block)
+def bars_timeline(bars: DataFrame, back: int = 0, ahead: int = 0, key: str = "symbol", positions: bool = False, block: int = 0, gaps: bool = True) -> Timeline:
+    return lay_out(bars, key, ["ts"], time_slice("ts", BAR_SLICE), back, ahead, positions=positions, block=block, gaps=gaps)
 
 
 def simple_returns(bars: DataFrame, price: str = "close") -> DataFrame:

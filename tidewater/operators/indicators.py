@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio
 from tidewater.operators.features import bars_timeline
-from tidewater.plans.timeline import Timeline, block_rows, lay_out, smoothing_reach, time_slice
+from tidewater.plans.timeline import Timeline, block_rows, free_of_nulls, lay_out, smoothing_reach, time_slice
+
+PRICES = ("open", "high", "low", "close", "volume")
 
 REGISTRY: dict[str, Callable[..., Timeline]] = {}
 REACH: dict[str, Callable[..., int]] = {}
@@ -41,7 +43,9 @@ def add_indicators(bars: DataFrame, wanted: dict[str, dict] | list[str]) -> Data
     back = max(REACH[n](**kw) for n, kw in wanted.items())
     block = max((block_rows(a) for n, kw in wanted.items() for a in WEIGHTS[n](**kw)), default=0)
     # Smoothing looks back whole blocks, and chained smoothing one block more per link.
-    tl = bars_timeline(bars, back=max(back, 4 * block), block=block)
+    prices = [c for c in PRICES if c in bars.columns]
+    gaps = not (block and free_of_nulls(bars, prices))
+    tl = bars_timeline(bars, back=max(back, 4 * block), block=block, gaps=gaps)
     for name, kw in wanted.items():
         tl = REGISTRY[name](tl, **kw)
     return tl.rows()
@@ -103,7 +107,7 @@ def ema_alpha(span: int) -> float:
 @indicator("ema", lambda n=20, **_: smoothing_reach(ema_alpha(n)), lambda n=20, **_: [ema_alpha(n)])
 def ema(tl: Timeline, n: int = 20, col: str = "close", out: str | None = None) -> Timeline:
     """Exponential mean seeded with the first value."""
-    return tl.smooth(**{out or f"ema_{n}": (col, ema_alpha(n))})
+    return tl.smooth(whole=col in PRICES, **{out or f"ema_{n}": (col, ema_alpha(n))})
 
 
 @indicator("ema_seeded", lambda n=20, **_: smoothing_reach(ema_alpha(n)) + n, lambda n=20, **_: [ema_alpha(n)])
@@ -115,9 +119,9 @@ def ema_seeded(tl: Timeline, n: int = 20, col: str = "close", out: str | None =
 
 @indicator("macd", lambda slow=26, **_: 2 * smoothing_reach(ema_alpha(slow)), lambda fast=12, slow=26, signal=9, **_: [ema_alpha(fast), ema_alpha(slow), ema_alpha(signal)])
 def macd(tl: Timeline, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close") -> Timeline:
-    tl = tl.smooth(__f=(col, ema_alpha(fast)), __s=(col, ema_alpha(slow)))
+    tl = tl.smooth(whole=col in PRICES, __f=(col, ema_alpha(fast)), __s=(col, ema_alpha(slow)))
     tl = tl.add(macd=F.col("__f") - F.col("__s")).drop("__f", "__s")
-    tl = tl.smooth(macd_signal=("macd", ema_alpha(signal)))
+    tl = tl.smooth(whole=col in PRICES, macd_signal=("macd", ema_alpha(signal)))
     return tl.add(macd_histogram=F.col("macd") - F.col("macd_signal"))
 
 
@@ -145,7 +149,7 @@ def rsi(tl: Timeline, n: int = 14, out: str = "rsi") -> Timeline:
 def rsi_wilder(tl: Timeline, n: int = 14, out: str = "rsi_wilder", head: float | None = 50.0) -> Timeline:
     """Wilder smoothing seeded with the mean of the first ``n`` moves; ``head`` while too short."""
     tl = gains_losses(tl)
-    tl = tl.smooth(__ag=("__gain", 1 / n, n, n), __al=("__loss", 1 / n, n, n))
+    tl = tl.smooth(whole=True, __ag=("__gain", 1 / n, n, n), __al=("__loss", 1 / n, n, n))
     g, l = F.col("__ag"), F.col("__al")
     value = F.when(l == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(g, l)))
     value = F.when(tl.pos < n, F.lit(head)).otherwise(value)
@@ -199,7 +203,7 @@ def atr(tl: Timeline, n: int = 14, out: str = "atr") -> Timeline:
 @indicator("atr_wilder", lambda n=14, **_: smoothing_reach(1 / n) + n + 1, lambda n=14, **_: [1 / n])
 def atr_wilder(tl: Timeline, n: int = 14) -> Timeline:
     tl = tl.add(__tr=true_range(tl))
-    return tl.smooth(atr_wilder=("__tr", 1 / n, n - 1, n)).drop("__tr")
+    return tl.smooth(whole=True, atr_wilder=("__tr", 1 / n, n - 1, n)).drop("__tr")
 
 
 # -- volume -------------------------------------------------------------------------------
@@ -239,7 +243,7 @@ def vwap_daily(bars: DataFrame) -> DataFrame:
 @indicator("volume_averages", lambda slow=20, **_: smoothing_reach(ema_alpha(slow)) + slow, lambda slow=20, **_: [ema_alpha(slow)])
 def volume_averages(tl: Timeline, fast: int = 5, slow: int = 20) -> Timeline:
     """Volume SMA / EMA, relative volume, and the sign of fast against slow volume."""
-    tl = tl.smooth(volume_ema=("volume", ema_alpha(slow)))
+    tl = tl.smooth(whole=True, volume_ema=("volume", ema_alpha(slow)))
     tl = tl.add(volume_sma=tl.full(F.avg, "volume", slow), __fast=tl.full(F.avg, "volume", fast))
     s = F.col("volume_sma")
     return tl.add(relative_volume=ratio(F.col("volume"), s), volume_trend=F.signum(F.col("__fast") - s)).drop("__fast")
