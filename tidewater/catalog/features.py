@@ -350,6 +350,12 @@ def _(t):
     return setops.pivot_times(t.bars, ["click", "view", "purchase", "signup", "error"])
 
 
+@query("j04_align_times", "ts:t symbol close:d", "SELECT a.ts, s.symbol, b.close FROM (SELECT DISTINCT ts FROM bars) a CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.ts = a.ts AND b.symbol = s.symbol")
+def _(t):
+    """Any number of symbols, as long rows."""
+    return setops.align_times(t.bars_kept)
+
+
 NULLED = """(SELECT CASE WHEN extract('hour' FROM ts) <> 3 THEN symbol END AS symbol, CASE WHEN extract('hour' FROM ts) <> 7 THEN ts END AS ts, volume, close FROM bars)"""
 
 

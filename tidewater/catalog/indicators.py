@@ -316,6 +316,13 @@ def _(t):
     return out.withColumn("band", band.when(F.col("volatility").isNotNull(), "middle"))
 
 
+@query("w31_top_movers", "symbol change:d rank:i", "SELECT symbol, change, rank() OVER (ORDER BY change DESC) AS rank FROM (SELECT symbol, arg_max(close, ts) / arg_min(close, ts) - 1 AS change FROM bars GROUP BY symbol)")
+def _(t):
+    from tidewater.operators import metrics
+
+    return metrics.top_movers(t.bars_kept)
+
+
 @query("w32_funding_trend", "symbol ts:t funding_ma:d11 funding_trend:d funding_signal:d",
        f"""SELECT symbol, ts, ma AS funding_ma, sign(funding_rate - ma) AS funding_trend, -sign(funding_rate - ma) AS funding_signal
        FROM (SELECT *, {roll('avg', 'funding_rate', 8)} AS ma FROM funding)""")

@@ -197,10 +197,33 @@ def _(t):
     return as_text.select(F.from_json("j", ddl).alias("b")).select("b.*")
 
 
+@query("io18_write_equity", "series_id ts:t equity:d4", "SELECT series_id, ts, equity FROM equity")
+def _(t):
+    """The equity curve of a run, as CSV and back."""
+    path, curve = folder(t), t.equity_kept.select("series_id", "ts", "equity")
+    export(curve, path, "csv")
+    return t.spark.read.schema(curve.schema).option("header", True).csv(f"{path}/data")
+
+
+@query("io18_write_trials", "trial_id:i generation:i score:d risk:d fast:i slow:i", "SELECT trial_id, generation, score, risk, fast, slow FROM trials")
+def _(t):
+    """Trial results as JSON objects with nested parameters, and back."""
+    path = folder(t)
+    nested = t.trials.select("trial_id", "generation", F.struct("fast", "slow").alias("params"), F.struct("score", "risk").alias("metrics"))
+    export(nested, path, "json")
+    return t.spark.read.schema(nested.schema).json(f"{path}/data").select("trial_id", "generation", "metrics.*", "params.*")
+
+
 @query("io20_order_history", "trade_id:i symbol ts:t side price:d",
        f"SELECT * FROM ticks WHERE symbol = 'click' AND {BETWEEN}")
 def _(t):
-    return validate.in_range(t.ticks.where("symbol = 'click'"), "ts", START, END)
+    """An audit log written as JSON events in folders by day, read again by day, symbol and time."""
+    path = folder(t)
+    events = t.ticks.select("trade_id", "symbol", "ts", "side", "price", F.to_date("ts").alias("day"))
+    events.repartition("day").write.partitionBy("day").json(path)
+    log = t.spark.read.schema(events.schema).json(path)
+    days = F.col("day").between(F.to_date(F.lit(START)), F.to_date(F.lit(END)))
+    return validate.in_range(log.where(days & (F.col("symbol") == "click")), "ts", START, END)
 
 
 # -- filters and checks -------------------------------------------------------------------
@@ -313,11 +336,12 @@ def _(t):
 
 
 @query("p17_futures_sanity", "symbol high_funding:i negative_oi:i",
-       """SELECT symbol, count(*) FILTER (WHERE NOT abs(funding_rate * 100) <= 0.01::DOUBLE) AS high_funding,
-       count(*) FILTER (WHERE funding_rate < 0) AS negative_oi FROM funding GROUP BY symbol""")
+       """SELECT f.symbol, count(*) FILTER (WHERE NOT abs(funding_rate * 100) <= 0.01::DOUBLE) AS high_funding,
+       count(*) FILTER (WHERE (close - 100) * volume < 0) AS negative_oi FROM funding f JOIN bars b ON b.symbol = f.symbol AND b.ts = f.ts GROUP BY f.symbol""")
 def _(t):
-    return validate.count_failures(t.funding, ["symbol"], {
-        "high_funding": F.abs(F.col("funding_rate") * 100) <= 0.01, "negative_oi": F.col("funding_rate") >= 0})
+    interest = t.bars_kept.select("symbol", "ts", ((F.col("close") - 100) * F.col("volume")).alias("open_interest"))
+    return validate.count_failures(t.funding.join(interest, ["symbol", "ts"]), ["symbol"], {
+        "high_funding": F.abs(F.col("funding_rate") * 100) <= 0.01, "negative_oi": F.col("open_interest") >= 0})
 
 
 @query("p18_correlated_features", "symbol a b corr:d",
@@ -384,6 +408,28 @@ def _(t):
     return validate.validation_report(t.bars_with_outliers)
 
 
+def leveled(level, bad, warn):
+    flags = " + ".join(f"(CASE WHEN {w} > 0 THEN 1 ELSE 0 END)" for w in warn) or "0"
+    out = "outliers" if level in ("advanced", "full") else "0"
+    return f"""SELECT '{level}' AS level, symbol, {bad} = 0 AS is_valid, {flags} AS warnings, greatest(0.0, 1 - 0.2::DOUBLE * (CASE WHEN {bad} > 0 THEN 1 ELSE 0 END) - 0.1::DOUBLE * ({flags}) - 0.01::DOUBLE * {out}) AS score FROM ({REPORT})"""
+
+
+@query("p23_validation_levels", "level symbol is_valid warnings:i score:d", " UNION ALL ".join([
+    leveled("basic", "0", []), leveled("intermediate", "0", ["gaps"]), leveled("advanced", "0", ["gaps", "jumps", "outliers"]), leveled("full", "bad", ["gaps", "jumps", "outliers"])]))
+def _(t):
+    """Each level sees what the levels below it see, and more."""
+    parts = [validate.validation_report(t.bars_with_outliers, level).select(F.lit(level).alias("level"), "symbol", "is_valid", F.size("warnings").alias("warnings"), "score")
+             for level in ("basic", "intermediate", "advanced", "full")]
+    return setops.union_all(*parts)
+
+
+@query("p24_history_summary", "validations:i success_rate:d mean_score:d",
+       f"""SELECT count(*) AS validations, avg(CASE WHEN bad = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS success_rate, avg(greatest(0.0, 1 - 0.2::DOUBLE * (CASE WHEN bad > 0 THEN 1 ELSE 0 END) - 0.1::DOUBLE * ((CASE WHEN gaps > 0 THEN 1 ELSE 0 END)
+       + (CASE WHEN jumps > 0 THEN 1 ELSE 0 END) + (CASE WHEN outliers > 0 THEN 1 ELSE 0 END)) - 0.01::DOUBLE * outliers)) AS mean_score FROM ({REPORT})""")
+def _(t):
+    return validate.validation_summary(validate.validation_report(t.bars_with_outliers))
+
+
 @query("p24_common_issues", "issue count:i",
        f"""SELECT * FROM (SELECT issue, count(*) AS count FROM (SELECT unnest([CASE WHEN bad > 0 THEN 'inconsistent OHLC' END, CASE WHEN gaps > 0 THEN 'time gaps' END,
        CASE WHEN outliers > 0 THEN 'outliers' END, CASE WHEN jumps > 0 THEN 'suspicious price changes' END]) AS issue FROM ({REPORT}))
@@ -406,13 +452,12 @@ def _(t):
 
 
 @query("p28_market_filter", "symbol ts:t close:d",
-       """SELECT b.symbol, ts, close FROM bars b WHERE symbol IN (SELECT symbol FROM bars WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 24 HOUR
-       GROUP BY symbol HAVING sum(volume) > 100 AND sum(trades) > 20 AND max(close) < 100000)""")
+       f"""WITH e AS (SELECT max(ts) - INTERVAL 24 HOUR AS a FROM bars), d AS (SELECT *, close / {lag('close')} - 1 AS r FROM bars),
+       s AS (SELECT symbol FROM d, e WHERE ts > a GROUP BY symbol HAVING sum(volume) > 40 AND sum(trades) > 6 AND min(close) > 0.00001 AND max(close) < 100000 AND stddev_samp(r) <= 0.45::DOUBLE),
+       o AS (SELECT symbol FROM order_book, e WHERE ts > a GROUP BY symbol HAVING avg((list_min(ask_px) - list_max(bid_px)) / ((list_min(ask_px) + list_max(bid_px)) / 2)) <= 0.00151::DOUBLE)
+       SELECT symbol, ts, close FROM bars WHERE symbol IN (SELECT symbol FROM s) AND symbol IN (SELECT symbol FROM o)""")
 def _(t):
-    end = t.bars_kept.agg(F.max("ts").alias("end")).scalar()
-    day = t.bars_kept.where(F.col("ts") >= end - F.expr("interval 24 hours"))
-    good = day.groupBy("symbol").agg(F.sum("volume").alias("v"), F.sum("trades").alias("n"), F.max("close").alias("m"))
-    return t.bars_kept.join(good.where("v > 100 AND n > 20 AND m < 100000"), "symbol", "left_semi")
+    return validate.market_filter(t.bars_kept, t.order_book, min_volume=40, min_trades=6, min_price=0.00001, max_price=100_000, max_spread=0.00151, max_volatility=0.45)
 
 
 @query("p29_parameter_bounds", "trial_id:i valid unknown:i",
@@ -525,6 +570,14 @@ def _(t):
     return clean.replace_outliers(t.bars_with_outliers, clean.moments(t.bars_kept, "symbol", ["close"], False), ["close"])
 
 
+@query("c11_fitted_fence_replacer", "symbol ts:t close:d",
+       """WITH s AS (SELECT symbol, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.75) AS q3 FROM bars GROUP BY symbol)
+       SELECT b.symbol, ts, CASE WHEN close < q1 - 1.5 * (q3 - q1) OR close > q3 + 1.5 * (q3 - q1) THEN avg(close) OVER (PARTITION BY b.symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) ELSE close END AS close
+       FROM bars_with_outliers b JOIN s ON s.symbol = b.symbol""")
+def _(t):
+    return clean.replace_beyond_fences(t.bars_with_outliers, clean.fences(t.bars_kept, "symbol", "close"), "close")
+
+
 @query("c12_duplicates", "symbol rows:i distinct_rows:i duplicates:i duplicate_pct:d",
        """SELECT symbol, count(*) AS rows, count(DISTINCT ts) AS distinct_rows, count(*) - count(DISTINCT ts) AS duplicates, (count(*) - count(DISTINCT ts)) * 100.0::DOUBLE / count(*) AS duplicate_pct
        FROM (SELECT symbol, ts FROM bars_with_repeats) GROUP BY symbol""")

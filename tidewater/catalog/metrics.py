@@ -428,6 +428,14 @@ def _(t):
     return m.rollup_status(t.ticks)
 
 
+@query("a43_rollup_timeframes", "exchange symbol timeframe points:i last_update:t",
+       """SELECT exchange, symbol, timeframe, count(*) AS points, max(ts) AS last_update FROM (SELECT DISTINCT exchange, symbol, '1h' AS timeframe, date_trunc('hour', ts) AS ts FROM ticks
+       UNION ALL SELECT DISTINCT exchange, symbol, '1d', date_trunc('day', ts) FROM ticks) GROUP BY ROLLUP (exchange, symbol, timeframe)""")
+def _(t):
+    bars = [t.bars_every("exchange", "symbol", unit=u).withColumn("timeframe", F.lit(f)) for u, f in (("hour", "1h"), ("day", "1d"))]
+    return m.rollup_status(bars[0].unionByName(bars[1]), ("exchange", "symbol", "timeframe"))
+
+
 @query("a44_prediction_quality", "symbol mse:d mae:d direction_accuracy:d bias:d variance:d confidence:d",
        "SELECT symbol, avg(pow(pred - actual, 2)) AS mse, avg(abs(pred - actual)) AS mae, avg(CASE WHEN sign(pred) = sign(actual) THEN 1.0::DOUBLE ELSE 0.0 END) AS direction_accuracy, avg(pred) AS bias, var_pop(pred) AS variance, avg(abs(pred)) AS confidence FROM scored GROUP BY symbol")
 def _(t):
@@ -513,6 +521,12 @@ def _(t):
     return risk.optimisation_summary(t.trials, "generation", ["score", "risk"])
 
 
+@query("a52_generation_averages", "objective generation:i best:d average:d",
+       "SELECT 'score' AS objective, generation, max(score) AS best, avg(score) AS average FROM trials GROUP BY generation UNION ALL SELECT 'risk', generation, max(risk), avg(risk) FROM trials GROUP BY generation")
+def _(t):
+    return risk.generation_averages(t.trials, "generation", ["score", "risk"])
+
+
 @query("a53_metrics_per_period", "series_id unit period:t n:i sharpe:d sortino:d max_drawdown:d calmar:d",
        f"""WITH x AS (SELECT series_id, unit, ts, ret, CASE unit WHEN 'day' THEN date_trunc('day', ts) WHEN 'week' THEN date_trunc('week', ts) ELSE date_trunc('month', ts) END AS period FROM {R}, (SELECT unnest(['day', 'week', 'month']) AS unit)),
        c AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS cum FROM x WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY series_id, unit, period ORDER BY ts)),

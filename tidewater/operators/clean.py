@@ -138,6 +138,19 @@ def smooth_z_outliers(df: DataFrame, cols: list[str], threshold: float = 3.0, wi
     ).rows()
 
 
+def fences(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Fit step of the quartile detector: first and third quartile per key."""
+    return quantiles(df, key, col, {f"__q1_{col}": 0.25, f"__q3_{col}": 0.75})
+
+
+def replace_beyond_fences(df: DataFrame, fitted: DataFrame, col: str, reach: float = 1.5, window: int = 5) -> DataFrame:
+    """Transform step of the quartile detector: values beyond the fences become the trailing mean."""
+    q1, q3 = F.col(f"__q1_{col}"), F.col(f"__q3_{col}")
+    far = (F.col(col) < q1 - reach * (q3 - q1)) | (F.col(col) > q3 + reach * (q3 - q1))
+    tl = bars_timeline(attach(df, fitted, "symbol").withColumn("__far", far), back=window)
+    return tl.add(**{col: F.when(F.col("__far"), F.avg(col).over(tl.last(window))).otherwise(F.col(col))}).rows().drop("__far", f"__q1_{col}", f"__q3_{col}")
+
+
 def replace_outliers(df: DataFrame, fitted: DataFrame, cols: list[str], threshold: float = 3.0, window: int = 5) -> DataFrame:
     """Transform step of a fitted detector: outliers become the trailing mean (any frame length)."""
     out = attach(df, fitted, "symbol")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio
@@ -453,9 +453,15 @@ def book_metrics(books: DataFrame) -> DataFrame:
     return d.withColumn("imbalance", ratio(F.col("bid_depth") - F.col("ask_depth"), F.col("bid_depth") + F.col("ask_depth")))
 
 
-def rollup_status(ticks: DataFrame) -> DataFrame:
-    """Data points and last update per symbol, exchange and in total."""
-    return ticks.rollup("exchange", "symbol").agg(F.count(F.lit(1)).alias("points"), F.max("ts").alias("last_update"))
+def rollup_status(ticks: DataFrame, levels: tuple[str, ...] = ("exchange", "symbol")) -> DataFrame:
+    """Data points and last update per level (exchange, symbol, timeframe, ...) and in total."""
+    return ticks.rollup(*levels).agg(F.count(F.lit(1)).alias("points"), F.max("ts").alias("last_update"))
+
+
+def top_movers(bars: DataFrame) -> DataFrame:
+    """Change of every symbol over its whole period, and its rank (one row per symbol)."""
+    change = bars.groupBy("symbol").agg((F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("change"))
+    return change.withColumn("rank", F.rank().over(Window.orderBy(F.desc("change"))))
 
 
 def market_snapshot(bars: DataFrame, n: int = 20) -> DataFrame:

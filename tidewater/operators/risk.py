@@ -190,6 +190,12 @@ def group_exposure(trades: DataFrame, groups: dict[str, tuple[list[str], float]]
     return out.withColumn("over_limit", F.col("exposure") > F.col("cap"))
 
 
+def generation_averages(trials: DataFrame, generation: str, objectives: list[str]) -> DataFrame:
+    """Best and mean of every objective per generation."""
+    each = F.inline(F.array(*[F.struct(F.lit(o).alias("objective"), F.col(o).alias("value")) for o in objectives]))
+    return trials.select(generation, each).groupBy("objective", generation).agg(F.max("value").alias("best"), F.avg("value").alias("average"))
+
+
 def optimisation_summary(trials: DataFrame, generation: str, objectives: list[str]) -> DataFrame:
     best = trials.groupBy(generation).agg(*[F.max(o).alias(o) for o in objectives])
     long = best.unpivot([generation], objectives, "objective", "value")

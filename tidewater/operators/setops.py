@@ -48,6 +48,16 @@ def pivot_times(df: DataFrame, symbols: list[str], value: str = "close") -> Data
     return df.groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == s, F.col(value))).alias(s) for s in symbols])
 
 
+def align_times(df: DataFrame, value: str = "close") -> DataFrame:
+    """(ts, symbol, value) for every timestamp of any symbol and every symbol; missing values are NULL.
+
+    The symbols of one timestamp are gathered and the missing ones added from the list of all symbols, which is one row.
+    """
+    every = df.agg(F.array_sort(F.collect_set("symbol")).alias("every")).scalar()
+    at = df.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", value))).alias("__seen"))
+    return at.select("ts", F.explode(every).alias("symbol"), "__seen").select("ts", "symbol", F.element_at("__seen", F.col("symbol")).alias(value))
+
+
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return incoming.join(stored.select(*keys), keys, "left_anti")
 

@@ -216,6 +216,25 @@ def common_issues(reports: DataFrame, k: int = 5) -> DataFrame:
     return issues.groupBy("issue").count().orderBy(F.desc("count"), "issue").limit(k)
 
 
+def market_filter(
+    bars: DataFrame, books: DataFrame, min_volume: float = 0.0, min_trades: int = 0, min_price: float = 0.0, max_price: float = float("inf"),
+    max_spread: float = float("inf"), max_volatility: float = float("inf"),
+) -> DataFrame:
+    """Bars of the symbols whose last 24 hours pass every rule: volume, trades, price range, mean relative spread, return deviation."""
+    returns = bars_timeline(bars, back=1)
+    rows = returns.add(__r=ratio(F.col("close"), returns.lag("close")) - 1).rows()
+    end = bars.agg(F.max("ts").alias("end")).scalar()
+    day = F.col("ts") > end - F.expr("interval 24 hours")
+    stats = rows.where(day).groupBy("symbol").agg(
+        F.sum("volume").alias("v"), F.sum("trades").alias("n"), F.min("close").alias("lo"), F.max("close").alias("hi"), F.stddev("__r").alias("sd"))
+    bid, ask = F.array_max(F.col("bids.price")), F.array_min(F.col("asks.price"))
+    spread = books.where(day).groupBy("symbol").agg(F.avg((ask - bid) / ((ask + bid) / 2)).alias("spread"))
+    good = stats.join(spread, "symbol").where(
+        (F.col("v") > min_volume) & (F.col("n") > min_trades) & (F.col("lo") > min_price) & (F.col("hi") < max_price)
+        & (F.col("spread") <= max_spread) & (F.col("sd") <= max_volatility))
+    return bars.join(good.select("symbol"), "symbol", "left_semi")
+
+
 def within_bounds(params: DataFrame, bounds: DataFrame, ids: list[str]) -> DataFrame:
     """All parameters of a candidate inside their bounds; an unknown parameter fails."""
     j = params.join(bounds, "param", "left")
