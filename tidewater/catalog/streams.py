@@ -9,7 +9,7 @@ from tidewater.catalog.indicators import DI, MACD, MACD_REC, WILDER
 from tidewater.catalog.registry import query
 from tidewater.catalog.sqltext import P, ema_step, lag, recurrence, roll, rows
 from tidewater.functions.scalars import uniform
-from tidewater.operators import metrics, risk
+from tidewater.operators import risk
 from tidewater.session import settle, shared_folder
 from tidewater.streaming import stateful, streams
 
@@ -159,15 +159,17 @@ def _(t):
 FALL = 0.002
 
 
-@query("st11_positions", "symbol ts:t event price:d pnl:d equity:d",
-       f"""WITH RECURSIVE k AS (SELECT symbol, ts, close, signal, row_number() OVER ({P}) AS rn FROM ({SIG})),
+POSITIONS = f"""WITH RECURSIVE k AS (SELECT symbol, ts, close, signal, row_number() OVER ({P}) AS rn FROM ({SIG})),
        w(symbol, rn, ts, kind, price, cash, qty, entry, pnl, equity, peak, under, alert) AS (SELECT symbol, 0::BIGINT, NULL::TIMESTAMP, NULL::VARCHAR, 0.0::DOUBLE, 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, 10000.0::DOUBLE, 10000.0::DOUBLE, false, false FROM (SELECT DISTINCT symbol FROM k) UNION ALL
        SELECT symbol, rn, ts, kind, close, cash, qty, entry, pnl, cash + qty * close, greatest(peak, cash + qty * close), cash + qty * close < greatest(peak, cash + qty * close) * (1 - {FALL}::DOUBLE), cash + qty * close < greatest(peak, cash + qty * close) * (1 - {FALL}::DOUBLE) AND NOT under FROM
        (SELECT k.symbol, k.rn, k.ts, k.close, w.peak, w.under, CASE WHEN signal = 'buy' AND qty = 0 THEN 'open' WHEN signal = 'sell' AND qty > 0 THEN 'close' END AS kind,
        CASE WHEN signal = 'buy' AND qty = 0 THEN cash - cash * 0.1::DOUBLE / close * close WHEN signal = 'sell' AND qty > 0 THEN cash + qty * close ELSE cash END AS cash,
        CASE WHEN signal = 'buy' AND qty = 0 THEN cash * 0.1::DOUBLE / close WHEN signal = 'sell' AND qty > 0 THEN 0 ELSE qty END AS qty, CASE WHEN signal = 'buy' AND qty = 0 THEN close ELSE entry END AS entry,
        CASE WHEN signal = 'sell' AND qty > 0 THEN qty * (close - entry) END AS pnl FROM w JOIN k ON k.symbol = w.symbol AND k.rn = w.rn + 1))
-       SELECT symbol, ts, kind AS event, price, pnl, equity FROM w WHERE kind IS NOT NULL UNION ALL SELECT symbol, ts, 'alert', price, NULL, equity FROM w WHERE alert""")
+       SELECT symbol, ts, kind AS event, price, pnl, equity FROM w WHERE kind IS NOT NULL UNION ALL SELECT symbol, ts, 'alert', price, NULL, equity FROM w WHERE alert"""
+
+
+@query("st11_positions", "symbol ts:t event price:d pnl:d equity:d", POSITIONS)
 def _(t):
     """Positions from crosses, and an alert each time equity falls below the allowed drawdown."""
     s = stateful.stream_signals(stateful.incremental_indicators(bar_stream(t)))
@@ -260,10 +262,17 @@ def _(t):
     return streams.run_once(a, "alerts")
 
 
-@query("st20_chunked_backtest", "symbol trades:i pnl:d4", "SELECT symbol, count(*) AS trades, sum(pnl) AS pnl FROM closed_trades GROUP BY symbol")
+@query("st20_chunked_backtest", "symbol ts:t event price:d pnl:d equity:d", POSITIONS)
 def _(t):
-    """A large backtest is an ordinary batch: partitions are the chunks and nothing is reset between them."""
-    return metrics.trade_stats(t.closed_trades).withColumn("pnl", F.col("total_pnl"))
+    """Ten days at a time, stopped and taken up again after each chunk; the same events as in one run."""
+    bars = t.bars_kept.select("symbol", "ts", "close", "volume")
+    path = f"{shared_folder(t.spark)}/tidewater/backtest-{uuid.uuid4().hex}"
+    last = bars.agg(F.max(F.floor(F.unix_seconds("ts") / 864_000))).first()[0]
+    first = bars.agg(F.min(F.floor(F.unix_seconds("ts") / 864_000))).first()[0]
+    for chunk in range(first, last + 1):
+        bars.where(F.floor(F.unix_seconds("ts") / 864_000) == chunk).write.mode("append").parquet(f"{path}/chunks")
+        out = stateful.chunked_backtest(t.spark, f"{path}/chunks", bars.schema, path, FALL)
+    return out
 
 
 @query("st21_latest_value", "symbol ts:t close:d", "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY symbol")

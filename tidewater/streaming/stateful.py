@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.operators.setops import last_rows
+from tidewater.streaming import streams
 
 _NEVER = -(1 << 62)
 
@@ -217,6 +218,19 @@ def positions(signals: DataFrame, capital: float = 10_000.0, share: float = 0.1,
     return events.where("NOT late").drop("late")
 
 
+def chunked_backtest(spark: SparkSession, chunks: str, schema: T.StructType, root: str, max_drawdown: float = 0.2) -> DataFrame:
+    """Backtest over time chunks (files in ``chunks``) that are there by now: signals, positions and equity events so far.
+
+    What one chunk hands to the next, indicator values as well as cash and open positions, is the state under ``root``. A later
+    call with more chunks, or after a stop, goes on from it; nothing is computed again and nothing is reset in between.
+    """
+    bars = streams.read_stream(spark, chunks, schema, files_per_batch=1_000_000)
+    signals = stream_signals(incremental_indicators(bars)).select("symbol", "ts", "close", "signal")
+    done = streams.run_once(signals, "signals", path=f"{root}/signals")
+    again = streams.read_stream(spark, f"{root}/signals/data", done.schema, files_per_batch=1_000_000)
+    return streams.run_once(positions(again, max_drawdown=max_drawdown), "positions", path=f"{root}/positions")
+
+
 def running_metrics(trades: DataFrame, capital: float = 10_000.0, delay_seconds: int = 0) -> DataFrame:
     """Trades, win rate, profit, equity and deepest drawdown per symbol after every exit time (rows of one time count together)."""
 
