@@ -17,7 +17,8 @@ from tidewater.operators import metrics as m
 from tidewater.operators.clean import iqr_flags, z_flags
 from tidewater.operators.features import bars_timeline
 from tidewater.plans.attach import attach, quantiles, value_slices
-from tidewater.plans.timeline import lay_out, time_slice
+from tidewater.operators.setops import last_rows
+from tidewater.plans.timeline import join_keys, lay_out, time_slice
 from tidewater.session import settle
 
 
@@ -206,9 +207,7 @@ def history_trends(history: DataFrame, key: str, order: list[str], slice_by: Col
 
 def volatility_change(bars: DataFrame, n: int = 20) -> DataFrame:
     """Deviation of the last window against a prediction column ``predicted``."""
-    tl = bars_timeline(bars, positions=True)
-    x = tl.add(__recent=tl.pos >= tl.total - n).rows()
-    out = x.groupBy("symbol").agg(
-        F.stddev_pop(F.when(F.col("__recent"), F.col("close"))).alias("current_volatility"), F.max_by("predicted", "ts").alias("predicted_volatility"))
+    recent = last_rows(bars, "symbol", "ts", n).groupBy("symbol").agg(F.stddev_pop("close").alias("current_volatility"))
+    out = join_keys(bars.groupBy("symbol").agg(F.max_by("predicted", "ts").alias("predicted_volatility")), recent, ["symbol"])
     c = ratio(F.col("predicted_volatility") - F.col("current_volatility"), F.col("current_volatility"))
     return out.withColumns({"volatility_change": c, "confidence": 1 - F.abs(c)})

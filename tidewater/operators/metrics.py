@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import ratio
+from tidewater.operators.setops import last_rows
 from tidewater.plans.attach import attach, quantiles
 from tidewater.plans import sliding
 from tidewater.plans.runs import runs
@@ -434,15 +435,11 @@ def day_state(bars: DataFrame, slice_seconds: int = 86400) -> DataFrame:
 
 
 def liquidity(bars: DataFrame, n: int = 20) -> DataFrame:
-    from tidewater.operators.features import bars_timeline
-
-    tl = bars_timeline(bars, positions=True)
-    x = tl.add(__recent=tl.pos >= tl.total - n).rows()
-    avg_recent = F.avg(F.when(F.col("__recent"), F.col("volume")))
-    return x.groupBy("symbol").agg(
-        avg_recent.alias("avg_volume"), F.avg(ratio(F.abs(F.col("high") - F.col("low")), F.col("volume"))).alias("price_impact"),
-        (F.avg(F.col("high") - F.col("low")) / F.max_by("close", "ts")).alias("bid_ask_spread"),
-        (F.max_by("volume", "ts") / avg_recent).alias("volume_ratio"))
+    recent = last_rows(bars, "symbol", "ts", n).groupBy("symbol").agg(F.avg("volume").alias("avg_volume"))
+    whole = bars.groupBy("symbol").agg(
+        F.avg(ratio(F.abs(F.col("high") - F.col("low")), F.col("volume"))).alias("price_impact"),
+        (F.avg(F.col("high") - F.col("low")) / F.max_by("close", "ts")).alias("bid_ask_spread"), F.max_by("volume", "ts").alias("__last"))
+    return join_keys(whole, recent, ["symbol"]).withColumn("volume_ratio", F.col("__last") / F.col("avg_volume")).drop("__last")
 
 
 def book_metrics(books: DataFrame) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.plans.timeline import lay_out, time_slice
+from tidewater.plans.timeline import join_keys, lay_out, time_slice
+from tidewater.session import settle
 
 
 def last_rows(df: DataFrame, keys: list[str] | str, ts: str, n: int, slice_seconds: int = 30 * 86400) -> DataFrame:
-    """Last ``n`` rows per key by exact position, without sorting a key in one task."""
-    tl = lay_out(df, keys, [ts], time_slice(ts, slice_seconds), positions=True)
-    return tl.add(__keep=tl.pos >= tl.total - n).rows().where("__keep").drop("__keep")
+    """Last ``n`` rows per key; NULL times come first.
+
+    Rows are counted per key and time slice; only the last slices that together hold ``n`` rows are read again (the earliest
+    of them bounds the scan), and only those rows are sorted, slice by slice.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    part = time_slice(ts, slice_seconds)
+    after = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = df.groupBy(*keys, part.alias("__slice")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__want", n - after)
+    wanted = settle(counts.where("__want > 0").drop("__n"), "last-slices")
+    first = wanted.agg(F.min("__slice"), F.count_if(F.col("__slice").isNull())).first()
+    rows = df if first[0] is None or first[1] else df.where(F.col(ts) >= F.timestamp_seconds(F.lit(first[0] * slice_seconds)))
+    rows = join_keys(rows.withColumn("__slice", part), wanted, [*keys, "__slice"])
+    place = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(F.desc_nulls_last(ts)))
+    return rows.withColumn("__place", place).where("__place <= __want").drop("__place", "__want", "__slice")
 
 
 def top_rows(df: DataFrame, n: int, *order) -> DataFrame:
