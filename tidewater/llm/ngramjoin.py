@@ -11,8 +11,8 @@ Trees are therefore built per routing bucket: two sets that reach the threshold
 last (a bounded set of hashes, chosen by count; any choice gives the same links), which keeps passages that many
 documents share from making large buckets.
 
-Equal sets are one node. Groups of near copies are first tied to a pivot per bucket (a few rounds, only across
-components); only pairs in buckets that still span several components reach the trees. A bucket above ``LEAF_BLOCK`` rows
+Equal sets are one node. Groups of near copies are first tied to pivots (a few rounds, only across components): each bucket
+names a node of its largest component, and every node is compared with the pivot its buckets vote for, small ones above large ones; only pairs in buckets that still span several components reach the trees. A bucket above ``LEAF_BLOCK`` rows
 is dealt to pairs of blocks. No link between different sets is lost: a pair is skipped only if both ends are already
 in one component.
 
@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import drop_written, keyed, picked, settled
 from tidewater.llm.words import NOT_BLANK, Batch, mix, shingles, slices
 
-GROUPS, LEAF, LEAF_BLOCK, STAR_ROUNDS = 256, 16, 256, 2
+GROUPS, LEAF, LEAF_BLOCK, STAR_ROUNDS = 256, 16, 256, 4
 #: A shingle in this many sets counts as common, as long as at most COMMON_MOST of them do (16 MB to broadcast).
 COMMON, COMMON_MOST = 3, 1 << 21
+#: Rows of an Arrow batch: whole sets and points of two nodes are in every row of a pair.
+BATCH_ROWS = 2000
 _U = np.uint64
 
 
@@ -391,26 +393,49 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(span.select("shingle"), "shingle").select("shingle", "node", "label")
 
 
+def bucket_pivots(open_: DataFrame, round_: int) -> DataFrame:
+    """(shingle, size, p_label, p_node): of each bucket a node of its largest component, another one in every round."""
+    parts = open_.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node")).alias("p"))
+    best = parts.groupBy("shingle").agg(F.sum("n").alias("size"), F.max(F.struct("n", F.xxhash64("label", F.lit(round_)).alias("h"), "label", F.col("p.node").alias("node"))).alias("b"))
+    return best.select("shingle", "size", F.col("b.label").alias("p_label"), F.col("b.node").alias("p_node"))
+
+
+def one_pivot(asked: DataFrame) -> DataFrame:
+    """(a, b): every node with one pivot, so a round has no more pairs than nodes.
+
+    A bucket's vote counts the less the more nodes it has: what many documents share says little about any two of them.
+    """
+    votes = asked.groupBy("node", "p_node").agg(F.sum(1 / F.col("size")).alias("n"))
+    best = votes.groupBy("node").agg(F.max(F.struct("n", "p_node")).alias("best")).select("node", F.col("best.p_node").alias("p_node"))
+    return best.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n (set size), node, component (smallest linked node; null without words) and component_id of every row."""
     spark = docs.sparkSession
-    source = keyed(docs, id_col, text_col)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    try:
+        return _joined(spark, keyed(docs, id_col, text_col))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _joined(spark, source: DataFrame) -> DataFrame:
     base = settled(points(source), "points")
     nodes = settled(base.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"))
                     .select("node", "first.*", "n", "counts"), "nodes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    ranges = 1 << max(8, int(total // 1_000_000).bit_length())
+    elements = nodes.agg(F.sum("n")).first()[0] or 0
+    ranges = 1 << max(8, int(elements // 1_000_000).bit_length())
     members = distinct_buckets(routes(source, common_shingles(source, ranges), ranges))
     sets = settled(shingle_sets(source, nodes.join(members.select("node").distinct(), "node", "left_semi")), "sets")
-    labels, links, round_ = None, [], 0
+    labels, links, round_, total = None, [], 0, 0
     while round_ <= STAR_ROUNDS:
         open_ = settled(labelled(members, labels), "open")
         if open_.isEmpty():
             break
         if round_ < STAR_ROUNDS:
-            pick = F.min if round_ % 2 == 0 else F.max
-            pivots = open_.groupBy("shingle").agg(pick(F.struct("label", "node")).alias("p")).select("shingle", F.col("p.label").alias("p_label"), F.col("p.node").alias("p_node"))
-            pairs = open_.join(pivots, "shingle").filter("label <> p_label").select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+            pivots = bucket_pivots(open_, round_)
+            pairs = one_pivot(open_.join(pivots, "shingle").filter("label <> p_label"))
             pairs = within_bound(pairs, nodes)
         else:
             pairs = tree_candidates(open_, nodes)
@@ -420,8 +445,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.unionByName, links))
-        elif round_ < STAR_ROUNDS:
-            round_ = STAR_ROUNDS - 1  # further pivots will hardly help
+        new = found.count()
+        total += new
+        if round_ < STAR_ROUNDS and new * 20 < total + 1:
+            round_ = STAR_ROUNDS - 1  # further pivots will hardly help: to the trees
         round_ += 1
     named = nodes.select("node", "doc_id")
     if labels is None:
