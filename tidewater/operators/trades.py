@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -235,13 +234,15 @@ def stream_in_order(df: DataFrame, key: str, order: list[str], fn, schema: str)
 
 def _chunk_steps(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("__at")
-    pdf = pdf[~pdf["__in"].duplicated()]  # of equal entry times only the first can be taken
     start, stop = pdf["__in"].to_numpy(), pdf["__out"].to_numpy()
-    follow = np.maximum(np.searchsorted(start, stop, side="left"), np.arange(len(pdf)) + 1)
-    end = stop.copy()
-    for i in range(len(pdf) - 1, -1, -1):
-        if follow[i] < len(pdf):
+    n = len(pdf)
+    follow = np.maximum(np.searchsorted(start, stop, side="left"), np.arange(n) + 1).tolist()
+    end = stop.tolist()
+    for i in range(n - 1, -1, -1):
+        if follow[i] < n:
             end[i] = end[follow[i]]
+    first = np.r_[True, start[1:] != start[:-1]]  # a chain begins at the first row of an entry time
+    start, end = start[first], np.array(end)[first]
     last = np.r_[end[1:] != end[:-1], True]
     return pd.DataFrame({"__key": pdf["__key"].iloc[0], "__c": pdf["__c"].iloc[0], "since": start[last], "until": end[last]})
 
@@ -274,7 +275,7 @@ def _resolve_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 # -- at most so many positions at a time --------------------------------------------------
-_FREE = -(1 << 62)
+_TAKEN = (1 << 63) - 1  # for chunks whose rows are all taken by earlier lanes: nothing is left to take
 
 
 def at_most(
@@ -288,57 +289,58 @@ def at_most(
 ) -> DataFrame:
     """Keep a trade only if fewer than ``most`` kept trades of its key are open at its entry.
 
-    A chunk needs only the ``most`` times at which the places it finds are free again. All chunks first run side by side
-    from places that are all free; then those whose predecessor left something else run again from what it left, until
-    no chunk changes. Kept trades soon forget the places they started from, so this takes a few rounds, and every round
-    runs only the chunks concerned. A NULL entry or exit is never kept.
+    Which of the free places a trade gets makes no difference, so let it be the first: the first place (lane) then takes
+    what :func:`non_overlapping` keeps of all trades, the second what it keeps of the rest, and so on. Every lane is one
+    such pass, ``most`` in all however long the trades stay open; a chunk replays the lanes before from the busy times it
+    entered with, so the rest is never written. A NULL entry or exit is never kept.
     """
     order = order or [entry, exit, "trade_id"]
     tl = lay_out(trades.where(F.col(entry).isNotNull() & F.col(exit).isNotNull()), key, order, time_slice(entry, slice_seconds), even=True)
-    t = settle(tl.add(__in=F.unix_micros(entry), __out=F.unix_micros(exit), __at=tl.pos, __c=F.col(tl.part[-1])).rows(), "candidates")
-    slim = t.select(F.col(key).alias("__key"), "__c", "__at", "__in", "__out")
-    kind = slim.schema["__key"].dataType.simpleString()
-    free = F.array(*[F.lit(_FREE)] * most).cast("array<long>")
-
-    def places(into: DataFrame) -> DataFrame:
-        """What every chunk of ``into`` (__key, __c, into) leaves."""
-        rows = join_keys(slim, into, ["__key", "__c"])
-        return rows.groupBy("__key", "__c").applyInPandas(lambda pdf: _run_chunk(pdf)[0], f"__key {kind}, __c long, into array<long>, left array<long>")
-
-    before = F.lag("left").over(Window.partitionBy("__key").orderBy("__c"))
-    chunks = slim.select("__key", "__c").distinct()
-    states = settle(places(chunks.withColumn("into", free)), "places")
-    while True:
-        wanted = states.withColumn("want", F.coalesce(before, free))
-        todo = settle(wanted.where("want <> into").select("__key", "__c", F.col("want").alias("into")), "places")
-        if todo.isEmpty():
-            break
-        redone = places(todo).select(F.col("__key").alias("k"), F.col("__c").alias("c"), F.col("into").alias("i"), F.col("left").alias("l"))
-        new = states.join(redone, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__c") == F.col("c")), "left")
-        states = settle(new.select("__key", "__c", F.coalesce("i", "into").alias("into"), F.coalesce("l", "left").alias("left")), "places")
-    rows = join_keys(slim, states.select("__key", "__c", "into"), ["__key", "__c"])
-    kept = rows.groupBy("__key", "__c").applyInPandas(lambda pdf: _run_chunk(pdf)[1], f"__key {kind}, __c long, __at long")
-    same = F.col(key).eqNullSafe(F.col("k")) & (F.col("__c") == F.col("c")) & (F.col("__at") == F.col("at"))
-    return t.join(kept.select(F.col("__key").alias("k"), F.col("__c").alias("c"), F.col("__at").alias("at")), same, "left_semi").drop("__in", "__out", "__at", "__c")
-
-
-def _run_chunk(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(places left, rows kept) of one chunk; places that are free again before the chunk ends are left as free."""
-    pdf = pdf.sort_values("__at")
-    start, stop = pdf["__in"].to_numpy(), pdf["__out"].to_numpy()
-    busy = [int(x) for x in pdf["into"].iloc[0]]
-    heapq.heapify(busy)
-    keep, i = [], 0
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # NULL is a key of its own
+    t = settle(tl.add(__in=F.unix_micros(entry), __out=F.unix_micros(exit), __at=tl.pos, __c=F.col(tl.part[-1]), __key=name).rows(), "candidates")
+    slim = t.select("__key", "__c", "__at", "__in", "__out")
+    known = slim.select("__key", "__c").distinct().withColumn("lanes", F.array().cast("array<long>"))
+    for _ in range(most):
+        known = settle(known, "lanes")
+        steps = join_keys(slim, known, ["__key", "__c"]).groupBy("__key", "__c").applyInPandas(_lane_steps, "__key string, __c long, since long, until long")
+        busy = stream_in_order(steps, "__key", ["__c", "since"], _entering_times, "__key string, __c long, busy long")
+        busy = join_keys(known, busy, ["__key", "__c"], "left")
+        known = busy.select("__key", "__c", F.concat("lanes", F.array(F.coalesce("busy", F.lit(_TAKEN)))).alias("lanes"))
+    kept = join_keys(slim, settle(known, "lanes"), ["__key", "__c"]).groupBy("__key", "__c").applyInPandas(_lane_rows, "__key string, __c long, __at long")
+    return t.join(kept, ["__key", "__c", "__at"], "left_semi").drop("__in", "__out", "__at", "__c", "__key")
+
+
+def _chain(start: np.ndarray, stop: np.ndarray, busy: int) -> np.ndarray:
+    """Rows one place takes that is busy until ``busy``."""
+    taken, i = np.zeros(len(start), bool), int(np.searchsorted(start, busy, side="left"))
     while i < len(start):
-        if busy[0] > start[i]:
-            i = max(i + 1, int(np.searchsorted(start, busy[0], side="left")))  # nothing fits before a place is free
-            continue
-        heapq.heapreplace(busy, int(stop[i]))
-        keep.append(i)
-        i += 1
-    left = sorted(x if x > start[-1] else _FREE for x in busy)
-    head = pdf[["__key", "__c", "into"]].iloc[:1].assign(left=[left])
-    return head, pdf.iloc[keep][["__key", "__c", "__at"]]
+        taken[i] = True
+        i = max(i + 1, int(np.searchsorted(start, stop[i], side="left")))
+    return taken
+
+
+def _lanes(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """(rows of a chunk in order, which of them the lanes known so far take)."""
+    pdf = pdf.sort_values("__at")
+    start, stop, left = pdf["__in"].to_numpy(), pdf["__out"].to_numpy(), np.arange(len(pdf))
+    for busy in pdf["lanes"].iloc[0]:
+        left = left[~_chain(start[left], stop[left], busy)]
+    taken = np.ones(len(pdf), bool)
+    taken[left] = False
+    return pdf, taken
+
+
+def _lane_steps(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, taken = _lanes(pdf)
+    if taken.all():
+        return pd.DataFrame({"__key": np.empty(0, object), "__c": np.empty(0, np.int64), "since": np.empty(0, np.int64), "until": np.empty(0, np.int64)})
+    return _chunk_steps(pdf.iloc[np.flatnonzero(~taken)])
+
+
+def _lane_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, taken = _lanes(pdf)
+    at = pdf["__at"].to_numpy()[taken]
+    return pd.DataFrame({"__key": np.full(len(at), str(pdf["__key"].iloc[0]), object), "__c": pdf["__c"].to_numpy()[:1].repeat(len(at)), "__at": at})
 
 
 # -- portfolio replay ---------------------------------------------------------------------
