@@ -183,7 +183,7 @@ def _(t):
        e AS (SELECT *, greatest(1e8::DOUBLE, max(1e8::DOUBLE + pnl) OVER (PARTITION BY symbol ORDER BY ts)) AS peak FROM c)
        SELECT symbol, ts, trades, win_rate, pnl, least(0, min((1e8::DOUBLE + pnl) / peak - 1) OVER (PARTITION BY symbol ORDER BY ts)) AS max_drawdown FROM e""")
 def _(t):
-    trades = t.closed_trades.select("symbol", "pnl", F.col("exit_time").alias("ts"))
+    trades = settle(t.closed_trades.select("symbol", "pnl", F.col("exit_time").alias("ts")), "closed")  # landing reads it once per span
     return streams.run_once(stateful.running_metrics(landed(t, trades), capital=1e8), "metrics")
 
 
