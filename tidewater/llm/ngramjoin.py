@@ -13,8 +13,10 @@ documents share from making large buckets.
 
 Equal sets are one node. Groups of near copies are first tied to pivots (a few rounds, only across components): each bucket
 names a node of its largest component, and every node is compared with the pivot its buckets vote for, small ones above large ones; only pairs in buckets that still span several components reach the trees. A bucket above ``LEAF_BLOCK`` rows
-is dealt to pairs of blocks. No link between different sets is lost: a pair is skipped only if both ends are already
-in one component.
+is dealt to pairs of blocks. What the trees let through is verified in two waves, the ``NEAREST`` pairs of every node first:
+in a group of near copies these already tie the group. No link between different sets is lost: a pair is skipped only if
+both ends are already in one component. Links are followed between components, not between nodes, so that the many links
+of two components count once.
 
 Nulls and edge cases: a null, empty or blank text has the empty set, is linked with nothing and its component is its own
 id; with fewer than five words the whole sequence is the one shingle; repeated ids with several texts are separate
@@ -24,8 +26,6 @@ ignored by ``join`` and carried along by ``keep_first``. Sets and shingles are i
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +39,8 @@ GROUPS, LEAF, LEAF_BLOCK, STAR_ROUNDS = 256, 16, 256, 4
 COMMON, COMMON_MOST = 3, 1 << 21
 #: Rows of an Arrow batch: whole sets and points of two nodes are in every row of a pair.
 BATCH_ROWS = 2000
+#: Pairs of a node that the trees have verified first, by how far their bound exceeds the required overlap.
+NEAREST = 4
 _U = np.uint64
 
 
@@ -286,6 +288,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def tied(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after ``links``: what they tie are components, so many links between the same two count once."""
+    spark = links.sparkSession
+    if labels is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        ends = ends.join(known, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    ends = ends.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).filter("a <> b").distinct()
+    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    every = labels.select("node", "label").unionByName(moved.select(F.col("label").alias("node"), "label")).distinct()
+    out = settled(every.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "tied")
+    drop_written(spark, labels, moved)
+    return out
+
+
 def pack(vecs: np.ndarray, rows: np.ndarray, dim: int = 0) -> list[np.ndarray]:
     """Sort-tile-recursion: leaves of at most LEAF rows that are close in their coordinates."""
     if len(rows) <= LEAF:
@@ -333,8 +352,22 @@ def tree_join(vecs: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.
     return out
 
 
+def ranked(x: np.ndarray, y: np.ndarray, vecs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Place of every pair of rows (x, y) among the pairs of either end, the better one; the largest bound for its size first."""
+    slack = np.empty(len(x))
+    for i in range(0, len(x), 4096):
+        p, q = x[i:i + 4096], y[i:i + 4096]
+        slack[i:i + 4096] = np.minimum(vecs[p], vecs[q]).sum(1) / required(sizes[p], sizes[q])
+    place = np.full(len(x), len(x), np.int64)
+    for end in (x, y):
+        order = np.lexsort((-slack, end))
+        first = np.searchsorted(end[order], end[order])
+        place[order] = np.minimum(place[order], np.arange(len(x)) - first)
+    return place
+
+
 def tree_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that the trees of all buckets let through; members: (shingle, node, label).
+    """Distinct pairs (a, b, place) that the trees of all buckets let through; members: (shingle, node, label).
 
     A pair that shares several buckets comes from the first of them only, so near copies do not repeat it per bucket.
     """
@@ -360,7 +393,10 @@ def tree_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
             found = tree_join(vecs, sizes, labels, left, right) if len(left) and len(right) else []
         here, routed = t["shingle"][0].as_py(), [np.array(x, np.int64) for x in t["routed"].to_pylist()] if found else []
         found = [(x, y) for x, y in found if np.intersect1d(routed[x], routed[y], assume_unique=True)[0] == here]
-        return [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found]
+        if not found:
+            return []
+        x, y = np.array(found, np.int64).T
+        return zip(np.minimum(node[x], node[y]).tolist(), np.maximum(node[x], node[y]).tolist(), ranked(x, y, vecs, sizes).tolist())
 
     def run(batches):
         held = None
@@ -378,9 +414,18 @@ def tree_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
     def emit(t, edges):
         pairs = {p for a, b in zip(edges[:-1], edges[1:]) for p in bucket(t.slice(a, b - a))}
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs]), pa.array([int(p[1]) for p in pairs])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b", "place"])
+
+    return rows.mapInArrow(run, "a long, b long, place long").groupBy("a", "b").agg(F.min("place").alias("place"))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    if labels is None:
+        return pairs
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    return pairs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).drop("a_label", "b_label")
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -410,6 +455,16 @@ def one_pivot(asked: DataFrame) -> DataFrame:
     return best.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
 
 
+def linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame | None, int]:
+    """Labels after those of ``pairs`` that reach the threshold, and how many do."""
+    found = settled(verified(pairs, sets), "links")
+    new = found.count()
+    if new:
+        labels = tied(labels, found)
+    drop_written(pairs.sparkSession, found)
+    return labels, new
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n (set size), node, component (smallest linked node; null without words) and component_id of every row."""
     spark = docs.sparkSession
@@ -428,7 +483,7 @@ def _joined(spark, source: DataFrame) -> DataFrame:
     ranges = 1 << max(8, int(elements // 1_000_000).bit_length())
     members = distinct_buckets(routes(source, common_shingles(source, ranges), ranges))
     sets = settled(shingle_sets(source, nodes.join(members.select("node").distinct(), "node", "left_semi")), "sets")
-    labels, links, round_, total = None, [], 0, 0
+    labels, round_, total = None, 0, 0
     while round_ <= STAR_ROUNDS:
         open_ = settled(labelled(members, labels), "open")
         if open_.isEmpty():
@@ -440,12 +495,15 @@ def _joined(spark, source: DataFrame) -> DataFrame:
         else:
             pairs = tree_candidates(open_, nodes)
         pairs = settled(pairs, "pairs")
-        found = settled(verified(pairs, sets), "links")
-        drop_written(spark, open_, pairs)
-        if not found.isEmpty():
-            links.append(found)
-            labels = components(reduce(DataFrame.unionByName, links))
-        new = found.count()
+        drop_written(spark, open_)
+        if round_ < STAR_ROUNDS:
+            labels, new = linked(pairs, sets, labels)
+        else:
+            labels, _ = linked(pairs.filter(F.col("place") < NEAREST), sets, labels)
+            rest = settled(apart(pairs.filter(F.col("place") >= NEAREST), labels), "pairs")
+            labels, new = linked(rest, sets, labels)
+            drop_written(spark, rest)
+        drop_written(spark, pairs)
         total += new
         if round_ < STAR_ROUNDS and new * 20 < total + 1:
             round_ = STAR_ROUNDS - 1  # further pivots will hardly help: to the trees
