@@ -38,7 +38,9 @@ GROUPS, LEAF, LEAF_BLOCK, STAR_ROUNDS = 256, 16, 256, 4
 #: A shingle in this many sets counts as common, as long as at most COMMON_MOST of them do (16 MB to broadcast).
 COMMON, COMMON_MOST = 3, 1 << 21
 #: Rows of an Arrow batch: whole sets and points of two nodes are in every row of a pair.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
+#: Hashes that a task gathers before it hands them on.
+GATHER = 250_000
 #: Pairs of a node that the trees have verified first, by how far their bound exceeds the required overlap.
 NEAREST = 4
 _U = np.uint64
@@ -100,9 +102,9 @@ def common_shingles(docs: DataFrame, ranges: int) -> np.ndarray:
                 node = node_of(s)
                 if len(s) and node not in seen:
                     seen.add(node)
-                    flat.append(s[:2 * prefix_length(len(s)) + 8])
+                    flat.append(s[:2 * prefix_length(len(s)) + 8].copy())  # else the whole set is kept
                     size += len(flat[-1])
-                    if size > 2_000_000:
+                    if size > GATHER:
                         yield parts(flat)
                         flat, size = [], 0
                         seen = set() if len(seen) > 500_000 else seen
@@ -179,13 +181,13 @@ def routes(docs: DataFrame, common: np.ndarray, ranges: int) -> DataFrame:
                     high = s[is_common][:p - len(low)]
                 else:
                     low, high = s[:p], s[:0]
-                rare.append(low)
+                rare.append(low.copy())
                 owners.append(np.full(len(low), node, np.int64))
                 if len(high):
-                    often.append(high)
+                    often.append(high.copy())
                     often_nodes.append(np.full(len(high), node, np.int64))
                 size += p
-                if size > 1_000_000:
+                if size > GATHER:
                     yield batch_of(rare_parts(rare, owners), often, often_nodes)
                     rare, owners, often, often_nodes, size = [], [], [], [], 0
                     seen = set() if len(seen) > 500_000 else seen

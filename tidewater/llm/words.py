@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes of text whose words are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
